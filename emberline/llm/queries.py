@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import simhash
+from emberline.llm import minhash, mixing, simhash
 from emberline.session import table
 
 
@@ -13,3 +13,57 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: fingerprints of 3-word shingles, linked at 2 bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position (of the first copy), range-sorted by position."""
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    first = F.when(F.size("positions") > 0, F.element_at("positions", 1))
+    found = plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    return found.orderBy("position", "doc_id")
+
+
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS h
+  FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, CAST(source_size AS DOUBLE) * 2 AS stop, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM sources),
+weighed AS (
+  SELECT *, CAST(CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(CASE k WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS s FROM ranked),
+levels AS (
+  SELECT *, stop / weight AS r,
+    (sum(source_size) OVER () * CAST(1.5 AS DOUBLE)
+      - coalesce(sum(stop) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
+  FROM weighed),
+targets AS (
+  SELECT *, coalesce(least(stop, weight * (SELECT arg_min(lv, r) FROM levels WHERE r > lv)), stop) AS target FROM levels),
+laid AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sized),
+joined AS (
+  SELECT doc_id, size, t.source_size, target, s, start,
+    CASE WHEN start + size / CAST(2 AS DOUBLE) < target THEN 1 ELSE 0 END AS once,
+    CASE WHEN start + t.source_size + size / CAST(2 AS DOUBLE) < target THEN 1 ELSE 0 END AS twice
+  FROM laid JOIN targets t ON laid.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (once + twice) * size AS taken,
+  CASE WHEN once = 1 THEN CASE WHEN s = 0 THEN start / target
+    ELSE (sqrt((1 - s) * (1 - s) + 4 * s * (start / target)) - (1 - s)) / (2 * s) END END AS position
+FROM joined
+"""
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with near_edited and near_next."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = minhash.edited_pairs(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        minhash.as_text(F.col("packed")).alias("fingerprint"),
+        minhash.as_text(F.col("edited_packed")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )

@@ -11,9 +11,14 @@ from emberline.llm import queries as q
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash": q.op2_minhash,
+        "op8_mixing": q.op8_mixing,
         "op9_simhash": q.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where DuckDB can express the operator; XXH64, learned models and coders are tested by brute force instead."""
+    return {
+        "op8_mixing": q.OP8_SQL,
+    }
