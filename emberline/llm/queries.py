@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import minhash, mixing, simhash
+from emberline.llm import decontam, minhash, mixing, simhash, tokens, toxicity
 from emberline.session import table
 
 
@@ -67,3 +67,20 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 as read back from the files written."""
+    return tokens.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, distance, similarity of every document and the item that it holds."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

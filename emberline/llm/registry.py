@@ -11,9 +11,12 @@ from emberline.llm import queries as q
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": q.op1_decontamination,
         "op2_minhash": q.op2_minhash,
+        "op4_toxicity": q.op4_toxicity,
         "op8_mixing": q.op8_mixing,
         "op9_simhash": q.op9_simhash,
+        "op10_tokens": q.op10_tokens,
     }
 
 
