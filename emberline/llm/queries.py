@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontam, minhash, mixing, simhash, tokens, toxicity
+from emberline.llm import decontam, licenses, lm, minhash, mixing, repeats, simhash, tokens, toxicity, urls
 from emberline.session import table
 
 
@@ -84,3 +84,42 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, start_word, n_words, distance, similarity of every document and the item that it holds."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, score: the target is the documents that labels mark as of good quality."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.score(table(spark, sf_dir, "documents"), good)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sentence_ids, licenses, license of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op5_sql() -> str:
+    known = " ".join(f"WHEN '{k}' THEN {v}" for k, v in licenses.SENTENCES.items())
+    rules = ", ".join(f"CASE WHEN contains(line, ',{','.join(map(str, seq))},') THEN {i} END" for i, (_, seq) in enumerate(licenses.RULES))
+    names = ", ".join(f"'{name}'" for name, _ in licenses.RULES)
+    return rf"""
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+ids AS (SELECT doc_id, list_filter(list_transform(parts, s -> CASE trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) {known} END), x -> x IS NOT NULL) AS k FROM cut),
+lines AS (SELECT doc_id, coalesce(array_to_string(k, ','), '') AS sentence_ids, ',' || coalesce(array_to_string(k, ','), '') || ',' AS line FROM ids),
+met AS (SELECT doc_id, sentence_ids, list_transform(list_filter([{rules}], x -> x IS NOT NULL), i -> [{names}][i + 1]) AS m FROM lines),
+kept AS (SELECT doc_id, sentence_ids, list_filter(m, (x, i) -> list_position(m, x) = i) AS m FROM met)
+SELECT doc_id, sentence_ids, coalesce(array_to_string(m, ','), '') AS licenses, m[1] AS license FROM kept
+"""
+
+
+OP5_SQL = _op5_sql()
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

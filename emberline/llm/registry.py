@@ -13,7 +13,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": q.op1_decontamination,
         "op2_minhash": q.op2_minhash,
+        "op3_lm": q.op3_lm,
         "op4_toxicity": q.op4_toxicity,
+        "op5_licenses": q.op5_licenses,
+        "op6_urls": q.op6_urls,
+        "op7_repeats": q.op7_repeats,
         "op8_mixing": q.op8_mixing,
         "op9_simhash": q.op9_simhash,
         "op10_tokens": q.op10_tokens,
@@ -23,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can express the operator; XXH64, learned models and coders are tested by brute force instead."""
     return {
+        "op5_licenses": q.OP5_SQL,
         "op8_mixing": q.OP8_SQL,
     }
