@@ -103,10 +103,10 @@ def _op5_sql() -> str:
     names = ", ".join(f"'{name}'" for name, _ in licenses.RULES)
     return rf"""
 WITH cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
-ids AS (SELECT doc_id, list_filter(list_transform(parts, s -> CASE trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) {known} END), x -> x IS NOT NULL) AS k FROM cut),
+ids AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: CASE trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) {known} END), lambda x: x IS NOT NULL) AS k FROM cut),
 lines AS (SELECT doc_id, coalesce(array_to_string(k, ','), '') AS sentence_ids, ',' || coalesce(array_to_string(k, ','), '') || ',' AS line FROM ids),
-met AS (SELECT doc_id, sentence_ids, list_transform(list_filter([{rules}], x -> x IS NOT NULL), i -> [{names}][i + 1]) AS m FROM lines),
-kept AS (SELECT doc_id, sentence_ids, list_filter(m, (x, i) -> list_position(m, x) = i) AS m FROM met)
+met AS (SELECT doc_id, sentence_ids, list_transform(list_filter([{rules}], lambda x: x IS NOT NULL), lambda i: [{names}][i + 1]) AS m FROM lines),
+kept AS (SELECT doc_id, sentence_ids, list_filter(m, lambda x, i: list_position(m, x) = i) AS m FROM met)
 SELECT doc_id, sentence_ids, coalesce(array_to_string(m, ','), '') AS licenses, m[1] AS license FROM kept
 """
 
