@@ -2,18 +2,67 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.functions import text as t
+from emberline.plans import graph_sql
+from emberline.session import table
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_NAMES = re.compile(r"\b(?:FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
+
+
+def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = graph_sql.text(name)
+        used = set(_NAMES.findall(text))
+        return spark.sql(_NAMES.sub(lambda m: m[0].replace(m[1], "{" + m[1] + "} AS " + m[1]) if not _aliased(text, m) else m[0].replace(m[1], "{" + m[1] + "}"), text), **{n: table(spark, sf_dir, n) for n in used})
+
+    return query
+
+
+def _aliased(text: str, m: re.Match) -> bool:
+    """Whether an alias of one letter follows a table's name."""
+    return re.match(r"\s+[a-z]\b", text[m.end() :]) is not None
+
+
+def emails_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted lines cut, subject prefixes cut, body hash."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("> quoted line\n"), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.sha2(t.strip_quotes(body), 256).alias("body_hash"), t.normalize_subject(F.concat(F.lit(" Re: FW:  "), F.col("source"))).alias("subject"))
+
+
+def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: the ten vectors nearest to vector 0 by cosine."""
+    e = table(spark, sf_dir, "embeddings")
+    q = F.broadcast(e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("q")))
+    found = e.filter("vec_id != 0").join(q).select("vec_id", F.round(t.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    return found.orderBy(F.desc("similarity"), "vec_id").limit(10)
+
+
+OWN = {"t1_normalised_emails": emails_normalised, "v2_knn": knn}
+OWN_SQL = {
+    "t1_normalised_emails": r"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS body_hash,
+  lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS subject FROM documents""",
+    "v2_knn": """
+SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY similarity DESC, e.vec_id LIMIT 10""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _sql("f6_entity_claims")(spark, sf_dir)

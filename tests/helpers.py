@@ -19,7 +19,7 @@ def plain(v):
     if hasattr(v, "asDict"):
         return plain(v.asDict())
     if hasattr(v, "isoformat"):
-        return v.replace(tzinfo=None).isoformat()
+        return (v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v).isoformat()
     if type(v).__name__ == "Decimal":
         return plain(float(v)) if v % 1 else int(v)
     return v
