@@ -6,7 +6,7 @@ are hashes of what they stand for, so they are global without a dictionary: equa
 symbols everywhere. With every symbol goes its context, the words that decided its shape. A symbol whose context
 lies inside a window is found in every occurrence of that window.
 
-Each window is represented by the smallest such symbol inside it. Only windows whose representative occurs in more
+Each window is represented by the smallest such symbol inside it, named by the words of its context. Only windows whose representative occurs in more
 than one document (or that have none) can repeat; they are verified by a 128-bit hash of their words, and the
 smallest doc_id of each decides. So no repeat is lost, and most windows are never shuffled.
 """
@@ -26,7 +26,10 @@ from emberline.llm.common import only, texts
 from emberline.session import stored
 
 WINDOW, ROUNDS = 50, 2
+LONG = 12  # contexts of fewer words are taken only where there is no longer one
 _FAR = 1 << 40
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +86,16 @@ def representatives(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_words:
 def _parse(text: bytes, window: int):
     words = text.split()
     named = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    return words, *representatives(*recompress(named), len(words), window)
+    names, lo, hi = recompress(named)
+    inside = (lo >= 0) & (hi <= len(words))
+    lo, hi = lo[inside], hi[inside]
+    # the context is as certain as the symbol and tells more: its words give the name, long ones come first
+    power = np.append(np.uint64(1), np.cumprod(np.full(len(words), _BASE, np.uint64)))
+    back = np.append(np.uint64(1), np.cumprod(np.full(len(words), _INVERSE, np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(named * power[: len(words)], dtype=np.uint64))
+    key = _mix((sums[hi] - sums[lo]) * back[lo], (hi - lo).astype(np.uint64)) >> np.uint64(1)
+    key |= (hi - lo < LONG).astype(np.uint64) << np.uint64(63)
+    return words, *representatives(key, lo, hi, len(words), window)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
