@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions import text as t
+from emberline.functions import names, text as t
+from emberline.operators import mail, neardup, threads
 from emberline.plans import graph_sql
 from emberline.session import table
 
@@ -45,7 +46,78 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("similarity"), "vec_id").limit(10)
 
 
-OWN = {"t1_normalised_emails": emails_normalised, "v2_knn": knn}
+def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", mail.drop_reason(F.col("lang"), F.lit(""), F.col("text")).alias("reason"))
+
+
+def signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """how many messages pass the signal filter, and why others do not."""
+    return mail.filter_stats(_reasons(spark, sf_dir))
+
+
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different five-character shingles a text has."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(names.char_shingles(F.col("text"))).cast("long").alias("n"))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first address of a text, of texts that have one."""
+    found = table(spark, sf_dir, "documents").select("doc_id", names.email_addresses(F.array("text")).alias("a"))
+    return found.filter(F.size("a") > 0).select("doc_id", F.get("a", F.lit(0)).alias("address"))
+
+
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: the ten part names most like a name by trigrams, above 0.3."""
+    like = names.trigram_similarity(F.col("p_name"), F.lit("Part#7"))
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(like, 6).alias("similarity"))
+    return found.filter("similarity > 0.3").orderBy(F.desc("similarity"), "id").limit(10)
+
+
+def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last part of names."""
+    found = table(spark, sf_dir, "supplier").select("s_suppkey", names.name_parts(F.concat(F.col("s_name"), F.lit(" of  Acme"))).alias("p"))
+    return found.select("s_suppkey", F.col("p.first").alias("first"), F.col("p.last").alias("last"))
+
+
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different texts whose shingles have Jaccard similarity 0.85 or more."""
+    return neardup.near_pairs(table(spark, sf_dir, "documents")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message and the one that it is a near copy of."""
+    return neardup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def reply_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: threads of conversations, each turn being a reply to the one before."""
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+    none = F.lit(None)
+    emails = table(spark, sf_dir, "conversations").select(
+        name(F.col("turn")).alias("message_id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("in_reply_to"), none.cast("array<string>").alias("references"),
+        F.col("role").alias("sender"), none.cast("array<string>").alias("recipients"), F.lit("").alias("subject"), none.cast("timestamp").alias("date"),
+    )
+    return threads.build_threads(emails)
+
+
+OWN = {
+    "t1_normalised_emails": emails_normalised,
+    "v2_knn": knn,
+    "f1_signal_filter": _reasons,
+    "f2_signal_stats": signal_stats,
+    "t2_shingle_counts": shingle_counts,
+    "t6_email_addresses": addresses,
+    "t7_name_parts": name_parts,
+    "v3_trigram_search": trigram_search,
+    "j8_near_pairs": near_pairs,
+    "g4_near_dedup": near_dedup,
+    "g1_reply_threads": reply_threads,
+}
+_REASON_SQL = rf"""SELECT doc_id, CASE WHEN {" OR ".join(f"contains(lower(lang), '{x}')" for x in mail.SKIP_FOLDERS)} THEN 'folder'
+WHEN length(regexp_replace(coalesce(text, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) < 50 THEN 'length'
+WHEN {" + ".join(f"CAST(contains(lower(coalesce(text, '')), '{k}') AS INT)" for k in mail.KEYWORDS)} < 2 THEN 'signal' END AS reason FROM documents"""
+_SHINGLES = "SELECT DISTINCT doc_id, substr(x, CAST(i AS INT), 5) AS s FROM (SELECT doc_id, x, unnest(range(1, greatest(length(x) - 4, 1) + 1)) AS i FROM texts)"
 OWN_SQL = {
     "t1_normalised_emails": r"""
 SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS body_hash,
@@ -53,6 +125,18 @@ SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}'
     "v2_knn": """
 SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
 FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY similarity DESC, e.vec_id LIMIT 10""",
+    "f1_signal_filter": _REASON_SQL,
+    "f2_signal_stats": f"""WITH r AS ({_REASON_SQL}) SELECT count(*) AS input, count(*) FILTER (reason IS NULL) AS passed, count(*) FILTER (reason = 'folder') AS dropped_folder,
+count(*) FILTER (reason = 'length') AS dropped_length, count(*) FILTER (reason = 'signal') AS dropped_signal, round(100 * (1 - count(*) FILTER (reason IS NULL) / greatest(count(*), 1)), 1) AS reduction_pct FROM r""",
+    "t2_shingle_counts": rf"""WITH texts AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS x FROM documents) SELECT doc_id, count(*) AS n FROM ({_SHINGLES}) GROUP BY doc_id""",
+    "t6_email_addresses": r"""SELECT doc_id, a AS address FROM (SELECT doc_id, regexp_extract(lower(coalesce(text, '')), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+') AS a FROM documents) WHERE a <> ''""",
+    "t7_name_parts": "SELECT s_suppkey, lower(s_name) AS first, 'acme' AS last FROM supplier",
+    "v3_trigram_search": r"""WITH grams AS (SELECT id, unnest(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''),
+  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT -1, 'Part#7')),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id), met AS (SELECT a.id, count(*) AS k FROM grams a JOIN grams q ON q.g = a.g AND q.id = -1 WHERE a.id <> -1 GROUP BY a.id)
+SELECT met.id, round(k / (s.n + q.n - k), 6) AS similarity FROM met JOIN sizes s ON s.id = met.id JOIN sizes q ON q.id = -1 WHERE round(k / (s.n + q.n - k), 6) > 0.3 ORDER BY similarity DESC, met.id LIMIT 10""",
+    "g1_reply_threads": """WITH m AS (SELECT concat(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)) AS message_id, conv_id, turn - dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
+SELECT DISTINCT message_id, min(message_id) OVER (PARTITION BY conv_id, run) AS thread_id FROM m""",
 }
 
 
