@@ -84,7 +84,7 @@ ORDER BY d.n_chars NULLS LAST, d.doc_id LIMIT 200""",
         "",
         """SELECT a.claim_id AS a_id, b.claim_id AS b_id FROM claims a JOIN claims b
 ON a.subject_id = b.subject_id AND a.claim_type = b.claim_type AND a.object_id <> b.object_id AND a.claim_id < b.claim_id
-WHERE a.claim_type = 'WORKS_AT' AND a.valid_from <= coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from <= coalesce(a.valid_to, DATE '9999-12-31')""",
+WHERE a.valid_from <= coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from <= coalesce(a.valid_to, DATE '9999-12-31')""",
     ),
     "u1_table_counts": ([], "", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem"),
     "a1_stats": (["entities", "claims"], "", "SELECT (SELECT count(*) FROM documents) AS emails, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM lineitem) AS evidence"),
