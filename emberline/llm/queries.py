@@ -101,9 +101,13 @@ def _op5_sql() -> str:
     known = " ".join(f"WHEN '{k}' THEN {v}" for k, v in licenses.SENTENCES.items())
     rules = ", ".join(f"CASE WHEN contains(line, ',{','.join(map(str, seq))},') THEN {i} END" for i, (_, seq) in enumerate(licenses.RULES))
     names = ", ".join(f"'{name}'" for name, _ in licenses.RULES)
+    quoted = lambda x: "'" + x.replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '").replace("\x02", "' || chr(2) || '") + "'"
+    marked = "lower(coalesce(text, ''))"
+    for what, by in licenses.MARKS:
+        marked = f"regexp_replace({marked}, {quoted(what)}, {quoted(by)}, 'g')"
     return rf"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
-ids AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: CASE trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) {known} END), lambda x: x IS NOT NULL) AS k FROM cut),
+WITH marked AS (SELECT doc_id, chr(10) || {marked} || chr(10) AS x FROM documents),
+ids AS (SELECT doc_id, list_transform(regexp_extract_all(x, {quoted(licenses.PATTERN)}, 1), lambda s: CASE replace(s, chr(10) || chr(10), ' ') {known} END) AS k FROM marked),
 lines AS (SELECT doc_id, coalesce(array_to_string(k, ','), '') AS sentence_ids, ',' || coalesce(array_to_string(k, ','), '') || ',' AS line FROM ids),
 met AS (SELECT doc_id, sentence_ids, list_transform(list_filter([{rules}], lambda x: x IS NOT NULL), lambda i: [{names}][i + 1]) AS m FROM lines),
 kept AS (SELECT doc_id, sentence_ids, list_filter(m, lambda x, i: list_position(m, x) = i) AS m FROM met)
