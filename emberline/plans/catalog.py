@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import names, text as t
@@ -38,12 +40,43 @@ def emails_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(t.strip_quotes(body), 256).alias("body_hash"), t.normalize_subject(F.concat(F.lit(" Re: FW:  "), F.col("source"))).alias("subject"))
 
 
+#: Vectors of a block of rows and of a block of queries.
+ROW_BLOCK, QUERY_BLOCK = 1024, 512
+
+
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: the ten vectors nearest to vector 0 by cosine."""
-    e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.filter("vec_id = 0").limit(1).select(F.col("embedding").alias("q")))
-    found = e.filter("vec_id != 0").join(q).select("vec_id", F.round(t.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    return found.orderBy(F.desc("similarity"), "vec_id").limit(10)
+    """V2: for every vector with an id divisible by 100, the ten other vectors nearest by cosine; zero vectors have no direction and are left out."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    q = e.filter("vec_id % 100 = 0")
+    rows, queries = max(1, -(-e.count() // ROW_BLOCK)), max(1, -(-q.count() // QUERY_BLOCK))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("vec_id", "embedding", own(queries).alias("i"), every(rows).alias("j"))
+    right = e.select("vec_id", "embedding", every(queries).alias("i"), own(rows).alias("j"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        """The ten best of a block of rows for each of a block of queries."""
+        out: list[list] = [[], [], []]
+        if a.num_rows and b.num_rows:
+            x, y = (np.array(t.column("embedding").to_pylist(), np.float64) for t in (a, b))
+            of, to = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+            with np.errstate(invalid="ignore", divide="ignore"):
+                found = np.round(x @ y.T / np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1))), 6)
+            for k, line in enumerate(found):
+                at = np.flatnonzero(np.isfinite(line) & (to != of[k]))
+                at = at[np.lexsort((to[at], -line[at]))[:10]]
+                for held, more in zip(out, ([of[k]] * len(at), to[at], line[at]), strict=True):
+                    held.extend(more)
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "similarity"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id long, vec_id long, similarity double")
+    return _ten(found, "vec_id")
+
+
+def _ten(found: DataFrame, to: str) -> DataFrame:
+    """The ten most similar rows of each query, ties by id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), to)
+    return found.withColumn("k", F.row_number().over(order)).filter("k <= 10").drop("k")
 
 
 def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +101,15 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: the ten part names most like a name by trigrams, above 0.3."""
-    like = names.trigram_similarity(F.col("p_name"), F.lit("Part#7"))
-    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(like, 6).alias("similarity"))
-    return found.filter("similarity > 0.3").orderBy(F.desc("similarity"), "id").limit(10)
+    """V3: for every part with a key divisible by 100, the ten other parts whose names are most like its by trigrams, above 0.3."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    asked = parts.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("name").alias("q"))
+    # parts of one name are equally like: of each name only the first ten, and the one that asks, can be among the ten
+    first = parts.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id"))).filter("k <= 11").drop("k")
+    like = F.round(names.trigram_similarity(F.col("name"), F.col("q")), 6)
+    pairs = parts.select("name").distinct().crossJoin(asked.select("q").distinct()).select("name", "q", like.alias("similarity")).filter("similarity > 0.3")
+    found = asked.join(pairs, "q").join(first, "name").filter("id != query_id").select("query_id", "id", "similarity")
+    return _ten(found, "id")
 
 
 def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +161,9 @@ OWN_SQL = {
 SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS body_hash,
   lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS subject FROM documents""",
     "v2_knn": """
-SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
-FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY similarity DESC, e.vec_id LIMIT 10""",
+WITH met AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, vec_id, similarity FROM met WHERE isfinite(similarity) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""",
     "f1_signal_filter": _REASON_SQL,
     "f2_signal_stats": f"""WITH r AS ({_REASON_SQL}) SELECT count(*) AS input, count(*) FILTER (reason IS NULL) AS passed, count(*) FILTER (reason = 'folder') AS dropped_folder,
 count(*) FILTER (reason = 'length') AS dropped_length, count(*) FILTER (reason = 'signal') AS dropped_signal, round(100 * (1 - count(*) FILTER (reason IS NULL) / greatest(count(*), 1)), 1) AS reduction_pct FROM r""",
@@ -132,9 +171,10 @@ count(*) FILTER (reason = 'length') AS dropped_length, count(*) FILTER (reason =
     "t6_email_addresses": r"""SELECT doc_id, a AS address FROM (SELECT doc_id, regexp_extract(lower(coalesce(text, '')), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+') AS a FROM documents) WHERE a <> ''""",
     "t7_name_parts": "SELECT s_suppkey, lower(s_name) AS first, 'acme' AS last FROM supplier",
     "v3_trigram_search": r"""WITH grams AS (SELECT id, unnest(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''),
-  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM (SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT -1, 'Part#7')),
-sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id), met AS (SELECT a.id, count(*) AS k FROM grams a JOIN grams q ON q.g = a.g AND q.id = -1 WHERE a.id <> -1 GROUP BY a.id)
-SELECT met.id, round(k / (s.n + q.n - k), 6) AS similarity FROM met JOIN sizes s ON s.id = met.id JOIN sizes q ON q.id = -1 WHERE round(k / (s.n + q.n - k), 6) > 0.3 ORDER BY similarity DESC, met.id LIMIT 10""",
+  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM (SELECT p_partkey AS id, p_name AS name FROM part)),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id), met AS (SELECT q.id AS query_id, a.id, count(*) AS k FROM grams a JOIN grams q ON q.g = a.g AND q.id % 100 = 0 AND a.id <> q.id GROUP BY q.id, a.id),
+found AS (SELECT query_id, met.id, round(k / (s.n + q.n - k), 6) AS similarity FROM met JOIN sizes s ON s.id = met.id JOIN sizes q ON q.id = query_id)
+SELECT query_id, id, similarity FROM found WHERE similarity > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10""",
     "g1_reply_threads": """WITH m AS (SELECT concat(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)) AS message_id, conv_id, turn - dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
 SELECT DISTINCT message_id, min(message_id) OVER (PARTITION BY conv_id, run) AS thread_id FROM m""",
 }
