@@ -119,8 +119,11 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different texts whose shingles have Jaccard similarity 0.85 or more."""
-    return neardup.near_pairs(table(spark, sf_dir, "documents")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Kind, a, b, similarity. 'pair': different texts, each by the smallest doc_id that has it, whose shingles have
+    Jaccard similarity 0.85 or more. 'member': every document b and the smallest doc_id a of its text."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = neardup.near_pairs(docs).select(F.lit("pair").alias("kind"), "a", "b", F.round("similarity", 6).alias("similarity"))
+    return pairs.unionByName(neardup.distinct_texts(docs).select(F.lit("member").alias("kind"), F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,11 @@ def test_trigram_search_of_every_hundredth_part(spark):
         want |= {(q, k) for s, k in sorted(like)[:10] if s < -0.3}
     assert want
     assert {(r.query_id, r.id) for r in catalog.queries()["v3_trigram_search"](spark, SF).collect()} == want
+
+
+def test_near_pairs_name_every_document(spark, tmp_path):
+    text = "the same words of one text stand here"
+    rows = [(5, text), (3, text), (4, text + "s"), (9, "else"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.kind, r.a, r.b) for r in catalog.queries()["j8_near_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("pair", 3, 4)} | {("member", a, b) for a, b in [(3, 3), (3, 5), (4, 4), (9, 9), (7, 7)]}
