@@ -72,7 +72,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
