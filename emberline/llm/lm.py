@@ -1,47 +1,196 @@
-"""Cross-entropy difference: how much better a target model predicts a document than a background model.
+"""Cross-entropy difference of matched n-gram models.
 
-Both are interpolated bigram models over one shared vocabulary, the words of the background. Counts cover every
-document and stay distributed: a pair's loss difference is a row of a table that grows with the corpus, and
-documents meet it by a shuffled join on the pair, which the adaptive planner splits where a pair is hot.
+A target model and a background model, of all other documents, share one vocabulary: the ``vocabulary`` most frequent
+words of all documents, every other word being one unknown word. Both are bigram models, smoothed alike towards their
+single words; the background's counts are scaled to the target's size, so the two are matched in order, vocabulary,
+smoothing and size. A document's score is the mean over its words of background loss minus target loss.
+
+No document is scored by a model that has seen it: texts are dealt into two halves by hash, copies together, and each
+half is scored by the counts of the other.
+
+Counts cover every document. Word and pair counts are summed within a task before they are shuffled. Only the counts of
+single words and of the ``hot`` most frequent pairs, both of bounded number, are broadcast; documents meet the other pairs,
+whose number grows with the corpus, by a shuffled join in which no pair is hot any more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import only, words_of
-from emberline.session import stored
+from emberline.llm.common import only, texts
+from emberline.llm.simhash import LOWER
+from emberline.session import scratch, stored
+
+VOCABULARY, HOT = 1 << 15, 1 << 20
+WEIGHT, ADD = 5.0, 0.5  # of the single words in a pair's probability, and of every word in theirs
+CHUNK = 1 << 21  # words that a task sums at a time
+
+
+def _half(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text, 7) & 1
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    words = text.translate(LOWER).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+class _Words:
+    """Numbers of the vocabulary's words: 1 on, unknown words 0, and one more before a text's first word."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.sort(known) if len(known) else np.array([0], np.int64)
+        self.base = len(self.known) + 2
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        found = _hashes(text)
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        return np.where(self.known[at] == found, at + 1, 0)
+
+    def pairs(self, text: bytes) -> np.ndarray:
+        """Of every word the number of the word before it times ``base``, and its own."""
+        w = self.numbers(text)
+        return np.append(self.base - 1, w[:-1]) * self.base + w if len(w) else w
+
+
+def _summed(rows: DataFrame, keys, columns: str) -> DataFrame:
+    """(key, n) of the integers that ``keys`` gives for each batch, summed within a task as far as they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-MIX, ADD = 0.7, 0.5
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
+        for batch in batches:
+            for found in keys(batch):
+                held.append(found)
+                size += len(found)
+                if size >= CHUNK:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
-def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    return only(rows, *columns.split()).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+class _Model:
+    """Counts of single words by half and class, dense over the vocabulary, and the scales that match the two sizes."""
+
+    def __init__(self, before: np.ndarray, single: np.ndarray):
+        """``before``, ``single``: (half, class, word) counts as a pair's first and second word; class 1 is the target."""
+        total = single.sum(2)
+        self.scale = np.stack([np.where(total[:, 0] > 0, total[:, 1] / np.maximum(total[:, 0], 1), 0), np.ones(2)], 1)
+        size = (total * self.scale)[:, :, None]
+        self.before = before * self.scale[:, :, None]
+        self.word = (single * self.scale[:, :, None] + ADD) / (size + ADD * single.shape[2])
+
+    def gain(self, half: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Background loss minus target loss of pairs by the counts (class, pair) of a half."""
+        p = [(counts[c] * self.scale[half, c] + WEIGHT * self.word[half, c][w]) / (self.before[half, c][v] + WEIGHT) for c in (0, 1)]
+        return np.log(p[1] / p[0])
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, score) of every row of ``docs`` (doc_id, text); the target is the rows whose doc_id is in ``target_ids``.
 
-    score: mean over tokens of background loss minus target loss, in nats; higher is more like the target. Null
-    and empty texts have 0 words and score 0. Rows that share a doc_id are scored as one document of all their
-    words; a row without a doc_id belongs to the background and is scored with the others without one.
+    Words are runs of anything but ASCII space and U+0009 to U+000D, A-Z in lower case. Higher scores, in nats, are more
+    like the target. Null and empty texts have 0 words and score 0; without a target or a background all scores are 0.
+    Rows that share a doc_id (or have none) are scored as one document of all their words.
     """
-    chosen = target_ids.select(F.col("doc_id").alias("_t")).filter("_t IS NOT NULL").distinct()
-    named = only(docs, "doc_id", "text").select("doc_id", words_of(F.lower("text")).alias("w"))
-    ids = named.select("doc_id", F.size("w").cast("long").alias("n_words"))
-    pair = F.posexplode(F.transform("w", lambda x, i: F.struct(F.when(i > 0, F.get(F.col("w"), i - 1)).otherwise(F.lit("")).alias("v"), x.alias("w"))))
-    held = named.select("doc_id", pair.alias("i", "p")).groupBy("doc_id", "p.v", "p.w").agg(F.count(F.lit(1)).alias("n"))
-    held = stored(held.join(chosen, held["doc_id"] == chosen["_t"], "left").select("doc_id", "v", "w", "n", F.when(F.col("_t").isNotNull(), F.col("n")).otherwise(0).alias("t")), "pairs")
-    pairs = stored(held.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
-    before = pairs.groupBy("v").agg(F.sum("n").alias("vn"), F.sum("t").alias("vt"))
-    single = pairs.groupBy("w").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt"))
-    whole = F.broadcast(single.agg(F.sum("wn").alias("all_n"), F.sum("wt").alias("all_t"), F.count(F.lit(1)).alias("kinds")))
-    rows = pairs.join(before, "v").join(single, "w").join(whole)
-
-    def p(c: str, vc: str, wc: str, total: str):
-        base = (F.col(wc) + ADD) / (F.col(total) + ADD * F.col("kinds"))
-        return F.when(F.col(vc) > 0, MIX * F.col(c) / F.col(vc) + (1 - MIX) * base).otherwise(base)
-
-    model = rows.select("v", "w", (F.log(p("t", "vt", "wt", "all_t")) - F.log(p("n", "vn", "wn", "all_n"))).alias("d"))
-    sums = held.join(model, ["v", "w"]).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("d")).alias("s"))
-    sums = sums.withColumnRenamed("doc_id", "_d")
-    ids = ids.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    found = ids.join(sums, ids["doc_id"].eqNullSafe(sums["_d"]), "left")
-    return found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"))
+    spark = docs.sparkSession
+    with scratch(spark) as own:
+        rows = only(docs, "doc_id", "text")
+        counted = _summed(rows, lambda batch: map(_hashes, texts(batch)), "text")
+        known = counted.orderBy(F.desc("n"), "key").limit(vocabulary).select("key").toArrow()["key"].to_numpy()
+        words = _Words(known)
+        shared = spark.sparkContext.broadcast(words)
+        base = words.base
+
+        chosen = target_ids.select(F.col("doc_id").alias("_t")).filter("_t IS NOT NULL").distinct()
+        flagged = rows.join(chosen, rows["doc_id"] == chosen["_t"], "left").select("text", F.col("_t").isNotNull().alias("target"))
+
+        def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for text, target in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
+                yield shared.value.pairs(text) * 4 + (2 * _half(text) + target)
+
+        by_kind = _summed(flagged, keys, "text target")
+        of = lambda k: F.coalesce(F.sum(F.when(F.pmod("key", F.lit(4)) == k, F.col("n"))), F.lit(0)).alias(f"n{k}")
+        pairs = by_kind.groupBy(F.floor(F.col("key") / 4).cast("long").alias("pair")).agg(*[of(k) for k in range(4)])
+        pairs = stored(pairs, "pairs").withColumn("n", sum((F.col(f"n{k}") for k in range(1, 4)), F.col("n0")))
+
+        def dense(by) -> np.ndarray:
+            """(half, class, word) counts; as many rows as the vocabulary has words."""
+            table = pairs.groupBy(by.cast("long").alias("word")).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]).toArrow()
+            out = np.zeros((4, base))
+            for k in range(4):
+                out[k, table["word"].to_numpy()] = table[f"n{k}"].to_numpy()
+            return out.reshape(2, 2, base)
+
+        model = _Model(dense(F.floor(F.col("pair") / base)), dense(F.col("pair") % base))
+        # the least count of a hot pair, from the numbers of pairs by steps of their count
+        step = F.floor(F.log2("n") * 16)
+        least, met = 0, 0
+        for row in sorted(pairs.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):
+            met += row["m"]
+            if met > hot:
+                least = row["step"] + 1
+                break
+        top = pairs.filter(step >= least).select("pair", *[f"n{k}" for k in range(4)]).toArrow()
+        pair = top["pair"].to_numpy()
+        order = np.argsort(pair)
+        pair, counts = pair[order], np.stack([top[f"n{k}"].to_numpy()[order] for k in range(4)]).reshape(2, 2, -1).astype(np.float64)
+        gains = np.stack([model.gain(1 - f, pair // base, pair % base, counts[1 - f]) for f in (0, 1)]).astype(np.float32)
+        table = spark.sparkContext.broadcast((model, pair, gains))
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, hot_pairs, hot_gains = table.value
+            zero = np.zeros((2, 1))
+            for batch in batches:
+                sums, sizes, halves, cold, times = [], [], [], [], []
+                for text in texts(batch):
+                    found, half = shared.value.pairs(text), _half(text)
+                    at = np.minimum(np.searchsorted(hot_pairs, found), len(hot_pairs) - 1) if len(hot_pairs) else np.zeros(len(found), np.int64)
+                    met = hot_pairs[at] == found if len(hot_pairs) else np.zeros(len(found), bool)
+                    total = float(hot_gains[half][at[met]].sum(dtype=np.float64))
+                    other, n = np.unique(found[~met], return_counts=True)
+                    if len(other):
+                        total += float((m.gain(1 - half, other // base, other % base, zero) * n).sum())
+                    sums.append(total)
+                    sizes.append(len(found))
+                    halves.append(half)
+                    cold.append(other)
+                    times.append(n)
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(halves, pa.int32()), pa.array(cold, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "s", "half", "cold", "times"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        first = stored(rows.mapInArrow(scored, f"doc_id {kind}, n_words long, s double, half int, cold array<long>, times array<long>"), "scored")
+
+        def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What the other half's counts of a pair add to its gain without them."""
+            m = table.value[0]
+            for batch in batches:
+                p = batch.column(0).to_numpy()
+                n = np.stack([np.asarray(batch.column(k)) for k in range(1, 5)]).reshape(2, 2, -1).astype(np.float64)
+                more = [m.gain(1 - f, p // base, p % base, n[1 - f]) - m.gain(1 - f, p // base, p % base, np.zeros_like(n[0])) for f in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more[0]), pa.array(more[1])], ["pair", "more0", "more1"])
+
+        both = (F.col("n0") + F.col("n1") > 0) & (F.col("n2") + F.col("n3") > 0)
+        rare = pairs.filter((step < least) & both).select("pair", *[f"n{k}" for k in range(4)]).mapInArrow(mended, "pair long, more0 double, more1 double")
+        asked = first.select("doc_id", "half", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("doc_id", "half", F.col("x.cold").alias("pair"), F.col("x.times").alias("times"))
+        added = asked.join(rare, "pair").groupBy("doc_id").agg(F.sum(F.col("times") * F.when(F.col("half") == 0, F.col("more0")).otherwise(F.col("more1"))).alias("more"))
+        added = added.withColumnRenamed("doc_id", "_d")
+        whole = first.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s"))
+        found = whole.join(added, whole["doc_id"].eqNullSafe(added["_d"]), "left")
+        mean = (F.col("s") + F.coalesce("more", F.lit(0.0))) / F.col("n_words")
+        return own.result(found.select("doc_id", "n_words", F.when(F.col("n_words") > 0, mean).otherwise(F.lit(0.0)).alias("score")))
