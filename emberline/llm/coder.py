@@ -1,13 +1,17 @@
 """An adaptive context-mixing range coder for token ids.
 
-A block of ids is coded on its own: the model starts anew, and a CRC32 guards the ids. Each id is predicted by
-order 2 (the id last seen after the same two ids), by order 1 (after the same id) and by order 0 (adaptive
-counts of its four hexadecimal digits, each under the digits before it). Whether the order-2 and order-1
-predictions hit is coded with mixed probabilities of an own and a joint context, whose weight adapts; all
-probabilities are integers, so encoder and decoder agree on every machine.
-
-Many blocks are coded in lockstep: every variable is an array with one entry a block, and one pass over the
-longest block codes them all.
+A block of ids is coded on its own: the model starts anew, and a CRC32 guards the ids. Three orders predict each id:
+order 2 the id last seen after the same two ids, order 1 the id last seen after the same one, order 0 every id, by
+adaptive counts of its digits, each digit under those before it. The three are mixed: the probability of an id is the
+weight of order 2 if it is that prediction, plus the weight of order 1 if it is that one, plus the weight of order 0 times
+the id's order-0 probability. The weights adapt, as the mean of two contexts: how often the predictions in place have
+been right, and which orders were right for the last two ids. An id is coded by the first order that predicts it.
+
+Probabilities are of 2 ** 15 and integers throughout, so encoder and decoder agree on every machine. The coder is a
+carry-less range coder of 64 bits that moves 32 at a time.
+
+Many blocks are coded in lockstep: every variable is an array with one entry a block, and one pass over the longest
+block codes them all.
 """
 
 from __future__ import annotations
@@ -17,168 +21,173 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 512
-MAGIC = b"EMC1"
-_SLOTS = 4096
-_ONE = 4096  # probabilities are of 4096
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_S16, _S48 = np.uint64(16), np.uint64(48)
-_LOW = _BOT - np.uint64(1)
+BLOCK, LANES = 1024, 4096
+MAGIC = b"EMC2"
+_SLOTS = 1024
+_BITS = 15
+_ONE = 1 << _BITS
+_RATE = 5
+_S32, _LOW, _WORD = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
+#: Cumulative targets of a digit: row d is what the counts move to when digit d is seen; every digit keeps some room.
+_TO = np.array([[i * 16 if i <= d else _ONE - (16 - i) * 16 for i in range(16)] for d in range(16)], np.int16)
+_START = (np.arange(16) * (_ONE // 16)).astype(np.int16)
 
 
 class _Coder:
-    """A carry-less range coder a lane: 64-bit state, 16-bit words."""
+    """A range coder a lane. ``narrow`` takes all lanes of a prefix or some of them."""
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
-        low = self.low[lanes] + start.astype(np.uint64) * step
+    def narrow(self, at, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
+        low = self.low[at] + start.astype(np.uint64) * step
         wide = step * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, wide
-        while True:
-            settled = (low ^ (low + wide)) < _TOP
-            tight = ~settled & (wide < _BOT)
-            at = np.flatnonzero(settled | tight)
-            if not len(at):
-                return
-            lanes, low, wide, tight = lanes[at], low[at], wide[at], tight[at]
-            wide = np.where(tight, (np.uint64(0) - low) & _LOW, wide)
-            self.shift(lanes, low >> _S48)
-            low, wide = low << _S16, wide << _S16
-            self.low[lanes], self.range[lanes] = low, wide
+        tight = np.flatnonzero(wide < _WORD)
+        if len(tight):
+            # a range that straddles a word's border is cut at it, so the high word is settled
+            cut = low[tight]
+            self.shift(at[tight] if isinstance(at, np.ndarray) else tight, cut >> _S32)
+            wide[tight] = np.minimum(wide[tight], _WORD - (cut & _LOW)) << _S32
+            low[tight] = cut << _S32
+        self.low[at], self.range[at] = low, wide
 
 
 class Encoder(_Coder):
     def __init__(self, lanes: int, words: int):
         super().__init__(lanes)
-        self.out, self.n = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
+        self.out, self.n = np.zeros((lanes, words), np.uint32), np.zeros(lanes, np.int64)
 
     def shift(self, lanes, words):
-        if self.n.max() >= self.out.shape[1]:
+        n = self.n[lanes]
+        if int(n.max()) >= self.out.shape[1]:
             self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out[lanes, self.n[lanes]] = words
-        self.n[lanes] += 1
+        self.out[lanes, n] = words
+        self.n[lanes] = n + 1
 
-    def bit(self, lanes, p, bits):
-        step = self.range[lanes] >> np.uint64(12)
-        self.narrow(lanes, np.where(bits, 0, p), np.where(bits, p, _ONE - p), step)
-        return bits
-
-    def digit(self, lanes, counts, digits):
-        ends = np.cumsum(counts, axis=1, dtype=np.int64)
-        row = np.arange(len(lanes))
-        size = counts[row, digits].astype(np.int64)
-        self.narrow(lanes, ends[row, digits] - size, size, self.range[lanes] // ends[:, -1].astype(np.uint64))
-        return digits
+    def value(self, at, extra):
+        return self.range[at] >> np.uint64(_BITS + extra), None
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for _ in range(4):
-            self.shift(every, self.low >> _S48)
-            self.low <<= _S16
-        return [self.out[i, : self.n[i]].astype("<u2").tobytes() for i in every]
+        for _ in range(2):
+            self.shift(every, self.low >> _S32)
+            self.low <<= _S32
+        return [self.out[i, : self.n[i]].astype("<u4").tobytes() for i in every]
 
 
 class Decoder(_Coder):
     def __init__(self, coded: list[bytes]):
         super().__init__(len(coded))
-        most = max(map(len, coded)) // 2 + 8
-        self.data, self.n = np.zeros((len(coded), most), np.uint64), np.full(len(coded), 4, np.int64)
+        most = max(map(len, coded)) // 4 + 4
+        self.data, self.n = np.zeros((len(coded), most), np.uint64), np.full(len(coded), 2, np.int64)
         for i, c in enumerate(coded):
-            self.data[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-        self.code = np.zeros(len(coded), np.uint64)
-        for k in range(4):
-            self.code = self.code << _S16 | self.data[:, k]
+            self.data[i, : len(c) // 4] = np.frombuffer(c[: len(c) // 4 * 4], "<u4")
+        self.code = self.data[:, 0] << _S32 | self.data[:, 1]
 
     def shift(self, lanes, _):
-        at = np.minimum(self.n[lanes], self.data.shape[1] - 1)
-        self.code[lanes] = self.code[lanes] << _S16 | self.data[lanes, at]
-        self.n[lanes] += 1
-
-    def bit(self, lanes, p, _):
-        step = self.range[lanes] >> np.uint64(12)
-        bits = (self.code[lanes] - self.low[lanes]) // step < p.astype(np.uint64)
-        self.narrow(lanes, np.where(bits, 0, p), np.where(bits, p, _ONE - p), step)
-        return bits
-
-    def digit(self, lanes, counts, _):
-        ends = np.cumsum(counts, axis=1, dtype=np.int64)
-        step = self.range[lanes] // ends[:, -1].astype(np.uint64)
-        value = np.minimum(((self.code[lanes] - self.low[lanes]) // step).astype(np.int64), ends[:, -1] - 1)
-        digits = (ends <= value[:, None]).sum(1)
-        row = np.arange(len(lanes))
-        size = counts[row, digits].astype(np.int64)
-        self.narrow(lanes, ends[row, digits] - size, size, step)
-        return digits
-
-
-def _learn(table, index, bits):
-    p = table[index]
-    table[index] = np.where(bits, p + ((_ONE - p) >> 5), p - (p >> 5))
-
-
-def _flag(coder, lanes, own, joint, weight, a, b, bits):
-    """Code whether a prediction hits: the own and the joint context's probabilities, mixed by a weight a lane."""
-    w = weight[lanes]
-    x, y = own[lanes, a], joint[lanes, b]
-    p = np.clip((w * x + (256 - w) * y) >> 8, 32, _ONE - 32)
-    bits = coder.bit(lanes, p, bits)
-    better = np.where(bits, x > y, x < y)
-    weight[lanes] = np.clip(w + np.where(x == y, 0, np.where(better, 4, -4)), 16, 240)
-    _learn(own, (lanes, a), bits)
-    _learn(joint, (lanes, b), bits)
-    return bits
+        n = self.n[lanes]
+        self.code[lanes] = self.code[lanes] << _S32 | self.data[lanes, np.minimum(n, self.data.shape[1] - 1)]
+        self.n[lanes] = n + 1
+
+    def value(self, at, extra):
+        step = self.range[at] >> np.uint64(_BITS + extra)
+        return step, ((self.code[at] - self.low[at]) // step).astype(np.int64)
+
+
+class _Weights:
+    """Where the weights of order 2, order 1 and order 0 end, under some contexts a lane."""
+
+    def __init__(self, lanes: int, contexts: int):
+        self.ends = np.tile(np.array([_ONE // 8, _ONE // 4], np.int32), lanes * contexts).view(np.int64)
+        self.first = np.arange(lanes) * contexts
+
+    def at(self, m: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = self.first[:m] + context
+        return place, self.ends.take(place).view(np.int32).reshape(-1, 2)
+
+    def learn(self, place, ends, to) -> None:
+        self.ends[place] = (ends + (to - ends >> _RATE)).view(np.int64).ravel()
+
+
+#: What the ends move to when order 2, order 1 or order 0 was right; each keeps some room.
+_RIGHT = np.array([[_ONE - 128, _ONE - 64], [64, _ONE - 64], [64, 128]], np.int32)
 
 
 def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code the lanes in lockstep. ``lengths`` descends; ``ids`` (lanes, longest) is None to decode."""
+    """Code the lanes in lockstep. ``lengths`` descends; ``ids`` (longest, lanes) is None to decode."""
     n, most = len(lengths), int(lengths[0]) if len(lengths) else 0
-    out = np.zeros((n, most), np.int64) if ids is None else ids
-    guess = np.full((2, n, _SLOTS), -1, np.int32)
-    trust = np.zeros((2, n, _SLOTS), np.int8)
-    own = [np.full((n, 8), _ONE // 4, np.int64) for _ in range(2)]
-    joint = [np.full((n, 128), _ONE // 4, np.int64) for _ in range(2)]
-    weight = [np.full(n, 128, np.int64) for _ in range(2)]
-    counts = [np.ones((n, 16 ** (k), 16), np.uint16) for k in range(4)]
+    out = np.zeros((most, n), np.int64) if ids is None else ids
+    # a prediction and how often it was right, in one number
+    guess = [np.full(n * _SLOTS, -1 << 3, np.int32) for _ in range(2)]
+    slot0, first_cell = np.arange(n) * _SLOTS, np.arange(n) * 16
+    trust, recent = _Weights(n, 128), _Weights(n, 16)
+    last_right = np.full(n, 10, np.int64)
+    # a context's sixteen digits are one item, so they are moved at once
+    digits = [np.tile(_START, n * contexts).view("V32") for contexts in (1, 16, 256)]
+    row0 = [np.arange(n) * contexts for contexts in (1, 16, 256)]
     before, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    encoding, m, every = ids is not None, n, slice(0, n)
     for t in range(most):
-        m = int(np.searchsorted(-lengths, -t, side="left"))
-        lanes = np.arange(m)
-        two, one = (before[:m] * 40503 + last[:m] * 30011 >> 3) % _SLOTS, last[:m] % _SLOTS
-        g2, g1 = guess[0, lanes, two].astype(np.int64), guess[1, lanes, one].astype(np.int64)
-        c2, c1 = trust[0, lanes, two].astype(np.int64), trust[1, lanes, one].astype(np.int64)
-        same = g2 == g1
-        actual = None if ids is None else ids[:m, t]
-        hit2 = _flag(coder, lanes, own[0], joint[0], weight[0], c2, c2 * 16 + c1 * 2 + same, None if ids is None else actual == g2)
-        miss = np.flatnonzero(~hit2)
-        hit1 = np.zeros(m, bool)
-        if len(miss):
-            a = c1[miss]
-            hit1[miss] = _flag(coder, miss, own[1], joint[1], weight[1], a, a * 16 + c2[miss] * 2 + same[miss], None if ids is None else actual[miss] == g1[miss])
-        value = np.where(hit2, g2, np.where(hit1, g1, 0))
-        rest = np.flatnonzero(~hit2 & ~hit1)
+        if lengths[m - 1] <= t:
+            m = int(np.searchsorted(-lengths, -t, side="left"))
+        every = slice(0, m)
+        two = slot0[:m] + ((before[:m] * 40503 + last[:m] * 30011 >> 3) & _SLOTS - 1)
+        one = slot0[:m] + (last[:m] & _SLOTS - 1)
+        h2, h1 = guess[0].take(two), guess[1].take(one)
+        g2, g1, c2, c1 = h2 >> 3, h1 >> 3, h2 & 7, h1 & 7
+        place, ends = trust.at(m, c2 * 16 + c1 * 2 + (g2 == g1))
+        place2, ends2 = recent.at(m, last_right[:m])
+        mixed = ends + ends2 >> 1
+        step, value = coder.value(every, 0)
+        if encoding:
+            actual = ids[t, :m]
+            right = np.where(actual == g2, 0, np.where(actual == g1, 1, 2))
+        else:
+            right = (value >= mixed[:, 0]).astype(np.int64) + (value >= mixed[:, 1])
+        start = np.where(right == 0, 0, np.where(right == 1, mixed[:, 0], mixed[:, 1]))
+        end = np.where(right == 0, mixed[:, 0], np.where(right == 1, mixed[:, 1], _ONE))
+        coder.narrow(every, start, end - start, step)
+        to = _RIGHT[right]
+        trust.learn(place, ends, to)
+        recent.learn(place2, ends2, to)
+        last_right[:m] = (last_right[:m] & 3) << 2 | right
+        rest = np.flatnonzero(right == 2)
+        seen = np.where(right == 0, g2, g1).astype(np.int64) if not encoding else actual
         if len(rest):
+            lanes = every if len(rest) == m else rest
+            exact = actual[rest] if encoding else None
             prefix = np.zeros(len(rest), np.int64)
-            for k in range(4):
-                digits = None if ids is None else (actual[rest] >> 12 - 4 * k) & 15
-                row = counts[k][rest, prefix]
-                digits = coder.digit(rest, row, digits)
-                counts[k][rest, prefix, digits] += 24
-                full = np.flatnonzero(row.sum(1, dtype=np.int64) > 8000)
-                if len(full):
-                    r, p = rest[full], prefix[full]
-                    counts[k][r, p] = (counts[k][r, p] >> 1) + 1
-                prefix = prefix << 4 | digits
-            value[rest] = prefix
-        for order, slot, g, c in ((0, two, g2, c2), (1, one, g1, c1)):
-            hit = value == g
-            guess[order, lanes, slot] = np.where(hit | (c > 1), g, value)
-            trust[order, lanes, slot] = np.where(hit, np.minimum(c + 1, 7), np.where(c > 1, c >> 1, 1))
-        if ids is None:
-            out[:m, t] = value
-        before[:m], last[:m] = last[:m], value
+            for k in range(3):
+                row = row0[k][rest] + prefix
+                ends = digits[k].take(row).view(np.int16).reshape(-1, 16)
+                extra = 4 if k == 2 else 0  # the last digit comes along with equal chances
+                step, value = coder.value(lanes, extra)
+                if encoding:
+                    d = exact >> 12 - 4 * k & 15
+                    low = exact & 15
+                else:
+                    d = np.bitwise_count((ends <= np.minimum(value >> extra, _ONE - 1).astype(np.int16)[:, None]).view(np.uint64)).sum(1).astype(np.int64) - 1
+                cells = first_cell[: len(rest)] + d
+                flat = ends.ravel()
+                start = flat.take(cells).astype(np.int64)
+                size = np.where(d == 15, np.int64(_ONE), flat.take(cells + 1, mode="clip")) - start
+                if k == 2:
+                    start = start << 4
+                    if not encoding:
+                        low = np.minimum((value - start) // size, 15)
+                    start = start + low * size
+                coder.narrow(lanes, start, size, step)
+                digits[k][row] = (ends + (_TO[d] - ends >> _RATE)).view("V32").ravel()
+                prefix = prefix << 4 | d
+            if not encoding:
+                seen[rest] = prefix << 4 | low
+        for table, place, g, c in ((guess[0], two, g2, c2), (guess[1], one, g1, c1)):
+            hit = seen == g
+            table[place] = np.where(hit, g << 3 | np.minimum(c + 1, 7), np.where(c > 1, g << 3 | c >> 1, seen << 3 | 1))
+        if not encoding:
+            out[t, :m] = seen
+        before[:m], last[:m] = last[:m], seen
     return out
 
 
@@ -188,12 +197,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for at in range(0, len(blocks), LANES):
         order = sorted(range(at, min(at + LANES, len(blocks))), key=lambda i: -len(blocks[i]))
         lengths = np.array([len(blocks[i]) for i in order], np.int64)
-        ids = np.zeros((len(order), int(lengths[0])), np.int64)
-        for row, i in enumerate(order):
+        ids = np.zeros((int(lengths[0]), len(order)), np.int64)
+        for lane, i in enumerate(order):
             if len(blocks[i]) and not 0 <= int(blocks[i].min()) <= int(blocks[i].max()) < 65536:
                 raise ValueError("ids must lie in 0 to 65535")
-            ids[row, : len(blocks[i])] = blocks[i]
-        coder = Encoder(len(order), 2 * int(lengths[0]) + 16)
+            ids[: len(blocks[i]), lane] = blocks[i]
+        coder = Encoder(len(order), int(lengths[0]) // 2 + 16)
         _run(coder, lengths, ids)
         for i, words in zip(order, coder.finish(), strict=True):
             out[i] = MAGIC + struct.pack("<II", len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes())) + words
@@ -212,8 +221,8 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         order = sorted(range(at, min(at + LANES, len(coded))), key=lambda i: -heads[i][0])
         lengths = np.array([heads[i][0] for i in order], np.int64)
         ids = _run(Decoder([coded[i][12:] for i in order]), lengths, None)
-        for row, i in enumerate(order):
-            out[i] = ids[row, : lengths[row]].astype("<u4")
+        for lane, i in enumerate(order):
+            out[i] = ids[: lengths[lane], lane].astype("<u4")
             if zlib.crc32(out[i].tobytes()) != heads[i][1]:
                 raise ValueError("a block fails its checksum")
     return out

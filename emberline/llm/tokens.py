@@ -8,25 +8,36 @@ doc_id, so shard, seq and piece order give ascending doc_id order. A long docume
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import coder
-from emberline.llm.common import texts
-from emberline.session import shared_dir, stored
+from emberline.session import remove, scratch, shared_dir, stored
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 FILE = "shard int, seq int, docs array<struct<doc_id:bigint,n:int,ends:boolean>>, coded binary"
 _PIECES = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("ends", pa.bool_())]))
 
 
+#: Fixed value: how a byte-level tokenizer with its own pattern cuts a text into the pieces that are encoded alone.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Texts with any other character, or with the beginning of a special token, are encoded whole.
+OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]|<\\|")
+KNOWN = 1 << 20  # pieces that a worker remembers before it forgets them all
+
+
 def _tokenizer(path: str | None):
     from tokenizers import Tokenizer
 
@@ -37,16 +48,106 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
-def write_ids(docs: DataFrame, path: str, shards: int, tokenizer: str | None = None, order: str = "doc_id") -> None:
-    """Encode every text of ``docs`` (doc_id, text), append the end id and write the ids to ``path``.
-
-    A null text counts as empty; repeated rows are written again; rows without a doc_id come first.
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``array`` with ``values`` from ``at`` on, in twice the room where there is too little."""
+    if at + len(values) > len(array):
+        array = np.concatenate([array, np.empty(at + len(values), array.dtype)])
+    array[at : at + len(values)] = values
+    return array
+
+
+class Ids:
+    """The ids of texts by a tokenizer of the tokenizers library, which encodes each different piece of a text once."""
+
+    def __init__(self, path: str | None):
+        self.tok = _tokenizer(path)
+        made = json.loads(self.tok.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.total = 0
+        self.size, self.start, self.flat = (np.empty(1 << 10, np.int64) for _ in range(3))
+
+    def _learn(self, pieces: list[str]) -> None:
+        # pieces of a blank and letters stay apart when they are put together, so one call encodes many
+        alone = [w for w in pieces if not (w[0] == " " and w[1:].isalpha())]
+        put = [w for w in pieces if w[0] == " " and w[1:].isalpha()]
+        self._keep(alone, [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)])
+        for k in range(0, len(put), 1000):
+            some = put[k : k + 1000]
+            e = self.tok.encode("".join(some), add_special_tokens=False)
+            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            if len(size) != len(some):
+                raise RuntimeError("the tokenizer cut a piece")
+            self._keep(some, [e.ids], size)
+
+    def _keep(self, pieces: list[str], found: list[list[int]], size: np.ndarray | None = None) -> None:
+        if size is None:
+            size = np.fromiter(map(len, found), np.int64, len(found))
+        n = len(self.place)
+        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        more = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        self.start = _put(self.start, n, self.total + np.cumsum(size) - size)
+        self.size = _put(self.size, n, size)
+        self.flat = _put(self.flat, self.total, more)
+        self.total += len(more)
+
+    def of(self, some: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without special tokens."""
+        cut = [PIECES.findall(x) if self.by_piece and not OTHER.search(x) else None for x in some]
+        fresh = {w for c in cut if c for w in c} - self.place.keys()
+        if len(self.place) + len(fresh) > KNOWN:
+            self.forget()
+            fresh = {w for c in cut if c for w in c}
+        if fresh:
+            self._learn(list(fresh))
+        whole = iter([e.ids for e in self.tok.encode_batch_fast([x for x, c in zip(some, cut, strict=True) if c is None], add_special_tokens=False)])
+        out = []
+        for c in cut:
+            if c is None:
+                out.append(np.array(next(whole), np.int64))
+                continue
+            at = np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))
+            size = self.size[at]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
+        return out
+
+
+_HELD: dict[str | None, Ids] = {}
+
+
+def ids_of(path: str | None) -> Ids:
+    """The tokenizer of this worker, with the pieces that it has met."""
+    if path not in _HELD:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _HELD[path] = Ids(path)
+    return _HELD[path]
+
+
+def shards_of(docs: DataFrame) -> int:
+    """As many shards as keep each at some 64 MB of input, and no fewer than Spark's shuffle partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # Spark's stand-in for an unknown size is larger
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // (64 << 20))
+
+
+def write_ids(docs: DataFrame, path: str, shards: int, tokenizer: str | None = None, order: Sequence[Column | str] = ("doc_id",)) -> None:
+    """Encode every text of ``docs`` (doc_id, text), append the end id and write the ids to ``path``, in ``order``.
+
+    A null text counts as empty; repeated rows are written again; of equal order, ascending doc_id and then the hash of
+    the text decide, and rows without a doc_id come first.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("_h"), docs[order].alias("_o"))
-    rows = rows.repartitionByRange(shards, "_o", "doc_id", "_h").sortWithinPartitions("_o", "doc_id", "_h").select("doc_id", "text")
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("_h"), *[k.alias(f"_o{i}") for i, k in enumerate(keys)])
+    names = [*[f"_o{i}" for i in range(len(keys))], "doc_id", "_h"]
+    rows = rows.repartitionByRange(shards, *names).sortWithinPartitions(*names).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, shard, seq = _tokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, seq = ids_of(tokenizer), TaskContext.get().partitionId(), 0
         blocks: list[np.ndarray] = []
         lists: list[list[dict]] = []
         held: list[np.ndarray] = []
@@ -65,8 +166,9 @@ def write_ids(docs: DataFrame, path: str, shards: int, tokenizer: str | None = N
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for name, text in zip(names, texts(batch), strict=True):
-                ids = np.array([*tok.encode(text.decode("utf-8"), add_special_tokens=False).ids, END], np.int64)
+            found = chain.from_iterable(encoder.of([x or "" for x in batch.column(1).slice(k, 256).to_pylist()]) for k in range(0, batch.num_rows, 256))
+            for name, ids in zip(names, found, strict=True):
+                ids = np.append(ids, END)
                 while len(ids):
                     part, ids = ids[:room], ids[room:]
                     held.append(part)
@@ -120,10 +222,13 @@ def read_ids(spark: SparkSession, path: str, shards: int) -> DataFrame:
     return found.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None, order: str = "doc_id") -> DataFrame:
-    """Write the ids of ``docs`` to files in the shared folder and give what ``read_ids`` finds in them."""
+def round_trip(docs: DataFrame, tokenizer: str | None = None, order: Sequence[Column | str] = ("doc_id",)) -> DataFrame:
+    """Write the ids of ``docs`` to files in the shared folder, give what ``read_ids`` finds in them and delete them."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards_of(docs)
     path = f"{shared_dir(spark)}/ids/{uuid.uuid4().hex}"
-    write_ids(docs, path, shards, tokenizer, order)
-    return read_ids(spark, path, shards)
+    with scratch(spark) as own:
+        write_ids(docs, path, shards, tokenizer, order)
+        found = own.result(read_ids(spark, path, shards))
+    remove(spark, path)
+    return found
