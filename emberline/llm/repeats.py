@@ -1,19 +1,24 @@
 """Substring deduplication by recompression.
 
-A text's words are named by hashes. A recompression round first names runs of one symbol, then pairs: each
-symbol is a left or a right one by a bit of its name, and a left one followed by a right one becomes a pair. Names
-are hashes of what they stand for, so they are global without a dictionary: equal substrings get the same interior
-symbols everywhere. With every symbol goes its context, the words that decided its shape. A symbol whose context
-lies inside a window is found in every occurrence of that window.
-
-Each window is represented by the smallest such symbol inside it, named by the words of its context. Only windows whose representative occurs in more
-than one document (or that have none) can repeat; they are verified by a 128-bit hash of their words, and the
-smallest doc_id of each decides. So no repeat is lost, and most windows are never shuffled.
+A text is a sequence of symbols, at first the names of its words. A step of recompression names runs of one symbol, then
+pairs: each symbol is a left or a right one by a bit of its name, and a left one followed by a right one becomes a pair.
+A name is a hash of what it stands for, so it is the same everywhere, and equal substrings get the same interior symbols.
+With every symbol goes its context, the words that decided its shape: a symbol whose context lies inside a window is found
+in every occurrence of that window.
+
+Each Spark round takes some steps and then looks at the names of all documents together: a name that only one document has
+cannot be part of a repeat, so every window around its context is out. What is left of a document are maximal runs of
+windows all of whose symbols are shared; the next round makes longer symbols of these alone, up to about half a window.
+The windows of the runs that remain (and windows that hold no symbol, as inside a long run of one word) are verified by a
+128-bit hash of their words, and the smallest doc_id of each decides. So no repeat is lost, and most windows are never
+shuffled. Documents whose whole text a smaller doc_id has take no part: all their windows go.
+
+Shuffles carry names and positions; the tables that decide are written before they are joined, so Spark's adaptive planner
+can split the rows of a name or window that very many documents share.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import only, texts
-from emberline.session import stored
+from emberline.session import scratch, stored
 
-WINDOW, ROUNDS = 50, 2
-LONG = 12  # contexts of fewer words are taken only where there is no longer one
-_FAR = 1 << 40
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+WINDOW = 50
+STEPS = (4, 2, 1)  # of recompression, by Spark round
+_FAR, _BEYOND = 1 << 40, 1 << 30
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,10 +43,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def recompress(names: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a word sequence after some rounds: names, and first word and end of their contexts."""
-    lo, hi = np.arange(len(names)), np.arange(len(names)) + 1
-    for _ in range(rounds):
+def recompress(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols after some more steps: names, and first word and end of their contexts. What lies beyond the ends is not known."""
+    for _ in range(steps):
         if not len(names):
             break
         # runs: the symbols on both sides tell where a run ends
@@ -66,89 +69,173 @@ def recompress(names: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
     return names, lo, hi
 
 
-def representatives(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start the smallest name whose context lies inside, and whether there is one."""
-    n = max(n_words - window + 1, 0)
-    best, some = np.full(n, np.iinfo(np.uint64).max, np.uint64), np.zeros(n, bool)
-    fits = np.flatnonzero((lo >= 0) & (hi <= n_words) & (hi - lo <= window))
-    first, last = np.maximum(hi[fits] - window, 0), np.minimum(lo[fits], n - 1)
-    # windows first..last hold the symbol: spread minima over offsets, at most `window` vector steps
-    for d in range(window):
-        at = first + d
-        ok = at <= last
-        if not ok.any():
-            break
-        np.minimum.at(best, at[ok], names[fits][ok])
-        some[at[ok]] = True
-    return best, some
-
-
-def _parse(text: bytes, window: int):
-    words = text.split()
-    named = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    names, lo, hi = recompress(named)
-    inside = (lo >= 0) & (hi <= len(words))
-    lo, hi = lo[inside], hi[inside]
-    # the context is as certain as the symbol and tells more: its words give the name, long ones come first
-    power = np.append(np.uint64(1), np.cumprod(np.full(len(words), _BASE, np.uint64)))
-    back = np.append(np.uint64(1), np.cumprod(np.full(len(words), _INVERSE, np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(named * power[: len(words)], dtype=np.uint64))
-    key = _mix((sums[hi] - sums[lo]) * back[lo], (hi - lo).astype(np.uint64)) >> np.uint64(1)
-    key |= (hi - lo < LONG).astype(np.uint64) << np.uint64(63)
-    return words, *representatives(key, lo, hi, len(words), window)
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def alive_runs(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of windows that are alive."""
+    edge = np.diff(np.concatenate([[0], alive.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+
+
+def without(first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of windows without those around the contexts (lo, hi)."""
+    edge = np.zeros(n + 2, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
+    alive = np.cumsum(edge)[:n] > 0
+    out = np.zeros(n + 2, np.int64)
+    fits = hi - lo <= window
+    np.add.at(out, np.clip(hi[fits] - window, 0, n), 1)
+    np.add.at(out, np.clip(lo[fits] + 1, 0, n), -1)
+    return alive_runs(alive & (np.cumsum(out)[:n] == 0))
+
+
+def _inside(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """Whether a context lies inside the words of one run of windows, and of one window."""
+    at = np.searchsorted(first, lo, side="right") - 1
+    held = at >= 0
+    at = np.maximum(at, 0)
+    return held & (hi <= (last + window)[at]) & (hi - lo <= window) if len(first) else np.zeros(len(lo), bool)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def window_names(named: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of the windows that start at ``at``, of the hashes of their words."""
+    out = []
+    for base in _BASES:
+        powers = np.append(np.uint64(1), np.cumprod(np.full(window - 1, base, np.uint64)))[::-1]
+        value = np.zeros(len(at), np.uint64)
+        mixed = _mix(named, np.uint64(base))
+        for d in range(window):
+            value += mixed[at + d] * powers[d]
+        out.append(_mix(value, np.uint64(window)).view(np.int64))
+    return out
+
+
+_STATE = "doc_id long, version long, n int, names array<long>, lo array<int>, hi array<int>, first array<int>, last array<int>, symbols int"
+_ARROW = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
+_FIELDS = ["doc_id", "version", "n", "names", "lo", "hi", "first", "last", "symbols"]
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW, strict=True)], _FIELDS)
+
+
+def _state(doc: int, version: int, n: int, names, lo, hi, first, last, window: int) -> tuple:
+    """Only symbols whose context a window that is alive can hold stay; one without bounds stands for those left out between them."""
+    held = np.flatnonzero(_inside(lo, hi, first, last, window))
+    gap = np.flatnonzero(np.diff(held) > 1) + 1
+    names, lo, hi = np.insert(names[held], gap, np.uint64(0)), np.insert(lo[held], gap, -1), np.insert(hi[held], gap, _BEYOND)
+    return doc, version, n, names.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), first.astype(np.int32), last.astype(np.int32), len(names)
+
+
+def _first_round(docs: DataFrame, window: int, steps: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
+                words = text.split()
+                n = len(words) - window + 1
+                if n > 0:
+                    at = np.arange(len(words))
+                    rows.append(_state(doc, version, n, *recompress(_hashes(words), at, at + 1, steps), np.array([0]), np.array([n - 1]), window))
+            yield _states(rows)
+
+    return docs.select("doc_id", "version", "text").mapInArrow(run, _STATE)
+
+
+def _next_round(states: DataFrame, window: int, steps: int) -> DataFrame:
+    """(state, shared: numbers of its shared symbols) -> the state after some more steps, without dead windows; none without windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, version, n, *arrays in zip(*[batch.column(k).to_pylist() for k in range(3)], *[batch.column(k) for k in (3, 4, 5, 6, 7, 9)], strict=True):
+                names, lo, hi, first, last, shared = (np.asarray(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [], np.int64) for x in arrays)
+                dead = np.ones(len(names), bool)
+                dead[shared] = False
+                first, last = without(first, last, lo[dead], hi[dead], n, window)
+                if len(first):
+                    rows.append(_state(doc, version, n, *recompress(names.view(np.uint64), lo, hi, steps), first, last, window))
+            yield _states(rows)
+
+    return states.mapInArrow(run, _STATE)
+
+
+def repeated(docs: DataFrame, window: int = WINDOW, rounds: tuple[int, ...] = STEPS) -> DataFrame:
+    """(doc_id, version, whole, gone): for each text that loses words the starts of its repeated windows, or ``whole``.
+
+    ``docs`` (doc_id long, version long, text); version is a hash of the text.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as own:
+        texts_of = docs.select("doc_id", "version", F.xxhash64(F.lit(1), "text").alias("b"))
+        texts_of = stored(texts_of.distinct(), "versions")
+        least = texts_of.groupBy("version", "b").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "version")
+        copies = stored(texts_of.select("doc_id", "version").join(least, ["doc_id", "version"], "left_anti"), "copies")
+        key = ["doc_id", "version"]
+        taking_part = docs.join(copies, key, "left_anti")
+
+        state = stored(_first_round(taking_part, window, rounds[0]), "symbols")
+        for steps in [*rounds[1:], 0]:
+            each = state.select(*key, F.posexplode("names").alias("i", "name")).filter("name != 0")
+            shared = each.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("name")
+            shared = stored(shared, "shared")
+            flags = each.join(shared, "name", "left_semi").groupBy(*key).agg(F.collect_list("i").alias("shared"))
+            # a text without a shared symbol matters only where it has none at all, or windows that hold none
+            state = stored(_next_round(state.join(flags, key, "left"), window, steps), "symbols")
+
+        runs = state.select(*key, "first", "last")
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc, version, first, last, text in zip(*[batch.column(k).to_pylist() for k in range(4)], texts(batch), strict=True):
+                    named = _hashes(text.split())
+                    every = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+                    for k in range(0, len(every), 20000):
+                        at = every[k : k + 20000]
+                        a, b = window_names(named, at, window)
+                        cols = [pa.array(a), pa.array(b), pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), version, np.int64)), pa.array(at.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "version", "at"])
+
+        held = runs.join(docs.dropDuplicates(key), key).select(*key, "first", "last", "text")
+        hits = stored(held.mapInArrow(windows, "h1 long, h2 long, doc_id long, version long, at int"), "windows")
+        owner = hits.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner != other")
+        owner = stored(owner.select("h1", "h2", "owner"), "owners")
+        gone = hits.join(owner, ["h1", "h2"]).filter("doc_id > owner").groupBy(*key).agg(F.collect_set("at").alias("gone"))
+        whole = copies.select(*key, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("gone"))
+        return own.result(gone.select(*key, F.lit(False).alias("whole"), "gone").unionByName(whole), "repeated")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: tuple[int, ...] = STEPS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row of ``docs`` (doc_id, text): its text without repeated windows.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a document with a
     smaller doc_id; windows are judged on the input. Words are runs of anything but ASCII space and U+0009 to
-    U+000D, unchanged. Null and empty texts have no words. Rows that share a doc_id are copies of one document
-    and do not remove each other. A row without a doc_id neither removes nor loses words.
+    U+000D, unchanged. Null and empty texts have no words. Rows that share a doc_id are one document and do not
+    remove each other. A row without a doc_id neither removes nor loses words; a doc_id that is no number raises.
     """
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = rows.filter("doc_id IS NOT NULL")
-
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                _, best, some = _parse(text, window)
-                found = np.unique(best[some]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc, np.int64))], ["s", "doc_id"])
-
-    every = stored(named.mapInArrow(symbols, "s long, doc_id long"), "symbols")
-    shared = every.groupBy("s").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("s")
-    wanted = every.join(shared, "s").groupBy("doc_id").agg(F.collect_set("s").alias("wanted"))
-    wanted = wanted.withColumnRenamed("doc_id", "_doc")
-    marked = named.join(wanted, named["doc_id"] == wanted["_doc"], "left").select("doc_id", "text", "wanted")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, wish in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2), strict=True):
-                words, best, some = _parse(text, window)
-                wish = np.asarray(wish.as_py() or [], np.int64).view(np.uint64)
-                at = np.flatnonzero(~some | np.isin(best, wish))
-                for k in range(0, len(at), 20000):
-                    part = at[k : k + 20000]
-                    keys = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in part.tolist()), "<i8").reshape(-1, 2)
-                    cols = [pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(np.full(len(part), doc, np.int64)), pa.array(part.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "at"])
-
-    hits = stored(marked.mapInArrow(windows, "h1 long, h2 long, doc_id long, at int"), "windows")
-    owner = hits.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner != last")
-    gone = hits.join(owner, ["h1", "h2"]).filter("doc_id > owner").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("at").alias("gone"))
-    final = rows.join(gone, rows["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "gone")
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError("doc_id must be a whole number")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    found = repeated(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"), window, rounds)
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "whole", "gone")
+    final = rows.join(found, (rows["doc_id"] == found["_doc"]) & (rows["version"] == found["_version"]), "left").select("doc_id", "text", "whole", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, gone_at in zip(texts(batch), batch.column(2), strict=True):
-                words, starts = text.split(), np.asarray(gone_at.as_py() or [], np.int64)
-                edge = np.zeros(len(words) + window + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
-                stay = np.cumsum(edge)[: len(words)] == 0
-                kept = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+            for text, whole, gone in zip(texts(batch), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                words = text.split()
+                kept = [] if whole and len(words) >= window else words
+                if gone.is_valid:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    at = gone.values.to_numpy(zero_copy_only=False)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                    kept = [w for w, n in zip(words, np.cumsum(edge).tolist(), strict=False) if n == 0]
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8")))
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
