@@ -25,6 +25,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """These columns alone: further columns of the input cannot clash with names that an operator makes."""
     return docs.select(*[docs[n] for n in names])

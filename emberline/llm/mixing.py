@@ -21,8 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import only, words_of
-from emberline.session import stored
+from emberline.llm.common import free_name, only, words_of
+from emberline.session import scratch, stored
 
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -60,31 +60,33 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, slopes: Sequence
     A null text has size 0; a null source is a source; sources without words take nothing. Documents are laid in
     the order of md5 of their id, so reruns agree; repeated rows are documents of their own.
     """
-    sized = only(docs, "doc_id", "text", "source").select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = stored(sized.withColumn("h", key).withColumn("bucket", F.substring("h", 1, 3)), "sizes")
-    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
-    by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("part").over(by_bucket), F.lit(0)))
-    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, share, cap)
-    at = parts.join(sources, parts["source"].eqNullSafe(sources["source"])).select(parts["source"], "bucket", "base", "source_size", "slope", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    laid = laid.join(at, laid["source"].eqNullSafe(at["source"]) & (laid["bucket"] == at["bucket"])).withColumn("start", F.col("base") + F.col("within"))
-    begins = [F.col("start") + F.lit(p) * F.col("source_size") for p in range(math.ceil(cap))]
-    taken = [b + F.col("size") / F.lit(2.0) < F.col("target") for b in begins]
-    copies = sum((t.cast("int") for t in taken[1:]), taken[0].cast("int"))
-    positions = F.filter(F.array(*[F.when(t, _position(b)) for t, b in zip(taken, begins, strict=True)]), lambda x: x.isNotNull())
-    return laid.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), positions.alias("positions"))
+    with scratch(docs.sparkSession) as own:
+        sized = only(docs, "doc_id", "text", "source").select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+        key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        sized = stored(sized.withColumn("h", key).withColumn("bucket", F.substring("h", 1, 3)), "sizes")
+        parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
+        by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("base", F.coalesce(F.sum("part").over(by_bucket), F.lit(0)))
+        sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, share, cap)
+        at = parts.join(sources, parts["source"].eqNullSafe(sources["source"])).select(parts["source"], "bucket", "base", "source_size", "slope", "target")
+        inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+        laid = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        laid = laid.join(at, laid["source"].eqNullSafe(at["source"]) & (laid["bucket"] == at["bucket"])).withColumn("start", F.col("base") + F.col("within"))
+        begins = [F.col("start") + F.lit(p) * F.col("source_size") for p in range(math.ceil(cap))]
+        taken = [b + F.col("size") / F.lit(2.0) < F.col("target") for b in begins]
+        copies = sum((t.cast("int") for t in taken[1:]), taken[0].cast("int"))
+        positions = F.filter(F.array(*[F.when(t, _position(b)) for t, b in zip(taken, begins, strict=True)]), lambda x: x.isNotNull())
+        return own.result(laid.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), positions.alias("positions")), "mix")
 
 
 def training_order(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position, with ``position``.
+    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
 
-    doc_id must name a row: rows that share one (or have none) share what the mix decides for the first of them.
+    The position is the last column, ``position``, with underscores behind it where ``docs`` has a column of that name.
+    Rows that share a doc_id (or have none) all get the positions of the one that the mix takes most often.
     """
-    names = docs.columns
+    names, position = docs.columns, free_name(docs, "position")
     plan = plan_mix(docs, **how).groupBy("doc_id").agg(F.max_by("positions", F.size("positions")).alias("_positions"))
     plan = plan.select(F.col("doc_id").alias("_doc"), "_positions").filter(F.size("_positions") > 0)
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_doc"])).select(*[docs[n] for n in names], F.explode("_positions").alias("position"))
-    return taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_doc"])).select(*[docs[n] for n in names], F.explode(plan["_positions"]).alias(position))
+    return taken.repartitionByRange(F.col(position), docs["doc_id"]).sortWithinPartitions(F.col(position), docs["doc_id"])

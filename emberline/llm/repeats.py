@@ -31,7 +31,7 @@ from emberline.llm.common import only, texts
 from emberline.session import scratch, stored
 
 WINDOW = 50
-STEPS = (4, 2, 1)  # of recompression, by Spark round
+STEPS = (5, 2)  # of recompression, by Spark round
 _FAR, _BEYOND = 1 << 40, 1 << 30
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 

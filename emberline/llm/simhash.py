@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import only, texts
 from emberline.operators.components import connected_components
-from emberline.session import stored
+from emberline.session import scratch, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -200,11 +200,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, ratio: flo
     links, the document's own included. A null text counts as empty; empty texts have fingerprint 0 and link
     like any other. Repeated rows are kept. A row without a doc_id takes no part and has a null component_id.
     """
-    prints = stored(fingerprints(docs, words), "fingerprints")
-    size = F.col("n_words") if ratio > 0 else F.lit(0).cast("long")
-    prints = prints.withColumn("size", size)
-    groups = stored(prints.filter("doc_id IS NOT NULL").groupBy("fp", "size").agg(F.min("doc_id").alias("node")), "groups")
-    tied = connected_components(link_fingerprints(groups, radius, ratio))
-    named = groups.join(tied, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
-    found = prints.join(named, ["fp", "size"], "left")
-    return found.select("doc_id", "fp", "n_words", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    with scratch(docs.sparkSession) as own:
+        prints = stored(fingerprints(docs, words), "fingerprints")
+        size = F.col("n_words") if ratio > 0 else F.lit(0).cast("long")
+        prints = prints.withColumn("size", size)
+        groups = stored(prints.filter("doc_id IS NOT NULL").groupBy("fp", "size").agg(F.min("doc_id").alias("node")), "groups")
+        tied = connected_components(link_fingerprints(groups, radius, ratio))
+        named = groups.join(tied, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
+        found = prints.join(named, ["fp", "size"], "left")
+        return own.result(found.select("doc_id", "fp", "n_words", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "near")
