@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,8 +11,9 @@ from pyspark.sql import types as T
 
 #: Question words that are no names.
 STOP = ("who", "what", "when", "where", "how", "why", "did", "does", "the")
+#: An address, the weights of whole, last and first names, and the score of a first name that begins the other.
 ADDRESS = r"[\w.+-]+@[\w-]+\.[\w.-]+"
-NICK_SCORE = 0.9
+WEIGHTS, NICK_SCORE = (0.4, 0.3, 0.3), 0.9
 
 
 def collapse(s: Column) -> Column:
@@ -42,7 +45,7 @@ def name_parts(name: Column) -> Column:
     """struct(first, last), lower case, of "Last, First" or "First ... Last"; a single token is a first name."""
     plain = F.lower(collapse(F.coalesce(name, F.lit(""))))
     tokens = F.split(plain, " ")
-    one, last = F.trim(F.substring_index(plain, ",", 1)), F.trim(F.expr("''"))
+    one, last = F.trim(F.substring_index(plain, ",", 1)), F.lit("")
     swapped = F.contains(plain, F.lit(","))
     rest = F.trim(F.regexp_extract(plain, "^[^,]*,(.*)$", 1))
     return F.when(swapped, F.struct(rest.alias("first"), one.alias("last"))).otherwise(
@@ -76,32 +79,68 @@ def clean_aliases(aliases: Column) -> Column:
     return F.filter(some, lambda a, i: F.array_position(lower, F.lower(a)) == i + 1)
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with a bit a character of ``a``."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & at.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths; of two empty strings: 1."""
     if not a or not b:
         return float(a == b)
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common(a, b) / (len(a) + len(b))
 
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string to a window of its length (shorter at the ends) of the longer one."""
+    return _partial(a, b, 2.0)
+
+
+def partial_ratio_at_least(a: str, b: str, least: float) -> bool:
+    """Whether ``partial_ratio`` reaches ``least``; windows whose letters cannot reach it are passed over."""
+    return _partial(a, b, least) >= least
+
+
+def _partial(a: str, b: str, enough: float) -> float:
+    """The best window's ratio, or the first that is ``enough``."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return float(not b)
-    return max(ratio(a, b[max(i, 0) : i + len(a)]) for i in range(1 - len(a), len(b)))
+    wanted, inside, shared, best = Counter(a), Counter(), 0, 0.0
+    least = enough if enough <= 1 else 0.0
+    for i in range(1 - len(a), len(b)):
+        # letters that window and string share bound the common subsequence
+        if i + len(a) <= len(b):
+            x = b[i + len(a) - 1]
+            inside[x] += 1
+            shared += inside[x] <= wanted[x]
+        if i > 0:
+            x = b[i - 1]
+            shared -= inside[x] <= wanted[x]
+            inside[x] -= 1
+        size = len(a) + min(i + len(a), len(b)) - max(i, 0)
+        if 2 * shared / size > best and 2 * shared / size >= least:
+            best = max(best, ratio(a, b[max(i, 0) : i + len(a)]))
+            if best >= enough:
+                return best
+    return best
 
 
 def _parts(name: str) -> tuple[str, str]:
-    tokens = name.lower().split()
+    """``name_parts`` of one name."""
     if "," in name:
         last, first = name.lower().split(",", 1)
         return first.strip(), last.strip()
+    tokens = name.lower().split()
     return (tokens[0] if tokens else "", tokens[-1] if len(tokens) > 1 else "")
 
 
@@ -110,7 +149,7 @@ def similarity(a: str, b: str) -> float:
     (fa, la), (fb, lb) = _parts(a), _parts(b)
     last = 0.0 if not la or not lb else 1.0 if la == lb else ratio(la, lb)
     first = 0.0 if not fa or not fb else NICK_SCORE if fa.startswith(fb) or fb.startswith(fa) else ratio(fa, fb)
-    return 0.4 * ratio(a.lower(), b.lower()) + 0.3 * last + 0.3 * first
+    return WEIGHTS[0] * ratio(a.lower(), b.lower()) + WEIGHTS[1] * last + WEIGHTS[2] * first
 
 
 @F.pandas_udf(T.DoubleType())

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 #: Parts of folder paths that are skipped.
 SKIP_FOLDERS = ("all_documents", "deleted_items", "notes_inbox", "contacts", "calendar", "straw")
 #: Keywords, as substrings of the lower-cased subject and body.
-KEYWORDS = tuple(
-    (
-        "skilling,lay,fastow,causey,kopper,delainey,whalley,kean,haedicke,shankman,kaminski,"
-        "ljm,raptor,spe,azurix,dabhol,blockbuster,broadband,ews,ees,enron,andersen,"
-        "mark-to-market,mark to market,restatement,10-k,10k,earnings,sec,lawsuit,settlement,audit,accounting,board,directors,shareholders,"
-        "approve,approved,agreed,decided,signed,merger,acquisition,deal,contract,transaction,hired,fired,resigned,promoted,appointed,"
-        "loss,exposure,hedge,risk,write-down,writedown,collateral,credit,debt,liability"
-    ).split(",")
-)
+KEYWORDS = (
+    "skilling", "lay", "fastow", "causey", "kopper", "delainey", "whalley", "kean", "haedicke", "shankman", "kaminski", "ljm", "raptor", "spe", "azurix",
+    "dabhol", "blockbuster", "broadband", "ews", "ees", "enron", "andersen", "mark-to-market", "mark to market", "restatement", "10-k", "10k", "earnings",
+    "sec", "lawsuit", "settlement", "audit", "accounting", "board", "directors", "shareholders", "approve", "approved", "agreed", "decided", "signed",
+    "merger", "acquisition", "deal", "contract", "transaction", "hired", "fired", "resigned", "promoted", "appointed", "loss", "exposure", "hedge",
+    "risk", "write-down", "writedown", "collateral", "credit", "debt", "liability",
+)
 LEAST = 50
 
 

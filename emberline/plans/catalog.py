@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.functions import names, text as t
+from emberline.functions import names
 from emberline.operators import mail, neardup, threads
-from emberline.plans import graph_sql
+from emberline.plans import graph_queries, graph_sql
 from emberline.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,13 +33,6 @@ def _aliased(text: str, m: re.Match) -> bool:
     return re.match(r"\s+[a-z]\b", text[m.end() :]) is not None
 
 
-def emails_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted lines cut, subject prefixes cut, body hash."""
-    docs = table(spark, sf_dir, "documents")
-    body = F.concat(F.lit("> quoted line\n"), F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.sha2(t.strip_quotes(body), 256).alias("body_hash"), t.normalize_subject(F.concat(F.lit(" Re: FW:  "), F.col("source"))).alias("subject"))
-
-
 #: Vectors of a block of rows and of a block of queries.
 ROW_BLOCK, QUERY_BLOCK = 1024, 512
 
@@ -112,12 +105,6 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ten(found, "id")
 
 
-def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last part of names."""
-    found = table(spark, sf_dir, "supplier").select("s_suppkey", names.name_parts(F.concat(F.col("s_name"), F.lit(" of  Acme"))).alias("p"))
-    return found.select("s_suppkey", F.col("p.first").alias("first"), F.col("p.last").alias("last"))
-
-
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, a, b, similarity. 'pair': different texts, each by the smallest doc_id that has it, whose shingles have
     Jaccard similarity 0.85 or more. 'member': every document b and the smallest doc_id a of its text."""
@@ -143,13 +130,11 @@ def reply_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OWN = {
-    "t1_normalised_emails": emails_normalised,
     "v2_knn": knn,
     "f1_signal_filter": _reasons,
     "f2_signal_stats": signal_stats,
     "t2_shingle_counts": shingle_counts,
     "t6_email_addresses": addresses,
-    "t7_name_parts": name_parts,
     "v3_trigram_search": trigram_search,
     "j8_near_pairs": near_pairs,
     "g4_near_dedup": near_dedup,
@@ -160,9 +145,6 @@ WHEN length(regexp_replace(coalesce(text, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g
 WHEN {" + ".join(f"CAST(contains(lower(coalesce(text, '')), '{k}') AS INT)" for k in mail.KEYWORDS)} < 2 THEN 'signal' END AS reason FROM documents"""
 _SHINGLES = "SELECT DISTINCT doc_id, substr(x, CAST(i AS INT), 5) AS s FROM (SELECT doc_id, x, unnest(range(1, greatest(length(x) - 4, 1) + 1)) AS i FROM texts)"
 OWN_SQL = {
-    "t1_normalised_emails": r"""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS body_hash,
-  lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS subject FROM documents""",
     "v2_knn": """
 WITH met AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
   FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
@@ -172,7 +154,6 @@ SELECT query_id, vec_id, similarity FROM met WHERE isfinite(similarity) QUALIFY
 count(*) FILTER (reason = 'length') AS dropped_length, count(*) FILTER (reason = 'signal') AS dropped_signal, round(100 * (1 - count(*) FILTER (reason IS NULL) / greatest(count(*), 1)), 1) AS reduction_pct FROM r""",
     "t2_shingle_counts": rf"""WITH texts AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS x FROM documents) SELECT doc_id, count(*) AS n FROM ({_SHINGLES}) GROUP BY doc_id""",
     "t6_email_addresses": r"""SELECT doc_id, a AS address FROM (SELECT doc_id, regexp_extract(lower(coalesce(text, '')), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+') AS a FROM documents) WHERE a <> ''""",
-    "t7_name_parts": "SELECT s_suppkey, lower(s_name) AS first, 'acme' AS last FROM supplier",
     "v3_trigram_search": r"""WITH grams AS (SELECT id, unnest(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''),
   lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM (SELECT p_partkey AS id, p_name AS name FROM part)),
 sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id), met AS (SELECT q.id AS query_id, a.id, count(*) AS k FROM grams a JOIN grams q ON q.g = a.g AND q.id % 100 = 0 AND a.id <> q.id GROUP BY q.id, a.id),
@@ -184,12 +165,13 @@ SELECT DISTINCT message_id, min(message_id) OVER (PARTITION BY conv_id, run) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN
+    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN | graph_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL
+    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL | graph_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql("f6_entity_claims")(spark, sf_dir)
+    """Context packs of some questions: entities, claims with evidence, conflicts."""
+    return graph_queries.packs(spark, sf_dir)

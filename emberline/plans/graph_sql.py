@@ -38,23 +38,10 @@ OPERATORS: dict[str, tuple[list[str], str, str]] = {
     "f3_exact_match": (["entities"], "", "SELECT id, canonical_name, entity_type FROM entities WHERE canonical_name = 'Customer#000000007' AND entity_type = 'Person'"),
     "f4_entity_by_id": (["entities"], "", "SELECT id, canonical_name, entity_type FROM entities WHERE id = 's:3'"),
     "f5_list_entities": (["entities"], "", "SELECT id, canonical_name FROM entities WHERE entity_type = 'Person' ORDER BY canonical_name, id LIMIT 50 OFFSET 20"),
-    "f6_entity_claims": (
-        ["entities", "claims"],
-        "",
-        """SELECT claim_id, claim_type, confidence, s.canonical_name AS subject_name, o.canonical_name AS object_name FROM claims
-JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id WHERE (subject_id = 'c:7' OR object_id = 'c:7') AND is_current
-ORDER BY confidence DESC, valid_from DESC, claim_id LIMIT 50""",
-    ),
     "f7_confidence_gate": (["claims"], "", "SELECT claim_id, confidence FROM claims WHERE confidence >= 0.45"),
     "f8_review_queue": (["claims"], "", "SELECT claim_id, subject_id, object_id, confidence FROM claims WHERE confidence < 0.5 ORDER BY confidence, valid_from DESC, claim_id LIMIT 50"),
     "f9_as_of": (["claims"], "", "SELECT claim_id FROM claims WHERE valid_from <= DATE '1996-01-01' AND (valid_to IS NULL OR valid_to > DATE '1996-01-01')"),
-    "f10_permitted_claims": (["claims"], "", "SELECT claim_id FROM claims WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = source_id AND o_custkey = 7)"),
     "f11_graph_edges": (["claims"], "", "SELECT claim_id AS id, subject_id AS source, object_id AS target, claim_type AS type, confidence, claim_type AS label FROM claims"),
-    "f12_subgraph": (
-        ["entities", "claims"],
-        ", kept AS (SELECT id FROM entities WHERE entity_type IN ('Person', 'Organization'))",
-        "SELECT claim_id FROM claims WHERE confidence >= 0.6 AND subject_id IN (SELECT id FROM kept) AND object_id IN (SELECT id FROM kept)",
-    ),
     "f13_entity_search": (["entities"], "", "SELECT id, canonical_name FROM entities WHERE contains(lower(canonical_name), '00001') ORDER BY canonical_name, id"),
     "f14_confidence_band": (["claims"], "", "SELECT claim_id, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM claims"),
     "f18_check_violations": (["claims"], "", "SELECT claim_id FROM claims WHERE confidence NOT BETWEEN 0 AND 1 OR valid_to < valid_from OR claim_type NOT IN ('WORKS_AT', 'REPORTS_TO', 'MENTIONS', 'PARTICIPATES_IN', 'DISCUSSES', 'SENT_TO')"),
@@ -66,7 +53,6 @@ ORDER BY d.n_chars NULLS LAST, d.doc_id LIMIT 200""",
     ),
     "j2_named_claims": (["entities", "claims"], "", "SELECT claim_id, s.canonical_name AS subject_name, claim_type, o.canonical_name AS object_name FROM claims JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id"),
     "j3_evidence_sources": (["claims"], "", "SELECT claim_id, source_id, o_orderpriority AS email_subject, CAST(o_orderdate AS DATE) AS source_date FROM claims LEFT JOIN orders ON o_orderkey = source_id"),
-    "j4_evidence_map": (["claims"], "", "SELECT subject_id, array_sort(array_agg(source_id)) AS evidence_ids FROM claims GROUP BY subject_id"),
     "j5_visited_entities": (["entities", "claims"], "", "SELECT id, canonical_name FROM entities WHERE id IN (SELECT object_id FROM claims WHERE subject_id = 'c:7')"),
     "j6_top_entities": (
         ["entities", "claims", "ends"],
@@ -88,49 +74,22 @@ WHERE a.valid_from <= coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from <
     ),
     "u1_table_counts": ([], "", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem"),
     "a1_stats": (["entities", "claims"], "", "SELECT (SELECT count(*) FROM documents) AS emails, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM lineitem) AS evidence"),
-    "a2_metrics": (
-        ["claims"],
-        "",
-        """SELECT count(*) AS claims, count(CASE WHEN confidence < 0.5 THEN 1 END) AS low_confidence, count(CASE WHEN confidence >= 0.8 THEN 1 END) AS high_confidence,
-count(CASE WHEN is_current THEN 1 END) AS current_claims, count(CASE WHEN NOT is_current THEN 1 END) AS historical_claims, round(coalesce(avg(confidence), 0), 6) AS avg_confidence FROM claims""",
-    ),
     "a4_duplicate_groups": (["claims"], "", "SELECT subject_id, claim_type, object_id, count(*) AS n, max(confidence) AS confidence, min(claim_id) AS first_id FROM claims GROUP BY subject_id, claim_type, object_id HAVING count(*) > 1"),
-    "a5_claim_fold": (
-        ["claims"],
-        ", ranked AS (SELECT *, row_number() OVER (PARTITION BY subject_id, claim_type, object_id ORDER BY confidence DESC, claim_id) AS k FROM claims)",
-        """SELECT subject_id, claim_type, object_id, max(CASE WHEN k = 1 THEN claim_id END) AS claim_id, max(confidence) AS confidence, min(valid_from) AS valid_from,
-max(valid_to) AS valid_to, array_sort(array_agg(source_id)) AS evidence_ids, count(*) - 1 AS absorbed FROM ranked GROUP BY subject_id, claim_type, object_id""",
-    ),
     "a6_thread_rollup": (["messages"], "", "SELECT conv_id, min(message_id) AS thread_id, count(*) AS size, count(DISTINCT sender) AS participants, min(turn) AS first_turn, max(turn) AS last_turn FROM messages GROUP BY conv_id"),
     "a7_exact_dedup": (["emails"], ", ranked AS (SELECT message_id, row_number() OVER (PARTITION BY sender, body ORDER BY message_id) AS k FROM emails)", "SELECT message_id FROM ranked WHERE k = 1"),
     "a8_dedup_stats": (["emails"], ", kept AS (SELECT DISTINCT sender, body FROM emails)", "SELECT (SELECT count(*) FROM emails) AS input, (SELECT count(*) FROM kept) AS after_exact, (SELECT count(*) FROM emails) - (SELECT count(*) FROM kept) AS removed"),
     "a9_thread_stats": (["messages"], ", sizes AS (SELECT conv_id, count(*) AS n FROM messages GROUP BY conv_id)", "SELECT count(*) AS threads, round(avg(n), 6) AS avg_size, max(n) AS max_size FROM sizes"),
     "a10_parse_stats": (["emails"], "", "SELECT count(*) AS total, count(DISTINCT body) AS bodies, count(DISTINCT sender) AS senders FROM emails"),
     "a11_claim_type_counts": (["claims"], "", "SELECT claim_type, count(*) AS n, count(CASE WHEN is_current THEN 1 END) AS current_claims, round(avg(confidence), 4) AS avg_confidence FROM claims GROUP BY claim_type"),
-    "a12_evidence_counts": (["claims"], "", "SELECT claim_id, count(*) AS n FROM claims GROUP BY claim_id"),
     "a14_log_stats": ([], "", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),
     "a15_node_degree": (["claims", "ends"], "", "SELECT entity_id, count(*) AS degree, 8 + least(3 * count(*), 24) AS size FROM ends GROUP BY entity_id"),
     "a16_entity_types": (["entities"], "", "SELECT DISTINCT entity_type FROM entities ORDER BY entity_type"),
-    "n1_diversity_cap": (
-        ["claims"],
-        f""", top AS (SELECT *, {TOP} AS k FROM claims WHERE confidence >= 0.5),
-capped AS (SELECT *, row_number() OVER (PARTITION BY subject_id, claim_type ORDER BY k) AS t FROM top WHERE k <= 50)""",
-        "SELECT subject_id, claim_type, claim_id, confidence FROM capped WHERE t <= 5",
-    ),
     "n2_canonical_claim": (["claims"], ", r AS (SELECT claim_id, row_number() OVER (PARTITION BY subject_id, claim_type, object_id ORDER BY confidence DESC, claim_id) AS k FROM claims)", "SELECT claim_id FROM r WHERE k = 1"),
     "n4_window_closing": (
         ["claims"],
         ", n AS (SELECT claim_id, valid_from, lead(valid_from) OVER (PARTITION BY subject_id, claim_type ORDER BY valid_from, claim_id) AS cutoff FROM claims WHERE claim_type IN ('WORKS_AT', 'REPORTS_TO') AND is_current)",
         "SELECT claim_id, valid_from, cutoff AS valid_to, cutoff IS NULL AS is_current FROM n",
     ),
-    "w5_merge_reversal": (["claims"], "", "SELECT c.claim_id, l.quality IS NOT NULL AND l.quality = 0 AS reversed FROM claims c LEFT JOIN labels l ON l.doc_id = c.source_id"),
-    "g12_timeline": (["claims"], "", "SELECT claim_id, claim_type, valid_from, valid_to, confidence FROM claims WHERE subject_id = 'c:7' OR object_id = 'c:7' ORDER BY valid_from, claim_id LIMIT 100"),
-    "g2_two_hops": (
-        ["claims", "ends"],
-        """, start AS (SELECT DISTINCT claim_id FROM ends WHERE entity_id = 'c:7'), hop AS (SELECT DISTINCT e.entity_id FROM ends e JOIN start s ON s.claim_id = e.claim_id)""",
-        "SELECT DISTINCT e.claim_id FROM ends e JOIN hop h ON h.entity_id = e.entity_id",
-    ),
-    "t21_body_hash": (["emails"], "", "SELECT message_id, md5(body) AS body_md5, length(body) AS n FROM emails"),
     "t18_entity_text": (["entities"], "", "SELECT id, concat_ws(' ', canonical_name, concat('(', entity_type, ')')) AS text FROM entities"),
     "t19_claim_text": (["entities", "claims"], "", "SELECT claim_id, concat_ws(' ', s.canonical_name, claim_type, o.canonical_name) AS text FROM claims JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id"),
 }

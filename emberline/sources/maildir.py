@@ -44,7 +44,7 @@ def parse_message(raw: bytes, folder: str) -> dict | None:
     iso = date.isoformat() if date else None
     sender = next((a.lower() for _, a in getaddresses([head("From")]) if a), "")
     listed = [a.strip().lower() for k in ("To", "Cc", "Bcc") for _, a in getaddresses([head(k)]) if a]
-    subject, body = head("Subject"), _body(message)
+    subject, body = head("Subject").strip(), _body(message)
     digest = hashlib.sha256(body.encode("utf-8", "replace")).hexdigest()
     key = hashlib.sha256("|".join([sender, iso or "none", subject, digest]).encode("utf-8", "replace")).hexdigest()
     return {"message_id": name, "date": date, "date_iso": iso, "sender": sender, "recipients": listed, "subject": subject, "body": body, "in_reply_to": _one(head("In-Reply-To")) or None,
@@ -52,7 +52,11 @@ def parse_message(raw: bytes, folder: str) -> dict | None:
 
 
 def read_maildir(spark: SparkSession, base: str, users: Sequence[str] | None = None) -> DataFrame:
-    """Messages below ``base``/user/folder; files without a Message-ID are left out. Folders of other users are not listed."""
+    """Messages below ``base``/user/folder; files without a Message-ID are left out. Folders of other users are not listed. Where
+    there is no such folder there are no messages."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], FIELDS)
     path = base.rstrip("/") + ("/{" + ",".join(users) + "}" if users else "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "^.*?" + re.escape(base.rstrip("/").split("://")[-1]) + "/?", "")
