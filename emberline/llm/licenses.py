@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -62,8 +63,12 @@ MARKS = (
     (r" *\x02[ \x02]*", "\n\n"),
     (r"^ | $", ""),
 )
-#: A known sentence between two ends, longest first; its words may be parted by what may end a sentence.
-PATTERN = "\n(" + "|".join(k.replace(" ", r"(?: |\n\n)") for k in sorted(SENTENCES, key=lambda k: (-len(k), k))) + ")\n"
+def pattern(sentences: Mapping[str, int]) -> str:
+    """A known sentence between two ends, longest first; its words may be parted by what may end a sentence."""
+    return "\n(" + "|".join(k.replace(" ", r"(?: |\n\n)") for k in sorted(sentences, key=lambda k: (-len(k), k))) + ")\n"
+
+
+PATTERN = pattern(SENTENCES)
 
 
 def marked(text: Column) -> Column:
@@ -74,19 +79,28 @@ def marked(text: Column) -> Column:
     return F.concat(F.lit("\n"), text, F.lit("\n"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, sentences: Mapping[str, int] = SENTENCES, rules: Sequence[tuple[str, tuple[int, ...]]] = RULES) -> DataFrame:
     """(doc_id, sentence_ids, licenses, license) of every row of ``docs`` (doc_id, text).
 
-    Sentences end at . ! ? before white space or at a blank line, one without letters or digits. A line end and : ; may
-    also end one or start one, so wrapped sentences, notices of one line and headings are all found. ``sentence_ids``
-    joins the identifiers found, in order, ``licenses`` the distinct licences of all rules met, in rule order;
-    ``license`` is the first of them, or null. Null and empty texts have none; repeated rows are kept.
+    ``sentences``: normalised sentences (words of a-z and 0-9, one blank between) and their identifiers; ``rules``: a
+    licence and the identifiers that must follow each other. Sentences end at . ! ? before white space or at a blank line,
+    one without letters or digits. A line end and : ; may also end one or start one, so wrapped sentences, notices of one
+    line and headings are all found. ``sentence_ids`` joins the identifiers found, in order. Rules are tried in their
+    order, and what a rule has met no later rule meets again, so a longer rule stands before a shorter one. ``licenses``
+    are the distinct licences met, in rule order; ``license`` is the first of them, or null. Null and empty texts have
+    none; repeated rows are kept.
     """
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SENTENCES.items()))
-    found = F.regexp_extract_all(marked(F.col("text")), F.lit(PATTERN), F.lit(1))
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sentences.items()))
+    found = F.regexp_extract_all(marked(F.col("text")), F.lit(pattern(sentences)), F.lit(1))
     ids = F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "\n\n", " ")))
     rows = only(docs, "doc_id", "text").select("doc_id", F.array_join(ids.cast("array<string>"), ",").alias("sentence_ids"))
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    met = F.array(*[F.when(line.contains("," + ",".join(map(str, seq)) + ","), F.lit(name)) for name, seq in RULES])
-    met = F.array_distinct(F.filter(met, lambda x: x.isNotNull()))
-    return rows.select("doc_id", "sentence_ids", F.array_join(met, ",").alias("licenses"), F.get(met, F.lit(0)).alias("license"))
+    tried = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(map(str, seq)) + ",").alias("seq")) for name, seq in rules])
+    start = F.struct(line.alias("line"), F.array().cast("array<string>").alias("met"))
+
+    def meet(state: Column, rule: Column) -> Column:
+        hit = F.contains(state["line"], rule["seq"])
+        return F.struct(F.replace(state["line"], rule["seq"], F.lit(",,")).alias("line"), F.when(hit, F.array_append(state["met"], rule["name"])).otherwise(state["met"]).alias("met"))
+
+    met = F.when(F.col("sentence_ids") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.aggregate(tried, start, meet)["met"]))
+    return rows.select("doc_id", "sentence_ids", met.alias("met")).select("doc_id", "sentence_ids", F.array_join("met", ",").alias("licenses"), F.get("met", F.lit(0)).alias("license"))

@@ -99,7 +99,9 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op5_sql() -> str:
     known = " ".join(f"WHEN '{k}' THEN {v}" for k, v in licenses.SENTENCES.items())
-    rules = ", ".join(f"CASE WHEN contains(line, ',{','.join(map(str, seq))},') THEN {i} END" for i, (_, seq) in enumerate(licenses.RULES))
+    seqs = ["," + ",".join(map(str, seq)) + "," for _, seq in licenses.RULES]
+    steps = ", ".join(f"replace(line{i}, '{seq}', ',,') AS line{i + 1}" for i, seq in enumerate(seqs))
+    rules = ", ".join(f"CASE WHEN contains(line{i}, '{seq}') THEN {i} END" for i, seq in enumerate(seqs))
     names = ", ".join(f"'{name}'" for name, _ in licenses.RULES)
     quoted = lambda x: "'" + x.replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '").replace("\x02", "' || chr(2) || '") + "'"
     marked = "lower(coalesce(text, ''))"
@@ -108,8 +110,9 @@ def _op5_sql() -> str:
     return rf"""
 WITH marked AS (SELECT doc_id, chr(10) || {marked} || chr(10) AS x FROM documents),
 ids AS (SELECT doc_id, list_transform(regexp_extract_all(x, {quoted(licenses.PATTERN)}, 1), lambda s: CASE replace(s, chr(10) || chr(10), ' ') {known} END) AS k FROM marked),
-lines AS (SELECT doc_id, coalesce(array_to_string(k, ','), '') AS sentence_ids, ',' || coalesce(array_to_string(k, ','), '') || ',' AS line FROM ids),
-met AS (SELECT doc_id, sentence_ids, list_transform(list_filter([{rules}], lambda x: x IS NOT NULL), lambda i: [{names}][i + 1]) AS m FROM lines),
+lines AS (SELECT doc_id, coalesce(array_to_string(k, ','), '') AS sentence_ids, ',' || coalesce(array_to_string(k, ','), '') || ',' AS line0 FROM ids),
+used AS (SELECT *, {steps} FROM lines),
+met AS (SELECT doc_id, sentence_ids, list_transform(list_filter([{rules}], lambda x: x IS NOT NULL), lambda i: [{names}][i + 1]) AS m FROM used),
 kept AS (SELECT doc_id, sentence_ids, list_filter(m, lambda x, i: list_position(m, x) = i) AS m FROM met)
 SELECT doc_id, sentence_ids, coalesce(array_to_string(m, ','), '') AS licenses, m[1] AS license FROM kept
 """

@@ -18,6 +18,7 @@ order of the ids. That bounds what is broadcast. Every document is scored, whole
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,8 +49,8 @@ def sure(plain: int, toxic: int, share: float) -> bool:
 
 def _counted(text: str) -> tuple[set, set, set]:
     """The different word pairs, words and beginnings of a text."""
-    listed = tokens(text)
-    return set(zip([MARK, *listed], listed, strict=False)), set(listed), {w[:STEM] for w in listed}
+    listed = [sys.intern(w) for w in tokens(text)]
+    return set(zip([MARK, *listed], listed, strict=False)), set(listed), {sys.intern(w[:STEM]) for w in listed}
 
 
 def _key(*parts: str) -> int:
@@ -181,7 +182,7 @@ def learned(rows: list[tuple[int, str]]) -> tuple[Ratio, float, float]:
     return ratio, *_logistic(x, y)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 3_000_000) -> tuple[Ratio, float, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 1_500_000) -> tuple[Ratio, float, float]:
     """The model of the labelled documents outside the held-out fifth: ratio, slope, offset.
 
     ``docs`` (doc_id, text), ``labels`` (doc_id, toxic). Of each class the first ``max_rows`` ids in hash order are

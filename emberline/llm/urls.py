@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import only
-from emberline.session import checkpointed, stored
+from emberline.session import checkpointed, scratch, stored
 
 #: (verdict, rule): fixed by the contract of the query.
 RULES = (
@@ -48,50 +48,67 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, seed) mass spread over (a, b, share): personalised PageRank as (host, rank)."""
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        moved = edges.join(rank, edges["a"] == rank["host"]).groupBy("b").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("rank"))
-        start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-        rank = checkpointed(moved.select(F.col("b").alias("host"), "rank").unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, steps: int = 4) -> DataFrame:
+    """Personalised PageRank: (kind, host, rank) of seeds (kind, host, seed) along edges (kind, a, b, share).
 
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: int = 8, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
+    The mass that has not been placed yet moves on, ``steps`` edges a job, until of every kind less than ``tolerance`` is
+    left. A step leaves at most ``damping`` of it, so the number of jobs is bounded by the tolerance alone.
+    """
+    key = ["kind", "host"]
+    state = seeds.select(*key, (F.col("seed") * (1 - damping)).alias("rank"), (F.col("seed") * (1 - damping)).alias("moving"))
+    state = checkpointed(state)
+    while state.agg(F.sum("moving")).first()[0] not in (None, 0.0):
+        moving, parts = state.filter("moving > 0").select(*key, "moving"), [state.select(*key, "rank", F.lit(0.0).alias("moving"))]
+        for k in range(steps):
+            out = edges.join(moving.withColumnRenamed("host", "a"), ["kind", "a"])
+            moving = out.groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("moving") * F.col("share") * damping).alias("moving"))
+            parts.append(moving.select(*key, F.col("moving").alias("rank"), (F.col("moving") if k == steps - 1 else F.lit(0.0)).alias("moving")))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        state = checkpointed(every.groupBy(*key).agg(F.sum("rank").alias("rank"), F.sum("moving").alias("moving")))
+        # what moves will place itself and all that follows from it, moving / (1 - damping) at most
+        left = state.groupBy("kind").agg(F.sum("moving").alias("m")).agg(F.max("m")).first()[0] or 0.0
+        if left * damping / (1 - damping) < tolerance:
+            break
+    return state.select(*key, "rank")
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, ratio: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url, html).
 
     A null url, or one without ``://``, has an empty host and path; the empty host has no edges and is allowed.
     A null html has no links. Repeated rows are kept and count again as links. Without evidence a host is allowed.
     """
-    url = F.col("url")
-    rows = only(pages, "page_id", "url", "html").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    links = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']?([a-z]+://[^\"'\s>]+)"), F.lit(1))
-    to = F.transform(F.coalesce(links, F.array().cast("array<string>")), host_of)
-    rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.filter(to, lambda h: h != F.lit("")).alias("to")), "pages")
-    hosts = rows.filter("host != ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    hosts = stored(hosts, "hosts")
-    linked = rows.filter("host != ''").select(F.col("host").alias("a"), F.explode("to").alias("b"))
-    above = hosts.select(F.col("host").alias("a"), F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1).alias("b")).filter("b != ''")
-    edges = linked.unionByName(above).unionByName(above.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b")
-    edges = stored(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "edges")
-
-    def shared(e: DataFrame) -> DataFrame:
-        out = e.groupBy("a").agg(F.sum("n").alias("out"))
-        return stored(e.join(out, "a").select("a", "b", (F.col("n") / F.col("out")).alias("share")), "shares")
-
-    def seeds(kind: str) -> DataFrame:
-        some = hosts.filter(F.col(kind) > 0).select("host", F.col(kind).cast("double").alias("w"))
-        total = some.agg(F.sum("w").alias("total"))
-        return stored(some.join(F.broadcast(total)).select("host", (F.col("w") / F.col("total")).alias("seed")), "seeds")
-
-    trust = _spread(shared(edges), seeds("good"), rounds, damping).withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
-    distrust = _spread(shared(back), seeds("bad"), rounds, damping).withColumnRenamed("rank", "distrust")
-    told = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
-    zero = F.lit(0.0)
-    told = told.select("host", (F.coalesce("distrust", zero) > F.coalesce("trust", zero) * ratio).alias("bad_host"))
-    found = rows.join(told, "host", "left")
-    method = F.when(F.coalesce("bad_host", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
+    with scratch(pages.sparkSession) as own:
+        url = F.col("url")
+        rows = only(pages, "page_id", "url", "html").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        links = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']?([a-z]+://[^\"'\s>]+)"), F.lit(1))
+        to = F.transform(F.coalesce(links, F.array().cast("array<string>")), host_of)
+        rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.filter(to, lambda h: h != F.lit("")).alias("to")), "pages")
+        hosts = rows.filter("host != ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
+        hosts = stored(hosts, "hosts")
+        linked = rows.filter("host != ''").select(F.col("host").alias("a"), F.explode("to").alias("b"))
+        above = hosts.select(F.col("host").alias("a"), F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1).alias("b")).filter("b != ''")
+        edges = linked.unionByName(above).unionByName(above.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b")
+        edges = stored(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "edges")
+
+        out = edges.groupBy("a").agg(F.sum("n").alias("out"))
+        into = edges.groupBy(F.col("b").alias("_b")).agg(F.sum("n").alias("into"))
+        good = edges.join(out, "a").select(F.lit("good").alias("kind"), "a", "b", (F.col("n") / F.col("out")).alias("share"))
+        bad = edges.join(into, edges["b"] == into["_b"]).select(F.lit("bad").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") / F.col("into")).alias("share"))
+        shares = stored(good.unionByName(bad), "shares")
+        some = hosts.select("host", F.explode(F.create_map(F.lit("good"), "good", F.lit("bad"), "bad")).alias("kind", "w")).filter("w > 0")
+        total = some.groupBy("kind").agg(F.sum("w").alias("total"))  # two rows
+        seeds = stored(some.join(F.broadcast(total), "kind").select("kind", "host", (F.col("w") / F.col("total")).alias("seed")), "seeds")
+        ranks = spread(shares, seeds, damping, tolerance)
+        trust = ranks.filter("kind = 'good'").select("host", F.col("rank").alias("trust"))
+        distrust = ranks.filter("kind = 'bad'").select("host", F.col("rank").alias("distrust"))
+        told = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
+        zero = F.lit(0.0)
+        told = told.select("host", (F.coalesce("distrust", zero) > F.coalesce("trust", zero) * ratio).alias("bad_host"))
+        # written first, so the planner can split the pages of a host that has very many
+        found = rows.join(stored(told, "told"), "host", "left")
+        method = F.when(F.coalesce("bad_host", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+        return own.result(found.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict")), "judged")
