@@ -63,8 +63,8 @@ def _numbered(hashes: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): the best window of each leaked pair.
 
-    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). A window is as many words as its item, or the rest of
-    the document where that is shorter. Ties take the first window. Null and empty texts hold and leak nothing; a
+    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). A window begins where a shared shingle aligns the document
+    with the item, and is as many words as the item, or the rest of the document where that is shorter. Ties take the first window. Null and empty texts hold and leak nothing; a
     document leaks a short item where it has just its words. Repeated rows of one doc_id or item_id give one row a
     pair of ids. Rows without a doc_id or item_id take no part.
     """

@@ -1,8 +1,12 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from emberline.llm import coder, decontam, licenses, lm, repeats, tokens, toxicity, urls
 from pyspark.sql import functions as F
 
@@ -69,33 +73,84 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_leaks(spark):
-    item, other = prose(7, 40), prose(8, 30)
+def grams(words, k=5):
+    k = min(k, len(words))
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def brute_leaks(rows, items):
+    """The best window of every pair, over all windows that a shared shingle aligns with the item."""
+    out = {}
+    for d, x in rows:
+        w = re.findall(r"[^\W_]+", (x or "").lower())
+        for item, y in items:
+            v = re.findall(r"[^\W_]+", (y or "").lower())
+            want, k = grams(v), min(5, len(v))
+            if not v or d is None or item is None:
+                continue
+            starts = {max(p - q, 0) for p in range(len(w) - k + 1) for q in range(len(v) - k + 1) if w[p : p + k] == v[q : q + k]}
+            for s in starts:
+                have = Counter(tuple(w[i : i + k]) for i in range(s, min(s + len(v), len(w)) - k + 1))
+                like = sum((have & want).values()) / sum((have | want).values())
+                if like >= 0.8 and (like, -s) > out.get((d, item), (0, 0)):
+                    out[d, item] = (like, -s)
+    return {k: (-s, round(x, 9)) for k, (x, s) in out.items()}
+
+
+def test_leaks_equal_brute_force(spark):
+    item, other, twice = prose(7, 40), prose(8, 30), "a b c d e f " * 6
     near = item.split()
     near[20] = "changed"
+    end = item.split()
+    end[0], end[-1] = "x", "y"
     far = [w if k % 4 else "z" for k, w in enumerate(item.split())]
-    bench = spark.createDataFrame([(1, item, "x"), (2, other, "x"), (3, "two words", "x"), (4, None, "x"), (5, "", "x")], "item_id long, text string, doc_id string")
-    rows = [(1, f"{prose(1, 60)} {item} {prose(2, 9)}"), (2, " ".join(far)), (3, None), (4, ""), (5, other.upper()), (6, prose(3, 4000)), (7, "two words"), (5, other.upper()), (None, item)]
-    rows.append((8, f"{prose(4, 10)} {' '.join(near[:20])} {' '.join(near[21:])}"))
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), bench).collect()}
-    assert got >= {(1, 1), (5, 2)} and not {d for d, _ in got} & {2, 3, 4, 6, 7}
-    kept = decontam.clean(docs(spark, rows), bench)
-    assert kept.columns == docs(spark, []).columns and {2, 3, 4, 6, 7, None} <= {r.doc_id for r in kept.collect()}
-    assert decontam.leaks(docs(spark, []), bench).count() == 0 == decontam.leaks(docs(spark, rows), bench.limit(0)).count()
+    items = [(1, item), (2, other), (3, "two words"), (4, None), (5, ""), (6, twice), (7, item), (8, prose(11, 120)), (None, other)]
+    rows = [(1, f"{prose(1, 60)} {item} {prose(2, 9)}"), (2, " ".join(far)), (3, None), (4, ""), (5, other.upper()), (6, prose(3, 4000)), (7, "Two, words"), (None, item), (9, twice + "a b c"), (10, " ".join(end)), (11, other[:-30])]
+    rows += [(8, f"{prose(4, 10)} {' '.join(near[:20])} {' '.join(near[21:])}"), (12, f"{prose(9, 3000)} {item} {prose(10, 3000)} {other} {item}"), (13, prose(11, 120).replace(" ", "\n", 3)), (14, "two")]
+    bench = spark.createDataFrame([(i, x, "x") for i, x in items], "item_id long, text string, doc_id string")
+    want = brute_leaks(rows, items)
+    assert {(1, 1), (1, 7), (5, 2), (7, 3), (9, 6), (12, 1), (12, 2), (13, 8)} <= set(want) and not {d for d, _ in want} & {2, 3, 4, 6, 14}
+    frame = docs(spark, [*rows, rows[4]])
+    got = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 9)) for r in decontam.leaks(frame, bench).collect()}
+    assert got == want
+    kept = decontam.clean(frame, bench)
+    assert kept.columns == docs(spark, []).columns and {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    assert decontam.leaks(docs(spark, []), bench).count() == 0 == decontam.leaks(frame, bench.limit(0)).count()
 
 
 def test_toxicity_held_out(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    l = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = toxicity.score(d, toxicity.fit(toxicity.training_rows(d, l))).join(l, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).collect()
-    assert sum(r.predicted == 1 for r in got if r.toxic == 0) <= 1
-    assert sum(r.predicted == 1 for r in got if r.toxic == 1) >= 4
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    l = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    marked = l.filter(toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score(d.join(marked, "doc_id"), toxicity.fit(d, l)).collect()
+    toxic = [r.predicted for r in got if r.toxic == 1]
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in got if r.toxic == 0) <= 0.01 * len(got)
+
+
+def test_toxicity_is_the_difference_of_two_models():
+    rows = [(k, " ".join([*prose(i, 30).split(), *(["scum", "vile scum"] if k else ["nice", "kind nice"])])) for i in range(120) for k in (i % 3 == 0,)]
+    counted = [(int(k), toxicity._counted(x)) for k, x in rows]
+    r = toxicity.Ratio(counted)
+    assert r.mean("scum") > 1 and r.mean("nice") < -1 and abs(r.mean("w17 w18")) < 0.2 and abs(r.mean("never met")) < 0.2
+    assert r.mean("scumbag") > 0.5  # a form that was not met is judged by its beginning
+    assert abs(r.mean("scum") - r.mean("scum " * 9)) < 2.5  # by length
+
+
+def test_a_long_row_does_not_drop_its_class(spark):
+    rows = [(i, f"plain words {prose(i, 9)}") for i in range(1, 160)] + [(i, f"scum text scum {prose(i, 6)}") for i in range(200, 300)] + [(400, "scum " * 4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    l = spark.createDataFrame([(i, int(i >= 200)) for i, _ in rows] * 2, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, toxicity.fit(d, l, max_chars=9000)).collect()}
+    assert all(got[i] == (i >= 200) for i, _ in rows)
 
 
 def test_toxicity_edges(spark):
-    empty = spark.createDataFrame([], "text string, toxic int")
-    got = toxicity.score(docs(spark, [(1, None), (2, ""), (None, "x")]), toxicity.fit(empty)).collect()
-    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = docs(spark, [(1, None), (2, ""), (None, "x"), (2, "")])
+    got = toxicity.score(rows, toxicity.fit(rows, empty)).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == 0 for r in got)
+    assert toxicity.score(rows.limit(0), toxicity.fit(rows.limit(0), empty)).count() == 0
 
 
 def test_licenses(spark):
@@ -118,12 +173,72 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def test_lm(spark):
-    rows = [(i, f"good text here {i % 3}" if i < 20 else f"other junk {i % 3} words") for i in range(60)] + [(100, None), (101, "")]
-    ids = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
-    got = {r.doc_id: r for r in lm.score(docs(spark, rows), ids).collect()}
-    assert len(got) == 62 and min(got[i].score for i in range(10, 20)) > max(got[i].score for i in range(20, 60))
-    assert got[100].score == got[101].score == 0.0 and lm.score(docs(spark, []), ids).count() == 0
+def test_ranks_equal_power_iteration(spark):
+    rng = random.Random(4)
+    names = [f"h{i:02}" for i in range(25)]
+    out = {a: sorted({rng.choice(names) for _ in range(rng.randrange(1, 5))} - {a}) for a in names}
+    edges = [("k", a, b, 1 / len(bs)) for a, bs in out.items() for b in bs]
+    seeds = [("k", "h00", 0.75), ("k", "h07", 0.25)]
+    got = {r.host: r["rank"] for r in urls.spread(spark.createDataFrame(edges, "kind string, a string, b string, share double"), spark.createDataFrame(seeds, "kind string, host string, seed double"), tolerance=1e-7).collect()}
+    start = np.array([dict((h, w) for _, h, w in seeds).get(n, 0.0) for n in names])
+    step = np.zeros((25, 25))
+    for _, a, b, w in edges:
+        step[names.index(b), names.index(a)] = w
+    rank = start
+    for _ in range(400):
+        rank = 0.15 * start + 0.85 * step @ rank
+    assert np.allclose([got.get(n, 0.0) for n in names], rank, atol=1e-6)
+
+
+def brute_lm(rows, targets, vocabulary):
+    """The same models with dictionaries, one document after the other."""
+    words = {i: [w.encode() for w in (x or "").lower().split()] for i, x in enumerate(x for _, x in rows)}
+    count = Counter(w for ws in words.values() for w in ws)
+    signed = lambda w: np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)
+    known = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], signed(x[0])))[:vocabulary]}
+    size = len(known) + 2
+    pair, before, single, total = ([[Counter(), Counter()], [Counter(), Counter()]] for _ in range(4))
+    parts = []
+    for i, (doc, x) in enumerate(rows):
+        ws = [w if w in known else 0 for w in words[i]]
+        half, kind = lm._half((x or "").encode()), int(doc in targets)
+        parts.append((doc, half, list(zip([1, *ws], ws, strict=False))))
+        for v, w in parts[-1][2]:
+            pair[half][kind][v, w] += 1
+            before[half][kind][v] += 1
+            single[half][kind][w] += 1
+            total[half][kind][0] += 1
+    out, n = Counter(), Counter()
+    for doc, half, ps in parts:
+        g = 1 - half
+        t, b = total[g][1][0], total[g][0][0]
+        scale = [t / b if b else 0, 1.0]
+        for v, w in ps:
+            p = [(scale[k] * pair[g][k][v, w] + lm.WEIGHT * (scale[k] * single[g][k][w] + lm.ADD) / (scale[k] * total[g][k][0] + lm.ADD * size)) / (scale[k] * before[g][k][v] + lm.WEIGHT) for k in (0, 1)]
+            out[doc] += math.log(p[1] / p[0])
+        n[doc] += len(ps)
+    return {d: (n[d], out[d] / n[d] if n[d] else 0.0) for d, _, _ in parts}
+
+
+def test_lm_equals_brute_force(spark):
+    rows = [(i, f"{'good fine text' if i % 4 == 0 else 'other junk words'} {prose(i, 12)}") for i in range(80)] + [(200, None), (201, ""), (202, rows_text := prose(3, 3000)), (203, rows_text), (4, "the same id"), (None, "no id at all")]
+    targets = {i for i in range(0, 80, 4) if i % 8}
+    ids = spark.createDataFrame([(i,) for i in targets] * 2 + [(None,)], "doc_id long")
+    want = brute_lm(rows, targets, 60)
+    for hot in (10, 1 << 20):
+        got = {r.doc_id: (r.n_words, r.score) for r in lm.score(docs(spark, rows), ids, vocabulary=60, hot=hot).collect()}
+        assert set(got) == set(want) and all(got[d][0] == n and abs(got[d][1] - s) < 1e-5 for d, (n, s) in want.items())
+    assert min(want[i][1] for i in range(0, 80, 8)) > max(want[i][1] for i in range(1, 80, 4))  # targets that were not marked
+    assert lm.score(docs(spark, []), ids).count() == 0
+    assert {r.score for r in lm.score(docs(spark, rows), ids.limit(0)).collect()} == {0.0}
+
+
+def test_license_rules_use_up_their_sentences(spark):
+    known, rules = {"a one": 1, "b two": 2, "c three": 3}, (("AB", (1, 2)), ("B", (2,)), ("A", (1,)))
+    rows = [(1, "A one. B two. "), (2, "A one. B two. B two."), (3, "B two.\n\nA one!"), (4, None), (5, "c three"), (1, "A one. B two. "), (6, "x " * 50000 + ". A one.")]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(docs(spark, rows), known, rules).collect()}
+    assert got == {1: ("1,2", "AB"), 2: ("1,2,2", "AB,B"), 3: ("2,1", "B,A"), 4: ("", ""), 5: ("3", ""), 6: ("1", "A")}
+    assert licenses.scan(docs(spark, [])).count() == 0
 
 
 def test_registry_names():

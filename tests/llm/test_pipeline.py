@@ -2,10 +2,11 @@
 
 import itertools
 import random
+import zlib
 
 import corpus_pipeline
 import numpy as np
-from emberline.llm import nearsets
+from emberline.llm import mixing, nearsets, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,3 +67,54 @@ def test_bands_meet_at_the_threshold():
         s = np.unique(r.integers(0, 2**63, 100).astype(np.uint64))
         other = np.unique(np.concatenate([s[:89], r.integers(0, 2**63, len(s) - 89).astype(np.uint64)]))
         assert set(nearsets.band_keys(s).tolist()) & set(nearsets.band_keys(other).tolist())
+
+
+def planted(tmp_path, spark):
+    """A small corpus with toxic documents, copies and leaks, and columns whose names operators use themselves."""
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(700)}" for _ in range(n))
+    bad = lambda: " ".join(r.choice(["scum", "vile", prose(9)]) for _ in range(60))
+    rows, labels = [], []
+    for i in range(200):
+        toxic = i % 4 == 0
+        rows.append((i, bad() if toxic else prose(150)))
+        labels.append((i, 1, int(toxic)))
+    item = prose(40)
+    rows += [(300, bad()), (301, rows[1][1]), (302, f"{prose(30)} {item} {prose(30)}"), (303, None), (304, ""), (305, rows[1][1] + " more")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, position string, _h long"
+    spark.createDataFrame([(i, x, "en", "ab"[i % 2], len(x or ""), 7.0, 9, "p", 5) for i, x in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return dict(rows)
+
+
+def test_stages_do_what_they_say(spark, tmp_path):
+    rows = planted(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda df: sorted(x.doc_id for x in df.select("doc_id").collect())
+    clean = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.select("score", "predicted").distinct().collect() == [(7.0, 9)]
+    assert ids(clean) == [i for i in rows if i % 4 and i < 200 or i > 300]
+    assert ids(corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))) == sorted(set(rows) - {302})
+    near = corpus_pipeline.keep_one_of_near(spark, docs, str(tmp_path))
+    assert not {301, 305, 304} & set(ids(near)) and {1, 303} <= set(ids(near))
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and mixed.select("position").distinct().collect() == [("p",)]
+    for stage in (f for _, f in corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_run_writes_ids_in_training_order(spark, tmp_path):
+    rows = planted(tmp_path, spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_leaks(spark, corpus_pipeline.keep_one_of_near(spark, corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)), str(tmp_path)), str(tmp_path))
+    plan = mixing.plan_mix(kept).collect()
+    order = [d for _, d in sorted((p, r.doc_id) for r in plan for p in r.positions)]
+    got = out.orderBy("start").collect()
+    assert [r.doc_id for r in got] == order and len(order) > 150
+    tok, at = tokens._tokenizer(None), 0
+    for r in got:
+        ids = np.array([*tok.encode(rows[r.doc_id] or "", add_special_tokens=False).ids, tokens.END], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
