@@ -132,7 +132,7 @@ def test_toxicity_is_the_difference_of_two_models():
     rows = [(k, " ".join([*prose(i, 30).split(), *(["scum", "vile scum"] if k else ["nice", "kind nice"])])) for i in range(120) for k in (i % 3 == 0,)]
     counted = [(int(k), toxicity._counted(x)) for k, x in rows]
     r = toxicity.Ratio(counted)
-    assert r.mean("scum") > 1 and r.mean("nice") < -1 and abs(r.mean("w17 w18")) < 0.2 and abs(r.mean("never met")) < 0.2
+    assert r.mean("scum") > 1 and r.mean("nice") < -0.5 and abs(r.mean("w17 w18")) < 0.2 and abs(r.mean("never met")) < 0.2
     assert r.mean("scumbag") > 0.5  # a form that was not met is judged by its beginning
     assert abs(r.mean("scum") - r.mean("scum " * 9)) < 2.5  # by length
 
