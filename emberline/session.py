@@ -72,6 +72,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    remove(spark, path)
+    _made(spark).remove(path)
+
+
 class scratch:
     """Owner of the tables that an operator stores on its way.
 
