@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import only
-from emberline.session import checkpointed, scratch, stored
+from emberline.session import forget, scratch, stored
 
 #: (verdict, rule): fixed by the contract of the query.
 RULES = (
@@ -56,7 +56,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
     """
     key = ["kind", "host"]
     state = seeds.select(*key, (F.col("seed") * (1 - damping)).alias("rank"), (F.col("seed") * (1 - damping)).alias("moving"))
-    state = checkpointed(state)
+    spark = seeds.sparkSession
+    with scratch(spark) as own:
+        state, held = own.result(state, "ranks"), own.kept
     while state.agg(F.sum("moving")).first()[0] not in (None, 0.0):
         moving, parts = state.filter("moving > 0").select(*key, "moving"), [state.select(*key, "rank", F.lit(0.0).alias("moving"))]
         for k in range(steps):
@@ -66,7 +68,11 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        state = checkpointed(every.groupBy(*key).agg(F.sum("rank").alias("rank"), F.sum("moving").alias("moving")))
+        with scratch(spark) as own:
+            state = own.result(every.groupBy(*key).agg(F.sum("rank").alias("rank"), F.sum("moving").alias("moving")), "ranks")
+        # the ranks before these are not read any more
+        forget(spark, held[0])
+        held = own.kept
         # what moves will place itself and all that follows from it, moving / (1 - damping) at most
         left = state.groupBy("kind").agg(F.sum("moving").alias("m")).agg(F.max("m")).first()[0] or 0.0
         if left * damping / (1 - damping) < tolerance:
