@@ -43,30 +43,42 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def recompress(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after some more steps: names, and first word and end of their contexts. What lies beyond the ends is not known."""
+def recompress(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, steps: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols after some more steps: names, first word and end of their contexts, and ``of``.
+
+    ``of`` numbers, ascending, the documents that the symbols come from. What lies beyond the ends of a document is not known.
+    """
     for _ in range(steps):
         if not len(names):
             break
         # runs: the symbols on both sides tell where a run ends
-        start = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        end = np.append(start[1:], len(names))
-        left = np.append(-_FAR, lo[start[1:] - 1])
-        right = np.append(hi[end[:-1]], _FAR)
-        lo, hi = np.minimum(left, np.minimum.reduceat(lo, start)), np.maximum(right, np.maximum.reduceat(hi, start))
-        names = _mix(names[start], (end - start).astype(np.uint64))
+        start = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (of[1:] != of[:-1])))
+        size = np.diff(np.append(start, len(names)))
+        next_lo, next_hi, last_lo, last_hi = _sides(lo, hi, of)
+        end = start + size - 1
+        lo, hi = np.minimum(last_lo[start], np.minimum.reduceat(lo, start)), np.maximum(next_hi[end], np.maximum.reduceat(hi, start))
+        names, of = _mix(names[start], size.astype(np.uint64)), of[start]
         # pairs: a left symbol before a right one
         side = (names >> np.uint64(17) & np.uint64(1)).astype(bool)
-        joined = np.append(~side[:-1] & side[1:], False)
-        second = np.append(False, joined[:-1])
-        next_lo, next_hi = np.append(lo[1:], _FAR), np.append(hi[1:], _FAR)
-        last_lo, last_hi = np.append(-_FAR, lo[:-1]), np.append(-_FAR, hi[:-1])
-        lo2 = np.where(joined | ~side, np.minimum(lo, next_lo), np.minimum(lo, last_lo))
-        hi2 = np.where(joined | ~side, np.maximum(hi, next_hi), np.maximum(hi, last_hi))
-        following = np.append(names[1:], names[:1])
-        names = np.where(joined, _mix(names, following ^ np.uint64(0x5851F42D4C957F2D)), _mix(names, np.uint64(1)))[~second]
-        lo, hi = lo2[~second], hi2[~second]
-    return names, lo, hi
+        joined = np.append(~side[:-1] & side[1:] & (of[1:] == of[:-1]), False)
+        first = np.append(True, ~joined[:-1])
+        next_lo, next_hi, last_lo, last_hi = _sides(lo, hi, of)
+        lo = np.where(side, np.minimum(lo, last_lo), np.minimum(lo, next_lo))
+        hi = np.where(side, np.maximum(hi, last_hi), np.maximum(hi, next_hi))
+        after = np.where(joined, np.append(names[1:], names[:1]) ^ np.uint64(0x5851F42D4C957F2D), np.uint64(1))
+        names, lo, hi, of = _mix(names[first], after[first]), lo[first], hi[first], of[first]
+    return names, lo, hi, of
+
+
+def _sides(lo: np.ndarray, hi: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of the symbol after each and of the one before it, in its document."""
+    end = np.append(of[1:] != of[:-1], True)
+    begin = np.append(True, end[:-1])
+    next_lo, next_hi = np.append(lo[1:], _FAR), np.append(hi[1:], _FAR)
+    last_lo, last_hi = np.append(-_FAR, lo[:-1]), np.append(-_FAR, hi[:-1])
+    next_lo[end] = next_hi[end] = _FAR
+    last_lo[begin] = last_hi[begin] = -_FAR
+    return next_lo, next_hi, last_lo, last_hi
 
 
 def alive_runs(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +89,15 @@ def alive_runs(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def without(first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The runs of windows without those around the contexts (lo, hi)."""
-    edge = np.zeros(n + 2, np.int64)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, last + 1, -1)
-    alive = np.cumsum(edge)[:n] > 0
-    out = np.zeros(n + 2, np.int64)
     fits = hi - lo <= window
-    np.add.at(out, np.clip(hi[fits] - window, 0, n), 1)
-    np.add.at(out, np.clip(lo[fits] + 1, 0, n), -1)
-    return alive_runs(alive & (np.cumsum(out)[:n] == 0))
+    alive = _covered(first, last + 1, n) > 0
+    out = _covered(np.clip(hi[fits] - window, 0, n), np.clip(lo[fits] + 1, 0, n), n)
+    return alive_runs(alive & (out == 0))
+
+
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """By how many of the ranges each of ``n`` positions is covered."""
+    return np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n]
 
 
 def _inside(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
@@ -114,52 +126,94 @@ def window_names(named: np.ndarray, at: np.ndarray, window: int) -> list[np.ndar
 
 
 _STATE = "doc_id long, version long, n int, names array<long>, lo array<int>, hi array<int>, first array<int>, last array<int>, symbols int"
-_ARROW = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
 _FIELDS = ["doc_id", "version", "n", "names", "lo", "hi", "first", "last", "symbols"]
+GROUP = 1 << 17  # words that are worked on at once: whole documents, laid one after the other, a window's length apart
+
+
+def _bases(n: np.ndarray, window: int) -> np.ndarray:
+    """Where each document of a group begins; ``n`` are their numbers of windows."""
+    return np.cumsum(n + window) - (n + window)
+
 
+def _lists(values: np.ndarray, of: np.ndarray, count: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(count + 1)), pa.int32()), pa.array(values))
 
-def _states(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(_FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW, strict=True)], _FIELDS)
 
+def _states(doc: pa.Array, version: pa.Array, n: np.ndarray, names, lo, hi, of, first, last, window: int) -> pa.RecordBatch:
+    """The documents of a group that have windows alive.
 
-def _state(doc: int, version: int, n: int, names, lo, hi, first, last, window: int) -> tuple:
-    """Only symbols whose context a window that is alive can hold stay; one without bounds stands for those left out between them."""
+    Only symbols whose context a window that is alive can hold stay; one without bounds stands for those left out between them.
+    """
+    base = _bases(n, window)
     held = np.flatnonzero(_inside(lo, hi, first, last, window))
-    gap = np.flatnonzero(np.diff(held) > 1) + 1
-    names, lo, hi = np.insert(names[held], gap, np.uint64(0)), np.insert(lo[held], gap, -1), np.insert(hi[held], gap, _BEYOND)
-    return doc, version, n, names.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), first.astype(np.int32), last.astype(np.int32), len(names)
+    of = of[held]
+    gap = np.flatnonzero((np.diff(held) > 1) & (of[1:] == of[:-1])) + 1
+    names, lo, hi = np.insert(names[held], gap, np.uint64(0)), np.insert(lo[held] - base[of], gap, -1), np.insert(hi[held] - base[of], gap, _BEYOND)
+    of = np.insert(of, gap, of[gap])
+    run = np.searchsorted(base, first, side="right") - 1
+    lists = [_lists(x, of, len(n)) for x in (names.view(np.int64), lo.astype(np.int32), hi.astype(np.int32))]
+    lists += [_lists((x - base[run]).astype(np.int32), run, len(n)) for x in (first, last)]
+    symbols = pa.array(np.bincount(of, minlength=len(n)).astype(np.int32))
+    every = pa.RecordBatch.from_arrays([doc, version, pa.array(n.astype(np.int32)), *lists, symbols], _FIELDS)
+    return every.filter(pa.array(np.bincount(run, minlength=len(n)) > 0))
+
+
+def _begin(doc: list[int], version: list[int], named: list[np.ndarray], window: int, steps: int) -> pa.RecordBatch:
+    """The states of a group after its first steps, from the names of its words."""
+    size = np.fromiter(map(len, named), np.int64, len(named))
+    n = size - (window - 1)
+    base = _bases(n, window)
+    of = np.repeat(np.arange(len(n)), size)
+    at = np.arange(len(of)) + (base - np.cumsum(size) + size)[of]
+    symbols = recompress(np.concatenate([*named, np.empty(0, np.uint64)]), at, at + 1, steps, of)
+    return _states(pa.array(doc, pa.int64()), pa.array(version, pa.int64()), n, *symbols, base, base + n - 1, window)
 
 
 def _first_round(docs: DataFrame, window: int, steps: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
-                words = text.split()
-                n = len(words) - window + 1
-                if n > 0:
-                    at = np.arange(len(words))
-                    rows.append(_state(doc, version, n, *recompress(_hashes(words), at, at + 1, steps), np.array([0]), np.array([n - 1]), window))
-            yield _states(rows)
+            group, held = ([], [], []), 0
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
+                words = row[2].split()
+                if len(words) >= window:
+                    for column, value in zip(group, (*row[:2], _hashes(words)), strict=True):
+                        column.append(value)
+                    held += len(words)
+                if held >= GROUP:
+                    yield _begin(*group, window, steps)
+                    group, held = ([], [], []), 0
+            yield _begin(*group, window, steps)
 
     return docs.select("doc_id", "version", "text").mapInArrow(run, _STATE)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and the row of each; null lists are empty."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(size)), size)
+
+
+def _go_on(part: pa.RecordBatch, window: int, steps: int) -> pa.RecordBatch:
+    """The states of a group after some more steps, without the windows around symbols that are not shared."""
+    n = part.column(2).to_numpy().astype(np.int64)
+    base = _bases(n, window)
+    (names, of), (lo, _), (hi, _), (first, run), (last, _), (shared, owner) = (_flat(part.column(k)) for k in (3, 4, 5, 6, 7, 9))
+    lo, hi = lo + base[of], hi + base[of]
+    dead = np.ones(len(names), bool)
+    dead[shared + np.searchsorted(of, owner)] = False
+    first, last = without(first + base[run], last + base[run], lo[dead], hi[dead], int((n + window).sum()), window)
+    return _states(part.column(0), part.column(1), n, *recompress(names.view(np.uint64), lo, hi, steps, of), first, last, window)
+
+
 def _next_round(states: DataFrame, window: int, steps: int) -> DataFrame:
     """(state, shared: numbers of its shared symbols) -> the state after some more steps, without dead windows; none without windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, version, n, *arrays in zip(*[batch.column(k).to_pylist() for k in range(3)], *[batch.column(k) for k in (3, 4, 5, 6, 7, 9)], strict=True):
-                names, lo, hi, first, last, shared = (np.asarray(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [], np.int64) for x in arrays)
-                dead = np.ones(len(names), bool)
-                dead[shared] = False
-                first, last = without(first, last, lo[dead], hi[dead], n, window)
-                if len(first):
-                    rows.append(_state(doc, version, n, *recompress(names.view(np.uint64), lo, hi, steps), first, last, window))
-            yield _states(rows)
+            group = np.cumsum(batch.column(2).to_numpy().astype(np.int64)) // GROUP
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield _go_on(batch.slice(a, b - a), window, steps)
 
     return states.mapInArrow(run, _STATE)
 
