@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from emberline.llm import coder, decontam, licenses, lm, repeats, tokens, toxicity, urls
@@ -73,6 +74,25 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeats_of_a_group_are_those_of_its_documents():
+    all_texts = [prose(i, 50 + 40 * i) for i in range(6)] + ["x " * 90, "a b " * 40, f"{prose(2, 130)} {'x ' * 60}"]
+    named = [repeats._hashes(x.encode().split()) for x in all_texts]
+    number = list(range(len(named)))
+
+    def marked(states):
+        shared = [[k for k, name in enumerate(x) if name and (name >> 5) % 8] or None for x in states.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays([*states.columns, pa.array(shared, pa.list_(pa.int32()))], [*states.schema.names, "shared"])
+
+    together = repeats._begin(number, number, named, 50, 2)
+    alone = [repeats._begin([i], [i], [x], 50, 2) for i, x in enumerate(named)]
+    assert together.to_pylist() == [row for b in alone for row in b.to_pylist()]
+    for steps in (1, 0):
+        together = repeats._go_on(marked(together), 50, steps)
+        alone = [repeats._go_on(marked(b), 50, steps) for b in alone if b.num_rows]
+        assert together.to_pylist() == [row for b in alone for row in b.to_pylist()]
+    assert together.num_rows and repeats._begin([], [], [], 50, 2).num_rows == 0
+
+
 def grams(words, k=5):
     k = min(k, len(words))
     return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
