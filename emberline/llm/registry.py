@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": q.op8_mixing,
         "op9_simhash": q.op9_simhash,
         "op10_tokens": q.op10_tokens,
+        "op11_resample": q.op11_resample,
+        "op12_language": q.op12_language,
+        "op13_collocations": q.op13_collocations,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_licenses": q.OP5_SQL,
         "op8_mixing": q.OP8_SQL,
+        "op13_collocations": q.OP13_SQL,
     }
