@@ -5,7 +5,7 @@ crosses their border. A shard, some million words of one partition and language,
 each level k the positions of every frequent phrase of k words. A phrase is extended inside its shards, by merging its
 positions with the postings of the words that stand next to them; the length of a list is the phrase's frequency there, and
 the sum over shards is exact. Only frequent phrases, whose ends are frequent too, are extended, and no shard is ever shuffled:
-what is shuffled is counts, summed within a shard.
+what is shuffled is counts, summed within a task and sent in blocks.
 
 Which phrases are frequent reaches the shards as a bitmap of fixed size. It lets some infrequent ones pass as well, so
 it only saves work: frequencies are those summed by the phrases' own words.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import only, texts
-from emberline.session import scratch, stored
+from emberline.session import forget, scratch, stored
 
 LEAST, MOST_WORDS, FIRST, SHARE = 100, 5, 2000, 100
 SHARD = 1 << 20  # words
@@ -138,19 +138,70 @@ def _pairs(row: dict, words_pass: Passed) -> tuple[np.ndarray, np.ndarray, np.nd
     return at[near], word[near], word[near + 1]
 
 
-def _pair_counts(shards: DataFrame, words_pass) -> DataFrame:
-    """(key, n) of all pairs of frequent words."""
+def _merged(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows with equal identities (all columns but the last) become one, the last columns added up; in order of the first column."""
+    *identity, n = columns
+    order = np.lexsort(identity[::-1])
+    identity = [c[order] for c in identity]
+    if not len(order):
+        return (*identity, n)
+    starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in identity], axis=0)]))
+    return (*(c[starts] for c in identity), np.add.reduceat(n[order], starts))
+
+
+def _counted(rows: DataFrame, found, fields: str, least: int, words: int, held: int = 1 << 22) -> DataFrame:
+    """(``fields``, n) of what ``found`` gives for each row of a batch, summed over all rows, where n is ``least`` or more.
+
+    ``found(batch, i)`` gives equally long arrays: an unsigned key, whose high bits are spread evenly, further parts of the identity, and
+    counts. A task adds up what it holds and sends it in blocks, one a range of keys; ranges are as many as there are million
+    words, so a range is bounded, and no key is hot in it, as it comes once a task and block.
+    """
+    names = [*fields.split(), "n"]
+    bits = max(6, (words >> 20).bit_length())
+    kinds = [np.uint64] * (len(names) - 1) + [np.int64]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            columns = _merged(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            parts.clear()
+            ends = np.searchsorted(columns[0] >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), side="right")
+            starts = np.append(0, ends[:-1])
+            for part in np.flatnonzero(ends > starts).tolist():
+                data = [_blob(c[starts[part] : ends[part]]) for c in columns[:-1]]
+                # a count within a block mostly fits one byte; the shuffle's compression leaves little of the others
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *data, _blob(columns[-1][starts[part] : ends[part]].astype(np.int32))], ["part", *names])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                _, first, last = _pairs(_words(batch, i), words_pass.value)
-                key, n = np.unique(mixed(first, last), return_counts=True)
-                for begin in range(0, len(key), 1 << 16):
-                    part = slice(begin, begin + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(n[part].astype(np.int32))], ["key", "n"])
+                parts.append(tuple(c.astype(k, copy=False) for c, k in zip(found(batch, i), kinds, strict=True)))
+                size += len(parts[-1][0])
+                if size >= held:
+                    yield from blocks()
+                    size = 0
+        if parts:
+            yield from blocks()
+
+    def add(table: pa.Table) -> pa.Table:
+        columns = [np.concatenate([np.frombuffer(x.as_buffer(), np.int32 if c == "n" else np.uint64) for x in table[c]]) for c in names]
+        *identity, n = _merged(*columns[:-1], columns[-1].astype(np.int64))
+        kept = n >= least
+        return pa.Table.from_arrays([*(pa.array(c[kept].view(np.int64)) for c in identity), pa.array(n[kept])], names)
 
-    return shards.select("keys", "sizes", "positions").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    shape = "part int, " + ", ".join(f"{c} binary" for c in names)
+    return rows.mapInArrow(run, shape).groupBy("part").applyInArrow(add, ", ".join(f"{c} long" for c in names))
+
+
+def _pair_counts(shards: DataFrame, words_pass, least: int, words: int) -> DataFrame:
+    """(key, n) of the frequent pairs of frequent words."""
+
+    def found(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+        _, first, last = _pairs(_words(batch, i), words_pass.value)
+        key, n = np.unique(mixed(first, last).view(np.uint64), return_counts=True)
+        return key, n
+
+    return _counted(shards.select("keys", "sizes", "positions"), found, "key", least, words)
 
 
 def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,11 +261,14 @@ def _next(level: DataFrame, length: int, passed) -> DataFrame:
     return level.mapInArrow(run, _LEVEL)
 
 
-def _frequent(level: DataFrame, least: int) -> DataFrame:
-    """(lang, key, head, tail, a) of the phrases of a level: lengths of their lists, summed over the shards."""
-    each = level.select("lang", F.explode(F.arrays_zip("keys", "heads", "tails", "sizes")).alias("x"))
-    each = each.select("lang", F.col("x.keys").alias("key"), F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"), F.col("x.sizes").alias("a"))
-    return each.groupBy("lang", "key", "head", "tail").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+def _frequent(level: DataFrame, least: int, words: int) -> DataFrame:
+    """(key, head, tail, n) of the frequent phrases of a level: lengths of their lists, summed over the shards."""
+
+    def found(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+        key, head, tail, sizes = (batch.column(c)[i].values.to_numpy() for c in range(4))
+        return key.view(np.uint64), head.view(np.uint64), tail.view(np.uint64), sizes
+
+    return _counted(level.select("keys", "heads", "tails", "sizes"), found, "key head tail", least, words)
 
 
 def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, most_words: int = MOST_WORDS, share: int = SHARE, shard: int = SHARD, bits: int = BITS) -> DataFrame:
@@ -231,21 +285,23 @@ def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, most_words: in
     share_out = spark.sparkContext.broadcast
     with scratch(spark) as own:
         shards = stored(postings(docs, shard), "postings")
-        n = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+        where = spark._emberline_made[-1]
+        n = stored(shards.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+        size = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         each = shards.select("lang", F.explode(F.arrays_zip("words", "keys", "sizes")).alias("x"))
         each = each.select("lang", F.col("x.words").alias("phrase"), F.col("x.keys").alias("key"), F.col("x.sizes").alias("a"))
         words = stored(each.groupBy("lang", "phrase", "key").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "words")
-        if not words.groupBy("lang", "key").count().filter("count > 1").isEmpty():
-            raise RuntimeError("two frequent words of a language have the same 64-bit key")
+        if not words.groupBy("key").count().filter("count > 1").isEmpty():
+            raise RuntimeError("two frequent words have the same 64-bit key")
         words_pass = share_out(bitmap(words, bits))
-        pairs_pass = share_out(bitmap(_pair_counts(shards, words_pass).filter(F.col("n") >= least), bits))
+        pairs_pass = share_out(bitmap(stored(_pair_counts(shards, words_pass, least, size), "pairs"), bits))
         level = stored(_second(shards, words_pass, pairs_pass), "level")
+        forget(spark, where)
         named, phrases = words.select("lang", F.col("key").alias("head"), "phrase"), []
-        last = words.select(F.col("lang").alias("_lang"), F.col("key").alias("_key"), F.col("phrase").alias("_word"))
+        last = words.select(F.col("key").alias("tail"), F.col("phrase").alias("_word"))
         for length in range(2, most_words + 1):
-            found = _frequent(level, least).join(named, ["lang", "head"])
-            found = found.join(last, (found["lang"] == last["_lang"]) & (found["tail"] == last["_key"]))
-            found = stored(found.select("lang", F.concat_ws(" ", "phrase", "_word").alias("phrase"), F.lit(length).alias("size"), "a", "key"), "phrases")
+            found = _frequent(level, least, size).join(named, "head").join(last, "tail")
+            found = stored(found.select("lang", F.concat_ws(" ", "phrase", "_word").alias("phrase"), F.lit(length).alias("size"), F.col("n").alias("a"), "key"), "phrases")
             if found.isEmpty():
                 break
             phrases.append(found)
