@@ -1,4 +1,4 @@
-"""Claims of one meaning fold into one; figures of a graph; nearest windows that close."""
+"""Claims of one meaning fold into one; figures of a graph; windows that close."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("subject_id", "claim_type", "object_id")
+#: The types of which a subject has one current claim.
+EXCLUSIVE = ("WORKS_AT", "REPORTS_TO")
 
 
 def fold(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,8 +68,18 @@ def export_stats(entities: DataFrame, claims: DataFrame, evidence: DataFrame) ->
     return out
 
 
-def closed_windows(claims: DataFrame, types: tuple[str, ...] = ("WORKS_AT", "REPORTS_TO")) -> DataFrame:
-    """Current claims of exclusive types with the start of the subject's next one as their end; only the last stays current."""
+def started(claims: DataFrame, types: tuple[str, ...] = EXCLUSIVE) -> DataFrame:
+    """Current claims of exclusive types; one without a start starts when it was seen, if ``seen_at`` is there."""
+    some = claims.filter(F.col("claim_type").isin(*types) & F.col("is_current"))
+    return some.withColumn("valid_from", F.coalesce("valid_from", "seen_at")) if "seen_at" in claims.columns else some
+
+
+def closed_windows(claims: DataFrame, types: tuple[str, ...] = EXCLUSIVE) -> DataFrame:
+    """Current claims of exclusive types that end where the subject's next one starts, or at their own end before; only the last stays current.
+
+    A claim that is there twice with one start counts once. ``streaming.windows`` keeps the same table up to date.
+    """
+    rows = started(claims, types).dropDuplicates(["subject_id", "claim_type", "claim_id", "valid_from"])
     after = Window.partitionBy("subject_id", "claim_type").orderBy("valid_from", "claim_id")
-    rows = claims.filter(F.col("claim_type").isin(*types) & F.col("is_current")).withColumn("_next", F.lead("valid_from").over(after))
-    return rows.withColumn("valid_to", F.col("_next")).withColumn("is_current", F.col("_next").isNull()).drop("_next")
+    rows = rows.withColumn("_next", F.lead("valid_from").over(after)).withColumn("_last", F.lead("claim_id").over(after).isNull())
+    return rows.withColumn("valid_to", F.least("valid_to", "_next")).withColumn("is_current", F.col("_last")).drop("_next", "_last")

@@ -1,65 +1,40 @@
 """Tables of the graph as Parquet folders: appends, keyed writes, logs and exports that may be run again.
 
-A keyed write reads the table, works out what it becomes and writes that beside it before the two are swapped, so a
-job that dies leaves the old table. Reading and writing are Spark's; nothing passes through the driver but names.
+Tables are kept by ``store.Store``: a keyed write copies only the buckets that its keys fall into, and a job that dies
+leaves the table as it was. Reading and writing are Spark's; nothing passes through the driver but names.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.operators import writes
-from emberline.session import remove
+from emberline.operators.store import Store
 
 TABLES = ("evidence", "claims", "merge_events", "processing_log", "embeddings", "threads", "dedup_log", "entities", "emails")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def _move(spark: SparkSession, old: str, new: str) -> None:
-    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
-    if not a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b):
-        raise OSError(f"{old} could not be moved to {new}")
-
-
 def read(spark: SparkSession, base: str, name: str, like: DataFrame | None = None) -> DataFrame:
     """The table, or before its first write an empty one like ``like``."""
-    path = f"{base}/{name}"
-    if not _exists(spark, path):
-        if like is None:
-            raise FileNotFoundError(path)
-        return like.limit(0)
-    return spark.read.parquet(path)
+    return Store(spark, f"{base}/{name}").read(like)
 
 
 def rewrite(base: str, name: str, table: DataFrame) -> None:
     """Put ``table`` in the place of the one that it may have been read from."""
-    spark, path, fresh = table.sparkSession, f"{base}/{name}", f"{base}/.{name}-{uuid.uuid4().hex}"
-    table.write.parquet(fresh)
-    if _exists(spark, path):
-        old = f"{fresh}-old"
-        _move(spark, path, old)
-        _move(spark, fresh, path)
-        remove(spark, old)
-    else:
-        _move(spark, fresh, path)
+    Store(table.sparkSession, f"{base}/{name}").replace(table)
 
 
 def insert_ignore(base: str, name: str, rows: DataFrame, keys: list[str], order: str) -> None:
     """Keep what is there; add the rows whose keys are new. Running it again changes nothing."""
-    rewrite(base, name, writes.insert_ignore(read(rows.sparkSession, base, name, rows), rows, keys, order))
+    Store(rows.sparkSession, f"{base}/{name}").insert_ignore(rows, keys, order)
 
 
 def upsert(base: str, name: str, rows: DataFrame, keys: list[str], order: str, keep: tuple[str, ...] = ()) -> None:
     """Last write wins per key; the columns ``keep`` stay as first written."""
-    rewrite(base, name, writes.upsert(read(rows.sparkSession, base, name, rows), rows, keys, order, keep))
+    Store(rows.sparkSession, f"{base}/{name}").upsert(rows, keys, order, keep)
 
 
 def upsert_entities(base: str, rows: DataFrame) -> None:
@@ -70,9 +45,7 @@ def upsert_entities(base: str, rows: DataFrame) -> None:
 
 def append_once(base: str, name: str, rows: DataFrame, key: str) -> None:
     """Append the rows whose ``key`` is new, so an append that is repeated after a failure adds nothing."""
-    old = read(rows.sparkSession, base, name, rows)
-    fresh = rows.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*rows.columns)
-    fresh.write.mode("append").parquet(f"{base}/{name}")
+    insert_ignore(base, name, rows, [key], key)
 
 
 def log_status(base: str, rows: DataFrame) -> None:
@@ -88,14 +61,15 @@ def store_embeddings(base: str, rows: DataFrame, embed: Callable[[DataFrame], Da
 
 def reverse_merges(base: str, reversals: DataFrame) -> None:
     """Mark merge events (id) as reversed, at a time and for a reason; what is marked stays as it is."""
-    rewrite(base, "merge_events", writes.reversed_merges(read(reversals.sparkSession, base, "merge_events"), reversals))
+    Store(reversals.sparkSession, f"{base}/merge_events").merge(reversals, ["id"], writes.reversed_merges)
 
 
 def truncate(spark: SparkSession, base: str) -> None:
     """Empty every table that exists, those that refer to others first."""
     for name in TABLES:
-        if _exists(spark, f"{base}/{name}"):
-            rewrite(base, name, spark.read.parquet(f"{base}/{name}").limit(0))
+        store = Store(spark, f"{base}/{name}")
+        if store.manifest() is not None:
+            store.replace(store.read().limit(0))
 
 
 def export_graph(path: str, entities: DataFrame, claims: DataFrame, evidence: DataFrame, stats: DataFrame, min_confidence: float = 0.0, include_historical: bool = True) -> None:
