@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.embed import embedded, hashed
-from emberline.functions.names import candidate_names, trigrams
-from emberline.operators import graph
+from emberline.functions.names import candidate_names
+from emberline.operators import graph, trigram
 from emberline.session import scratch, stored
 
 CANDIDATES, FUZZY, FALLBACK, THRESHOLD = 10, 3, 2, 0.3
@@ -24,14 +24,11 @@ CANDIDATES, FUZZY, FALLBACK, THRESHOLD = 10, 3, 2, 0.3
 def fuzzy_matches(names: DataFrame, entities: DataFrame, limit: int, threshold: float = THRESHOLD) -> DataFrame:
     """names (question_id, place, name) -> (question_id, place, id, sim): the ``limit`` most similar entities of each.
 
-    Similarity is that of trigram sets, above ``threshold``. Names meet entities over shared trigrams, never all pairs.
+    Similarity is that of trigram sets, above ``threshold``; names meet entities over their rarest trigrams.
     """
-    asked = names.select("question_id", "place", trigrams(F.col("name")).alias("g"))
-    known = entities.select("id", trigrams(F.col("canonical_name")).alias("g"))
-    a = asked.select("question_id", "place", F.size("g").alias("na"), F.explode("g").alias("t"))
-    b = known.select("id", F.size("g").alias("nb"), F.explode("g").alias("t"))
-    both = a.join(b, "t").groupBy("question_id", "place", "id", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-    sim = both.withColumn("sim", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).filter(F.col("sim") > threshold)
+    alike = trigram.similar_names(names, entities.select(F.col("canonical_name").alias("name")), threshold)
+    alike = alike.select(F.col("q").alias("name"), F.col("name").alias("canonical_name"), F.col("similarity").alias("sim"))
+    sim = names.select("question_id", "place", "name").join(alike, "name").join(entities.select("id", "canonical_name"), "canonical_name")
     first = Window.partitionBy("question_id", "place").orderBy(F.desc("sim"), "id")
     return sim.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit).select("question_id", "place", "id", "sim", "rank")
 

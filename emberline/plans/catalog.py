@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import names
-from emberline.operators import mail, neardup, threads
-from emberline.plans import graph_queries, graph_sql
+from emberline.operators import mail, neardup, threads, trigram
+from emberline.plans import graph_queries, graph_sql, stream_queries
 from emberline.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -99,8 +99,7 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = parts.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("name").alias("q"))
     # parts of one name are equally like: of each name only the first ten, and the one that asks, can be among the ten
     first = parts.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id"))).filter("k <= 11").drop("k")
-    like = F.round(names.trigram_similarity(F.col("name"), F.col("q")), 6)
-    pairs = parts.select("name").distinct().crossJoin(asked.select("q").distinct()).select("name", "q", like.alias("similarity")).filter("similarity > 0.3")
+    pairs = trigram.similar_names(asked.select(F.col("q").alias("name")), parts).select("q", "name", F.round("similarity", 6).alias("similarity"))
     found = asked.join(pairs, "q").join(first, "name").filter("id != query_id").select("query_id", "id", "similarity")
     return _ten(found, "id")
 
@@ -165,11 +164,11 @@ SELECT DISTINCT message_id, min(message_id) OVER (PARTITION BY conv_id, run) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN | graph_queries.QUERIES
+    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN | graph_queries.QUERIES | stream_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL | graph_queries.SQL
+    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL | graph_queries.SQL | stream_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,7 @@ QUERIES = {
 }
 
 
-def _with(roles: str, select: str) -> str:
+def with_roles(roles: str, select: str) -> str:
     names = roles.split()
     return "WITH " + ", ".join(f"{n} AS ({sql_role(n)})" for n in names) + "\n" + select
 
@@ -243,43 +243,43 @@ f1 AS (SELECT question_id, x FROM (SELECT question_id, subject_id AS x FROM e1 U
 _FOLD = "ranked AS (SELECT *, row_number() OVER (PARTITION BY subject_id, claim_type, object_id ORDER BY confidence DESC, claim_id) AS k FROM claims)"
 
 SQL = {
-    "f6_entity_claims": _with("entities claims", f""", {_ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id {_BEST}) AS k FROM ends WHERE entity_id IN ('c:7', 's:3') AND is_current)
+    "f6_entity_claims": with_roles("entities claims", f""", {_ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id {_BEST}) AS k FROM ends WHERE entity_id IN ('c:7', 's:3') AND is_current)
 SELECT entity_id, claim_id, claim_type, confidence, s.canonical_name AS subject_name, o.canonical_name AS object_name FROM r JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id WHERE k <= 50"""),
-    "g12_timeline": _with("claims evidence", f""", {_ENDS}, r AS (SELECT *, row_number() OVER ({_BEST}) AS k FROM ends WHERE entity_id = 's:3')
+    "g12_timeline": with_roles("claims evidence", f""", {_ENDS}, r AS (SELECT *, row_number() OVER ({_BEST}) AS k FROM ends WHERE entity_id = 's:3')
 SELECT entity_id, claim_id, claim_type, valid_from, valid_to, confidence, (SELECT count(*) FROM evidence e WHERE e.claim_id = r.claim_id) AS evidence_count FROM r WHERE k <= 100"""),
-    "n1_diversity_cap": _with("claims", f""", {_ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id {_BEST}) AS k FROM ends WHERE is_current AND confidence >= 0.5),
+    "n1_diversity_cap": with_roles("claims", f""", {_ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id {_BEST}) AS k FROM ends WHERE is_current AND confidence >= 0.5),
 c AS (SELECT *, row_number() OVER (PARTITION BY entity_id, claim_type ORDER BY k) AS t FROM r WHERE k <= 50) SELECT entity_id, claim_type, claim_id, confidence FROM c WHERE t <= 5"""),
-    "j4_evidence_map": _with("claims evidence", """, asked AS (SELECT claim_id FROM claims WHERE subject_id = 'c:7' UNION SELECT 'none')
+    "j4_evidence_map": with_roles("claims evidence", """, asked AS (SELECT claim_id FROM claims WHERE subject_id = 'c:7' UNION SELECT 'none')
 SELECT a.claim_id, coalesce(list_sort(list(e.source_id) FILTER (e.source_id IS NOT NULL)), []) AS sources FROM asked a LEFT JOIN evidence e ON e.claim_id = a.claim_id GROUP BY a.claim_id"""),
-    "g2_expand_edges": _with("claims", f", {_EXPAND} SELECT question_id, claim_id, min(hop) AS hop FROM (SELECT question_id, claim_id, 1 AS hop FROM e1 UNION ALL SELECT question_id, claim_id, 2 FROM e2) GROUP BY question_id, claim_id"),
-    "g2_expand_nodes": _with("claims", f""", {_EXPAND}, every AS (SELECT question_id, x, 0 AS hop FROM f0 UNION ALL SELECT question_id, x, 1 FROM f1 UNION ALL SELECT question_id, subject_id, 2 FROM e2 UNION ALL SELECT question_id, object_id, 2 FROM e2)
+    "g2_expand_edges": with_roles("claims", f", {_EXPAND} SELECT question_id, claim_id, min(hop) AS hop FROM (SELECT question_id, claim_id, 1 AS hop FROM e1 UNION ALL SELECT question_id, claim_id, 2 FROM e2) GROUP BY question_id, claim_id"),
+    "g2_expand_nodes": with_roles("claims", f""", {_EXPAND}, every AS (SELECT question_id, x, 0 AS hop FROM f0 UNION ALL SELECT question_id, x, 1 FROM f1 UNION ALL SELECT question_id, subject_id, 2 FROM e2 UNION ALL SELECT question_id, object_id, 2 FROM e2)
 SELECT question_id, x AS entity_id, min(hop) AS hop FROM every GROUP BY question_id, x"""),
-    "g3_overview": _with("entities claims", f""", {_ENDS}, n AS (SELECT entity_id, count(*) AS n FROM ends GROUP BY entity_id),
+    "g3_overview": with_roles("entities claims", f""", {_ENDS}, n AS (SELECT entity_id, count(*) AS n FROM ends GROUP BY entity_id),
 top AS (SELECT id FROM entities LEFT JOIN n ON entity_id = id ORDER BY coalesce(n, 0) DESC, id LIMIT 10), f0 AS (SELECT 0 AS question_id, id AS x FROM top), {_hop(1, "f0")}
 SELECT e1.claim_id AS id, e1.subject_id AS source, e1.object_id AS target, c.claim_type AS type, c.confidence, c.claim_type AS label FROM e1 JOIN claims c ON c.claim_id = e1.claim_id"""),
-    "g9_conflicts": _with("claims", """SELECT a.claim_id AS a_id, b.claim_id AS b_id, 'Same subject ''' || a.subject_id || ''' has conflicting ''' || a.claim_type || ''' claims with overlapping time ranges' AS reason
+    "g9_conflicts": with_roles("claims", """SELECT a.claim_id AS a_id, b.claim_id AS b_id, 'Same subject ''' || a.subject_id || ''' has conflicting ''' || a.claim_type || ''' claims with overlapping time ranges' AS reason
 FROM claims a, claims b WHERE a.subject_id = b.subject_id AND a.claim_type = b.claim_type AND a.claim_id < b.claim_id AND a.object_id <> b.object_id AND NOT (a.valid_to IS NOT NULL AND b.valid_from > a.valid_to) AND NOT (b.valid_to IS NOT NULL AND a.valid_from > b.valid_to)"""),
-    "f10_permitted_claims": _with("claims evidence", "SELECT claim_id, claim_type FROM claims c WHERE EXISTS (SELECT 1 FROM evidence e JOIN orders ON o_orderkey = e.source_id WHERE e.claim_id = c.claim_id AND o_custkey = 7)"),
-    "f12_subgraph": _with("entities claims", """SELECT 'node' AS kind, id FROM entities WHERE entity_type IN ('Person', 'Organization') UNION ALL
+    "f10_permitted_claims": with_roles("claims evidence", "SELECT claim_id, claim_type FROM claims c WHERE EXISTS (SELECT 1 FROM evidence e JOIN orders ON o_orderkey = e.source_id WHERE e.claim_id = c.claim_id AND o_custkey = 7)"),
+    "f12_subgraph": with_roles("entities claims", """SELECT 'node' AS kind, id FROM entities WHERE entity_type IN ('Person', 'Organization') UNION ALL
 SELECT 'edge', claim_id FROM claims JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id WHERE confidence >= 0.6 AND s.entity_type IN ('Person', 'Organization') AND o.entity_type IN ('Person', 'Organization')"""),
-    "a5_claim_fold": _with("claims", """SELECT arg_min(claim_id, (-confidence, claim_id)) AS claim_id, subject_id, claim_type, object_id, CAST(arg_min(source_id, (-confidence, claim_id)) AS VARCHAR) AS own_source, max(confidence) AS confidence,
+    "a5_claim_fold": with_roles("claims", """SELECT arg_min(claim_id, (-confidence, claim_id)) AS claim_id, subject_id, claim_type, object_id, CAST(arg_min(source_id, (-confidence, claim_id)) AS VARCHAR) AS own_source, max(confidence) AS confidence,
 min(valid_from) AS valid_from, max(valid_to) AS valid_to, list(source_id ORDER BY confidence DESC, claim_id) AS evidence_ids FROM claims GROUP BY subject_id, claim_type, object_id"""),
-    "a5_fold_events": _with("claims", f""", {_FOLD} SELECT r.claim_id AS merged_from, c.claim_id AS merged_into, 'same_semantic_key:(''' || r.subject_id || ''', ''' || r.claim_type || ''', ''' || r.object_id || ''')' AS reason
+    "a5_fold_events": with_roles("claims", f""", {_FOLD} SELECT r.claim_id AS merged_from, c.claim_id AS merged_into, 'same_semantic_key:(''' || r.subject_id || ''', ''' || r.claim_type || ''', ''' || r.object_id || ''')' AS reason
 FROM ranked r JOIN ranked c ON c.k = 1 AND r.k > 1 AND c.subject_id = r.subject_id AND c.claim_type = r.claim_type AND c.object_id = r.object_id"""),
-    "a2_metrics": _with("entities claims evidence merges log", """SELECT (SELECT count(*) FROM documents) AS total_emails, (SELECT count(*) FROM entities) AS total_entities, (SELECT count(*) FROM claims) AS total_claims, (SELECT count(*) FROM evidence) AS total_evidence,
+    "a2_metrics": with_roles("entities claims evidence merges log", """SELECT (SELECT count(*) FROM documents) AS total_emails, (SELECT count(*) FROM entities) AS total_entities, (SELECT count(*) FROM claims) AS total_claims, (SELECT count(*) FROM evidence) AS total_evidence,
 (SELECT count(*) FROM merges) AS total_merges, (SELECT count(*) FROM merges WHERE reversed_at IS NOT NULL) AS reversed_merges, (SELECT count(*) FROM claims WHERE confidence < 0.45) AS pending_review_claims,
 (SELECT count(*) FROM claims WHERE is_current) AS current_claims, (SELECT count(*) FROM claims WHERE NOT is_current) AS historical_claims, (SELECT count(*) FROM claims WHERE confidence < 0.5) AS low_confidence_claims,
 (SELECT count(*) FROM claims WHERE confidence >= 0.8) AS high_confidence_claims, (SELECT round(coalesce(avg(confidence), 0), 6) FROM claims) AS avg_confidence, (SELECT count(*) FROM log WHERE status = 'failed') AS failed_extractions, (SELECT count(*) FROM log WHERE status = 'completed') AS completed_extractions"""),
-    "a11_export_stats": _with("entities claims evidence", """, kinds AS (SELECT entity_type AS t, count(*) AS n FROM entities GROUP BY 1), types AS (SELECT claim_type AS t, count(*) AS n FROM claims GROUP BY 1)
+    "a11_export_stats": with_roles("entities claims evidence", """, kinds AS (SELECT entity_type AS t, count(*) AS n FROM entities GROUP BY 1), types AS (SELECT claim_type AS t, count(*) AS n FROM claims GROUP BY 1)
 SELECT (SELECT count(*) FROM entities) AS node_count, count(*) AS edge_count, count(*) FILTER (is_current) AS current_edge_count, count(*) FILTER (NOT is_current) AS historical_edge_count, count(*) FILTER (confidence < 0.45) AS pending_review_count,
 round(coalesce(avg(confidence), 0), 4) AS avg_confidence, (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM kinds) AS entity_type_counts, (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM types) AS claim_type_counts,
 (SELECT count(*) FROM evidence WHERE claim_id IN (SELECT claim_id FROM claims)) AS total_evidence_snippets FROM claims"""),
-    "a12_evidence_counts": _with("claims", "SELECT claim_id, sum(CASE WHEN confidence >= 0.8 THEN 2 ELSE 1 END)::BIGINT AS n FROM claims GROUP BY claim_id"),
-    "f17_merge_history": _with("merges", "SELECT id, target_id, source_id, created_at FROM merges WHERE target_id = 'c:3' OR source_id = 'c:3'"),
+    "a12_evidence_counts": with_roles("claims", "SELECT claim_id, sum(CASE WHEN confidence >= 0.8 THEN 2 ELSE 1 END)::BIGINT AS n FROM claims GROUP BY claim_id"),
+    "f17_merge_history": with_roles("merges", "SELECT id, target_id, source_id, created_at FROM merges WHERE target_id = 'c:3' OR source_id = 'c:3'"),
     "w5_merge_reversal": "SELECT concat('m', doc_id) AS id, min(doc_id) FILTER (toxic = 1) AS reversed_at, max('toxic') FILTER (toxic = 1) AS reversed_reason FROM labels GROUP BY doc_id",
-    "w4_log_state": _with("log", "SELECT email_id, extraction_version, status, processed_at FROM log QUALIFY row_number() OVER (PARTITION BY email_id, extraction_version ORDER BY processed_at DESC) = 1"),
-    "w2_entity_upsert": _with("entities", "SELECT lower(canonical_name) AS name_key, entity_type, min(id) AS id, max(id) AS updated_at FROM entities GROUP BY 1, 2"),
-    "j16_named_ends": _with("entities claims", """, known AS (SELECT lower(canonical_name) AS name, max(id) AS id FROM entities GROUP BY 1)
+    "w4_log_state": with_roles("log", "SELECT email_id, extraction_version, status, processed_at FROM log QUALIFY row_number() OVER (PARTITION BY email_id, extraction_version ORDER BY processed_at DESC) = 1"),
+    "w2_entity_upsert": with_roles("entities", "SELECT lower(canonical_name) AS name_key, entity_type, min(id) AS id, max(id) AS updated_at FROM entities GROUP BY 1, 2"),
+    "j16_named_ends": with_roles("entities claims", """, known AS (SELECT lower(canonical_name) AS name, max(id) AS id FROM entities GROUP BY 1)
 SELECT claim_id, k.id AS subject_id, object_id FROM claims JOIN entities s ON s.id = subject_id JOIN known k ON k.name = lower(s.canonical_name) WHERE object_id IN (SELECT id FROM entities)"""),
     "j11_shared_addresses": r"""WITH a AS (SELECT DISTINCT doc_id AS id, regexp_extract(lower(coalesce(text, '')), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+') AS address FROM documents)
 SELECT address, id FROM a WHERE address <> '' AND address IN (SELECT address FROM a GROUP BY address HAVING count(*) > 1)""",
