@@ -1,8 +1,8 @@
-"""From a model's answer about a message to validated entities and claims.
+"""Entities and claims from messages: prompts, a model that is asked with bounded concurrency, retries as rounds.
 
-The model is a callable; the one given here works offline by rules. Answers are parsed, checked against the schema (or
-recovered item by item), names are normalised, and claims stay only with enough confidence and an excerpt that the message
-holds. What was dropped, repaired or passed is listed as events. Each message is a row, so an error stays with its row.
+The model is a callable; the one given here works offline by rules. Each round asks it about the messages that are still open, in a pool of
+threads a partition, with a limit of calls a minute and of seconds a call; what it raises stays with its message. Answers are
+validated by ``validation.validated``, and only messages without a valid one take part in the next round, with what was wrong.
 """
 
 from __future__ import annotations
@@ -10,181 +10,21 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, TimeoutError
 from datetime import datetime, timezone
+from threading import Lock
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.names import partial_ratio_at_least
+from emberline.operators.validation import FIELDS, MIN_CONFIDENCE, validated
+from emberline.session import scratch, stored
 
-#: Kinds of entities and claims.
-ENTITY_TYPES = ("Person", "Organization", "Project", "Topic", "Document", "Meeting")
-CLAIM_TYPES = ("WORKS_AT", "REPORTS_TO", "PARTICIPATES_IN", "DISCUSSES", "DECIDED", "MENTIONS", "SENT_TO", "REFERENCES_DOC", "SCHEDULED")
-MIN_CONFIDENCE, CLOSE, LONGEST_NAME, RECIPIENTS, ATTEMPTS = 0.4, 0.9, 500, 10, 3
-
-ENTITY = pa.struct([("name", pa.string()), ("type", pa.string()), ("aliases", pa.list_(pa.string())), ("properties", pa.map_(pa.string(), pa.string()))])
-CLAIM = pa.struct([("type", pa.string()), ("subject", pa.string()), ("object", pa.string()), ("properties", pa.map_(pa.string(), pa.string())), ("excerpt", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
-EVENT = pa.struct([("action", pa.string()), ("target", pa.string()), ("reason", pa.string()), ("detail", pa.string())])
-RESULT = "is_valid boolean, entities array<struct<name:string,type:string,aliases:array<string>,properties:map<string,string>>>, claims array<struct<type:string,subject:string,object:string,properties:map<string,string>,excerpt:string,confidence:double,start:int,end:int>>, events array<struct<action:string,target:string,reason:string,detail:string>>"
-
-
-def json_text(raw: Column) -> Column:
-    """The JSON in an answer: a fenced block, else a text that begins with a brace, else the first to the last brace, else all."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    has = F.regexp_like(raw, F.lit(r"(?s)```(?:json)?\s*(.*?)```"))
-    bare = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    between = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    return F.when(has, F.regexp_replace(fenced, r"^\s+|\s+$", "")).when(bare.startswith("{"), bare).when(between != "", between).otherwise(raw)
-
-
-def iso_date(text: Column) -> Column:
-    """The instant of an ISO date text, Z meaning UTC; what cannot be read is null."""
-    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
-
-
-def person_name(name: str) -> str:
-    """"Last, First" turned round, in title case, white space collapsed."""
-    if "," in name:
-        last, first = name.split(",", 1)
-        name = f"{first.strip()} {last.strip()}"
-    return " ".join(name.title().split())
-
-
-def entity_name(name: str, kind: str) -> str:
-    return person_name(name) if kind == "Person" else " ".join(name.split())
-
-
-def find_excerpt(excerpt: str, body: str) -> tuple[bool, int | None, int | None]:
-    """Whether the body holds the excerpt, and where, if it does so exactly; white space may differ, or a tenth of the characters."""
-    at = body.find(excerpt)
-    if at >= 0:
-        return True, at, at + len(excerpt)
-    short, long = " ".join(excerpt.split()), " ".join(body.split())
-    return short in long or partial_ratio_at_least(short, long, CLOSE), None, None
-
-
-def _strings(value) -> dict[str, str]:
-    if not isinstance(value, dict):
-        raise ValueError("properties must be an object")
-    return {str(k): v if isinstance(v, str) else json.dumps(v) for k, v in value.items()}
-
-
-def _text(value, least: int = 1, most: int | None = None) -> str:
-    if not isinstance(value, str) or len(value) < least or most and len(value) > most:
-        raise ValueError("not a text of a fitting length")
-    return value
-
-
-def _entity(raw: dict) -> dict:
-    aliases, seen = [], set()
-    if raw.get("type") not in ENTITY_TYPES:
-        raise ValueError("unknown type of entity")
-    for alias in raw.get("aliases", []):
-        clean = _text(alias, 0).strip()
-        if clean and clean.lower() not in seen:
-            seen.add(clean.lower())
-            aliases.append(clean)
-    return {"name": " ".join(_text(raw.get("name"), 1, LONGEST_NAME).split()), "type": raw["type"], "aliases": aliases, "properties": _strings(raw.get("properties", {}))}
-
-
-def _claim(raw: dict) -> dict:
-    confidence = raw.get("confidence")
-    if raw.get("type") not in CLAIM_TYPES or isinstance(confidence, bool) or not 0 <= float(confidence) <= 1:
-        raise ValueError("unknown type of claim, or a confidence outside 0 to 1")
-    ends = {k: " ".join(_text(raw.get(k)).split()) for k in ("subject", "object")}
-    return {"type": raw["type"], **ends, "properties": _strings(raw.get("properties", {})), "excerpt": _text(raw.get("evidence_excerpt")), "confidence": float(confidence), "start": None, "end": None}
-
-
-def _items(parsed: dict, events: list[dict]) -> tuple[list[dict], list[dict]] | None:
-    """Entities and claims of the schema; if one does not fit, those that do; None where nothing does."""
-    kinds = (("entities", "entity", _entity), ("claims", "claim", _claim))
-    lists = [parsed.get(k, []) if isinstance(parsed, dict) else None for k, _, _ in kinds]
-    found, bad = [], []
-    for rows, (_, target, check) in zip(lists, kinds, strict=True):
-        kept = []
-        for raw in rows if isinstance(rows, list) else []:
-            try:
-                kept.append(check(raw))
-            except (ValueError, TypeError, AttributeError):
-                bad.append({"action": "dropped", "target": target, "reason": "partial_recovery_failed", "detail": str(raw)[:200]})
-        found.append(kept)
-    whole = not bad and all(isinstance(rows, list) for rows in lists)
-    if not whole:
-        events.append({"action": "dropped", "target": "extraction", "reason": "schema_validation_failure", "detail": ""})
-        events.extend(bad)
-        if not any(found):
-            return None
-    return found[0], found[1]
-
-
-def known_claims(entities: list[dict], claims: list[dict]) -> list[dict]:
-    """The claims whose subject and object are names or aliases of the entities, whatever their case."""
-    known = {x.lower() for e in entities for x in [e["name"], *e["aliases"]]}
-    return [c for c in claims if c["subject"].lower() in known and c["object"].lower() in known]
-
-
-def validate(text: str | None, body: str, min_confidence: float = MIN_CONFIDENCE) -> dict:
-    """One answer's JSON against its message: is_valid, entities, claims, events. Valid answers have an entity."""
-    events: list[dict] = []
-    empty = {"is_valid": False, "entities": [], "claims": [], "events": events}
-    try:
-        parsed = json.loads(text or "")
-    except ValueError:
-        events.append({"action": "dropped", "target": "extraction", "reason": "json_parse_failure", "detail": ""})
-        return empty
-    items = _items(parsed, events)
-    if items is None:
-        return empty
-    entities, claims = items
-    claims = known_claims(entities, claims)
-    renamed = {}
-    for e in entities:
-        name = entity_name(e["name"], e["type"])
-        if name != e["name"]:
-            events.append({"action": "repaired", "target": "entity", "reason": "name_normalized", "detail": e["name"]})
-            renamed[e["name"].lower()] = name
-        e["name"] = name
-    kept = []
-    for c in claims:
-        for k in ("subject", "object"):  # a claim names its ends as the entities are named now
-            c[k] = renamed.get(c[k].lower(), c[k])
-        if c["confidence"] < min_confidence:
-            events.append({"action": "dropped", "target": "claim", "reason": "below_confidence_threshold", "detail": c["type"]})
-            continue
-        found, c["start"], c["end"] = find_excerpt(c["excerpt"], body)
-        if not found:
-            events.append({"action": "dropped", "target": "claim", "reason": "evidence_not_found", "detail": c["excerpt"][:100]})
-            continue
-        kept.append(c)
-        events.append({"action": "passed", "target": "claim", "reason": "validated", "detail": c["type"]})
-    return {"is_valid": bool(entities), "entities": entities, "claims": kept, "events": events}
-
-
-def _batch(rows: list[dict]) -> list[pa.Array]:
-    maps = lambda x: {**x, "properties": list(x["properties"].items())}
-    return [
-        pa.array([r["is_valid"] for r in rows], pa.bool_()),
-        pa.array([[maps(e) for e in r["entities"]] for r in rows], pa.list_(ENTITY)),
-        pa.array([[maps(c) for c in r["claims"]] for r in rows], pa.list_(CLAIM)),
-        pa.array([r["events"] for r in rows], pa.list_(EVENT)),
-    ]
-
-
-FIELDS = ["is_valid", "entities", "claims", "events"]
-
-
-def validated(rows: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(message_id, is_valid, entities, claims, events) of rows (message_id, raw_response, body). Nulls count as empty texts."""
-    texts = rows.select("message_id", json_text(F.coalesce("raw_response", F.lit(""))).alias("text"), F.coalesce("body", F.lit("")).alias("body"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [validate(t, body, min_confidence) for t, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *_batch(found)], ["message_id", *FIELDS])
-
-    return texts.mapInArrow(run, f"message_id {rows.schema['message_id'].dataType.simpleString()}, {RESULT}")
+#: Recipients that a prompt lists, calls about a message, calls at once and a minute.
+RECIPIENTS, ATTEMPTS, CONCURRENCY, PER_MINUTE = 10, 3, 20, 80
 
 
 def user_prompt(rows: DataFrame) -> Column:
@@ -220,46 +60,93 @@ def by_rules(prompt: str) -> str:
     return json.dumps({"entities": entities, "claims": claims})
 
 
-def extract(emails: DataFrame, model: Callable[[str], str] = by_rules, fallback: Callable[[str], str] | None = None, attempts: int = ATTEMPTS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(message_id, attempts, error, is_valid, entities, claims, events) of every message.
+class Pace:
+    """At most ``per_minute`` starts in any minute, evenly spaced; of all threads of a task."""
 
-    A model that raises or gives an invalid answer is asked again, with what was wrong, up to ``attempts`` times, then the
-    fallback once. What fails for good has an ``error`` and is not valid; other messages are not touched by it.
-    """
-    rows = emails.select("message_id", user_prompt(emails).alias("prompt"), F.coalesce("body", F.lit("")).alias("body"))
-
-    def ask(prompt: str, body: str) -> dict:
-        error, found = None, None
-        for k, one in enumerate([model] * attempts + [fallback] * (fallback is not None), 1):
-            try:
-                raw = one(prompt if not error else f"{prompt}\n\nThe last answer was not valid: {error}")
-                found = validate(_json_of(raw), body, min_confidence)
-                if found["is_valid"]:
-                    return {**found, "attempts": k, "error": None}
-                error = "; ".join(e["reason"] for e in found["events"]) or "no entities"
-            except Exception as e:  # noqa: BLE001 - whatever a model raises belongs to its message
-                error = f"{type(e).__name__}: {e}"
-        found = found or {"entities": [], "claims": [], "events": []}
-        return {**found, "is_valid": False, "attempts": k, "error": error}
+    def __init__(self, per_minute: float | None):
+        self.gap, self.next, self.lock = 60 / per_minute if per_minute else 0.0, 0.0, Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        time.sleep(at - now)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [ask(p, body) for p, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            columns = [b.column(0), pa.array([r["attempts"] for r in found], pa.int32()), pa.array([r["error"] for r in found], pa.string()), *_batch(found)]
-            yield pa.RecordBatch.from_arrays(columns, ["message_id", "attempts", "error", *FIELDS])
 
-    return rows.mapInArrow(run, f"message_id {emails.schema['message_id'].dataType.simpleString()}, attempts int, error string, {RESULT}")
+def asked(prompts: DataFrame, model: Callable[[str], str], concurrency: int = CONCURRENCY, per_minute: float | None = PER_MINUTE, seconds: float | None = None) -> DataFrame:
+    """(message_id, raw_response, error) of (message_id, prompt), in the order of the rows of each partition.
 
+    ``concurrency`` calls run at once in a partition, ``per_minute`` start there in a minute (None: no limit). A call that takes over
+    ``seconds`` is given up (its thread ends by itself). Whatever a call raises is its row's error; other rows are not touched by it.
+    """
+    kind = prompts.schema["message_id"].dataType.simpleString()
 
-def _json_of(raw: str) -> str:
-    """``json_text`` of one answer."""
-    fenced = re.search(r"(?s)```(?:json)?\s*(.*?)```", raw)
-    if fenced:
-        return fenced[1].strip()
-    if raw.strip().startswith("{"):
-        return raw.strip()
-    between = re.search(r"(?s)\{.*\}", raw)
-    return between[0] if between else raw
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pace = Pace(per_minute)
+
+        def call(prompt: str) -> str:
+            pace.wait()
+            return model(prompt)
+
+        pool = ThreadPoolExecutor(concurrency)
+        try:
+            for b in batches:
+                texts = b["prompt"].to_pylist()
+                raw, errors = [], []
+                for at in range(0, len(texts), concurrency):
+                    calls = [pool.submit(call, x) for x in texts[at : at + concurrency]]
+                    end = time.monotonic() + seconds + pace.gap * len(calls) if seconds else None
+                    for one in calls:
+                        try:
+                            raw.append(str(one.result(None if end is None else max(0.0, end - time.monotonic()))))
+                            errors.append(None)
+                        except TimeoutError:
+                            one.cancel()
+                            raw.append(None)
+                            errors.append(f"TimeoutError: no answer in {seconds} s")
+                        except Exception as e:  # noqa: BLE001 - whatever a model raises belongs to its message
+                            raw.append(None)
+                            errors.append(f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([b["message_id"], pa.array(raw, pa.string()), pa.array(errors, pa.string())], ["message_id", "raw_response", "error"])
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return prompts.select("message_id", "prompt").mapInArrow(run, f"message_id {kind}, raw_response string, error string")
+
+
+def extract(emails: DataFrame, model: Callable[[str], str] = by_rules, fallback: Callable[[str], str] | None = None, attempts: int = ATTEMPTS, min_confidence: float = MIN_CONFIDENCE, **pool) -> DataFrame:
+    """(message_id, attempts, error, is_valid, entities, claims, events) of every message (unique message_id).
+
+    A model that raises or gives an invalid answer is asked again, with what was wrong, up to ``attempts`` times, then the
+    fallback once. What fails for good has an ``error`` and is not valid. ``pool``: concurrency, per_minute and seconds of ``asked``.
+    """
+    with scratch(emails.sparkSession) as own:
+        rows = stored(emails.select("message_id", user_prompt(emails).alias("prompt"), F.coalesce("body", F.lit("")).alias("body")), "prompts")
+        open_, done = rows.withColumn("wrong", F.lit(None).cast("string")), []
+        rounds = [model] * attempts + [fallback] * (fallback is not None)
+        for k, one in enumerate(rounds, 1):
+            again = F.when(F.col("wrong").isNull(), F.col("prompt")).otherwise(F.concat("prompt", F.lit("\n\nThe last answer was not valid: "), "wrong"))
+            answers = stored(asked(open_.select("message_id", again.alias("prompt")), one, **pool), "answers")
+            said = answers.join(rows.select("message_id", "body"), "message_id")
+            good = validated(said.filter("error IS NULL"), min_confidence)
+            judged = answers.select("message_id", "error").join(good, "message_id", "left")
+            reasons = F.array_join(F.transform("events", lambda e: e["reason"]), "; ")
+            wrong = F.coalesce("error", F.when(reasons != "", reasons), F.lit("no entities"))
+            valid = F.coalesce("is_valid", F.lit(False))
+            empty = [F.coalesce(c, F.array()).alias(c) for c in FIELDS[1:]]
+            judged = judged.select("message_id", F.lit(k).alias("attempts"), F.when(~valid, wrong).alias("error"), valid.alias("is_valid"), *empty)
+            judged = stored(judged, "judged")
+            done.append(judged if k == len(rounds) else judged.filter("is_valid"))
+            if k < len(rounds):
+                left = judged.filter("NOT is_valid").select("message_id", F.col("error").alias("wrong"))
+                open_ = rows.join(left, "message_id")
+                if left.isEmpty():
+                    break
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionByName(more)
+        return own.result(out, "extracted")
 
 
 def extraction_stats(results: DataFrame) -> DataFrame:
@@ -270,9 +157,3 @@ def extraction_stats(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_emails"), ok.alias("successful"), F.count_if(~F.col("is_valid")).alias("failed"), F.round(F.coalesce(ok / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)), 3).alias("success_rate"),
         F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("total_entities"), F.coalesce(F.sum(F.size("claims")), F.lit(0)).alias("total_claims"), F.coalesce(F.sum(dropped), F.lit(0)).alias("total_evidence_dropped"),
     )
-
-
-def validation_counts(results: DataFrame) -> DataFrame:
-    """(message_id, dropped, repaired, passed): events of each message by action."""
-    count = lambda what: F.size(F.filter("events", lambda e: e["action"] == what)).alias(what)
-    return results.select("message_id", count("dropped"), count("repaired"), count("passed"))

@@ -3,10 +3,11 @@
 import datetime as dt
 import itertools
 import json
+import time
 
 import pytest
 from emberline.functions import embed, names
-from emberline.operators import extraction, folding, graph, resolution, retrieval, sinks
+from emberline.operators import extraction, folding, graph, resolution, retrieval, sinks, validation
 from pyspark.sql import functions as F
 
 ENTITY = "id string, canonical_name string, entity_type string, aliases array<string>, properties map<string,string>"
@@ -79,7 +80,7 @@ def test_validation(spark):
         (1, f"```json\n{json.dumps(ANSWER)}\n```", BODY), (2, "not json at all", BODY), (3, f"Sure! {json.dumps(bad)} Bye", BODY), (4, None, None),
         (5, json.dumps(ANSWER | {"claims": ANSWER["claims"][:1]}), "Ken\n\tworks   at Acme"), (6, '{"entities": 3}', BODY), (7, json.dumps(ANSWER | {"claims": ANSWER["claims"][:1]}), "it is Ken work at Acme now"),
     ]
-    found = {r.message_id: r for r in extraction.validated(spark.createDataFrame(rows, "message_id int, raw_response string, body string")).collect()}
+    found = {r.message_id: r for r in validation.validated(spark.createDataFrame(rows, "message_id int, raw_response string, body string")).collect()}
     one = found[1]
     assert one.is_valid and [(e.name, e.aliases) for e in one.entities] == [("Kenneth Lay", ["Ken"]), ("Acme Corp", [])]
     assert [(c.type, c.subject, c.object, c.start, c.end) for c in one.claims] == [("WORKS_AT", "Kenneth Lay", "Acme Corp", 11, 28)]
@@ -87,12 +88,13 @@ def test_validation(spark):
     assert not found[2].is_valid and found[2].events[0].reason == "json_parse_failure" and not found[4].is_valid and not found[6].is_valid
     assert found[3].is_valid and not found[3].claims and found[3].events[0].reason == "schema_validation_failure"
     assert found[5].claims[0].start is None and len(found[7].claims) == 1
-    counts = {r.message_id: (r.dropped, r.repaired, r.passed) for r in extraction.validation_counts(extraction.validated(spark.createDataFrame(rows[:1], "message_id int, raw_response string, body string"))).collect()}
+    counts = {r.message_id: (r.dropped, r.repaired, r.passed) for r in validation.validation_counts(validation.validated(spark.createDataFrame(rows[:1], "message_id int, raw_response string, body string"))).collect()}
     assert counts == {1: (2, 1, 1)}
-    assert extraction.person_name("LAY, KENNETH") == "Kenneth Lay" and extraction.person_name("o'neil smith-jones") == "O'Neil Smith-Jones"
+    names = spark.createDataFrame([("LAY, KENNETH",), ("o'neil  smith-jones ",), ("",), ("a,b, c",), ("émile 2nd",)], "n string").select(validation.person_name(F.col("n"))).collect()
+    assert [r[0] for r in names] == ["Kenneth Lay", "O'Neil Smith-Jones", "", "B, C A", "Émile 2Nd"]
     tag = extraction.version_tag("m", "system", [{"b": 1, "a": 2}])
     assert tag == extraction.version_tag("m", "system", [{"a": 2, "b": 1}]) and len(tag) == len("v1.0_m_") + 12
-    dates = spark.createDataFrame([("2002-01-14T08:00:00Z",), ("never",)], "s string").select(extraction.iso_date(F.col("s"))).collect()
+    dates = spark.createDataFrame([("2002-01-14T08:00:00Z",), ("never",)], "s string").select(validation.iso_date(F.col("s"))).collect()
     assert dates[0][0] is not None and dates[1][0] is None
 
 
@@ -116,6 +118,47 @@ def test_extraction(spark):
     assert (stats.total_emails, stats.successful, stats.failed, stats.success_rate, stats.total_claims) == (3, 2, 1, 0.667, 2)
 
 
+def test_schema_item_by_item(spark):
+    good = {"name": "Ann Lee", "type": "Person"}
+    bad = [{"name": "", "type": "Person"}, {"name": "x" * 501, "type": "Topic"}, {"name": "A", "type": "Alien"}, {"name": 3, "type": "Topic"}, {"name": "A", "type": "Topic", "aliases": "no"}, {"name": "A", "type": "Topic", "aliases": [1]}, {"name": "A", "type": "Topic", "properties": []}, 7, None]
+    claim = {"type": "MENTIONS", "subject": "ann lee", "object": "ANN LEE", "evidence_excerpt": "lee", "confidence": "0.5", "properties": {"n": 1, "s": "x"}}
+    wrong = [claim | x for x in ({"confidence": True}, {"confidence": None}, {"confidence": -0.1}, {"confidence": "high"}, {"subject": ""}, {"evidence_excerpt": None}, {"type": "LIKES"}, {"properties": "no"})]
+    rows = [(1, {"entities": [good, *bad], "claims": [claim, *wrong]}), (2, {"entities": [good]}), (3, []), (4, {"entities": [good], "claims": {}}), (5, {"entities": bad}), (6, {})]
+    answers = spark.createDataFrame([(i, json.dumps(x), "ann lee") for i, x in rows], "message_id int, raw_response string, body string")
+    got = {r.message_id: r for r in validation.validated(answers).collect()}
+    one = got[1]
+    assert [e.name for e in one.entities] == ["Ann Lee"] and len(one.claims) == 1 and one.claims[0].confidence == 0.5 and one.claims[0].properties == {"n": "1", "s": "x"}
+    assert [e.reason for e in one.events] == ["schema_validation_failure"] + ["partial_recovery_failed"] * 17 + ["validated"]
+    assert [e.target for e in one.events][1:-1] == ["entity"] * 9 + ["claim"] * 8
+    assert got[2].is_valid and not got[2].events and got[4].is_valid and [e.reason for e in got[4].events] == ["schema_validation_failure"]
+    assert not got[3].is_valid and not got[5].is_valid and not got[6].is_valid and not got[6].events
+    assert validation.validated(answers.limit(0)).count() == 0
+
+
+def test_calls_run_at_once_and_fail_alone(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(60)], "message_id int, prompt string").coalesce(1)
+
+    def model(text):
+        if text == "p7":
+            raise ValueError("broken")
+        time.sleep(2.0 if text == "p9" else 0.05)
+        return text.upper()
+
+    def timed(**how):
+        start = time.perf_counter()
+        rows = extraction.asked(prompts, model, **how).collect()
+        return rows, time.perf_counter() - start
+
+    timed(concurrency=60, per_minute=None)
+    rows, fast = timed(concurrency=20, per_minute=None, seconds=0.5)
+    assert [r.message_id for r in rows] == list(range(60)) and [r.message_id for r in rows if r.error] == [7, 9]
+    assert rows[8].raw_response == "P8" and "broken" in rows[7].error and rows[9].error.startswith("TimeoutError")
+    _, slow = timed(concurrency=1, per_minute=None, seconds=0.5)
+    assert fast < slow - 1.5
+    _, paced = timed(concurrency=60, per_minute=1800)
+    assert paced >= 59 / 30
+
+
 def small_graph(spark):
     e = entities(spark, ("p1", "Jeff Skilling", "Person", ["jeff"]), ("p2", "Kenneth Lay", "Person"), ("o1", "Enron Corp", "Organization"), ("o2", "Acme Corp", "Organization"), ("z", "Far Away", "Topic"))
     rows = [("a", "p1", "o1", "WORKS_AT", 0.9, True, DAY, None), ("b", "p1", "o2", "WORKS_AT", 0.8, True, DAY, None), ("c", "p2", "o1", "WORKS_AT", 0.7, True, None, None), ("d", "o1", "z", "DISCUSSES", 0.6, True, DAY, DAY)]
