@@ -7,6 +7,7 @@ canonical entities and the merge events (merged_from, merged_into, reason, confi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +19,7 @@ from emberline.operators.components import connected_components
 from emberline.session import scratch, stored
 
 THRESHOLD, BY_ADDRESS = 0.82, 0.95
-EVENTS = "merged_from string, merged_into string, reason string, confidence double, reversed boolean"
+MOST = 1 << 18  # pairs of a group that one task decides
 
 
 def _plain(entities: DataFrame) -> DataFrame:
@@ -97,29 +98,65 @@ def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD) -> DataFram
         return own.result(pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")), "pairs")
 
 
+def _in_order(group: pd.DataFrame) -> pd.DataFrame:
+    """The merges of one group, one after the other."""
+    gone, out = set(), []
+    for r in group.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples():
+        if r.a in gone or r.b in gone:
+            continue
+        stays, goes = (r.a, r.b) if r.na >= r.nb else (r.b, r.a)
+        gone.add(goes)
+        out.append((goes, stays, r.sim))
+    return pd.DataFrame(out, columns=["goes", "stays", "sim"])
+
+
+def greedy_merges(pairs: DataFrame, most: int = MOST, rounds: int = 8) -> DataFrame:
+    """(goes, stays, sim): what merging ``pairs`` (a, b, sim, na, nb) in order of similarity, then a and b, gives.
+
+    A pair merges while both are there; the longer name stays (of equal ones a). A pair that is first among the open ones at both its
+    ends merges whatever happens elsewhere, so each round merges all such pairs at once and drops the pairs of what went. That
+    is exact, and breaks large groups up; a connected group of ``most`` pairs or fewer is decided in one task. Groups are looked for again
+    after every ``rounds`` rounds.
+    """
+    with scratch(pairs.sparkSession) as own:
+        open_, found = stored(pairs, "open"), []
+        while True:
+            tied = connected_components(open_.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            work = stored(open_.join(tied.select(F.col("node").alias("a"), "component"), "a"), "work")
+            size = work.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+            work = work.join(size, "component")
+            found.append(stored(work.filter(F.col("_n") <= most).select("component", "a", "b", "sim", "na", "nb").groupBy("component").applyInPandas(_in_order, "goes string, stays string, sim double"), "merged"))
+            open_ = stored(work.filter(F.col("_n") > most).select("a", "b", "sim", "na", "nb"), "open")
+            for _ in range(rounds):
+                if open_.isEmpty():
+                    break
+                key = F.struct((-F.col("sim")).alias("s"), "a", "b").alias("key")
+                keyed = open_.select("*", key)
+                first = keyed.select(F.explode(F.array("a", "b")).alias("node"), "key").groupBy("node").agg(F.min("key").alias("first"))
+                at = lambda end: first.select(F.col("node").alias(end), F.col("first").alias(f"_{end}"))
+                lead = keyed.join(at("a"), "a").join(at("b"), "b").filter((F.col("_a") == F.col("key")) & (F.col("_b") == F.col("key")))
+                a_stays = F.col("na") >= F.col("nb")
+                merged = stored(lead.select(F.when(a_stays, F.col("b")).otherwise(F.col("a")).alias("goes"), F.when(a_stays, F.col("a")).otherwise(F.col("b")).alias("stays"), "sim"), "merged")
+                found.append(merged)
+                gone = lambda end: merged.select(F.col("goes").alias(end))
+                open_ = stored(open_.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti"), "open")
+            if open_.isEmpty():
+                break
+        return own.result(reduce(DataFrame.unionByName, found), "merges")
+
+
 def merge_by_name(entities: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(canonical entities, events): the most similar pairs merge first while both are there, the longer name stays (of equal ones a).
 
-    Similarities are not recomputed. Pairs of one connected group are decided in one task, as each choice rests on those before it.
+    Similarities are not recomputed.
     """
     with scratch(entities.sparkSession) as own:
         rows = stored(_plain(entities), "entities")
         pairs = stored(similar_pairs(rows, threshold), "pairs")
-        tied = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
         size = rows.select("id", F.length("canonical_name").alias("n"))
-        work = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").join(tied.select(F.col("node").alias("a"), "component"), "a")
-
-        def decide(group: pd.DataFrame) -> pd.DataFrame:
-            gone, out = set(), []
-            for r in group.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples():
-                if r.a in gone or r.b in gone:
-                    continue
-                stays, goes = (r.a, r.b) if r.na >= r.nb else (r.b, r.a)
-                gone.add(goes)
-                out.append((goes, stays, f"fuzzy_name_{r.sim:.2f}", r.sim, False))
-            return pd.DataFrame(out, columns=["merged_from", "merged_into", "reason", "confidence", "reversed"])
-
-        events = stored(work.groupBy("component").applyInPandas(decide, EVENTS), "events")
+        merged = greedy_merges(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", "sim", "na", "nb"))
+        reason = F.format_string("fuzzy_name_%.2f", "sim")
+        events = stored(merged.select(F.col("goes").alias("merged_from"), F.col("stays").alias("merged_into"), reason.alias("reason"), F.col("sim").alias("confidence"), F.lit(False).alias("reversed")), "events")
         # who absorbed whom is a forest; a survivor may itself go later, so its members follow it to the root
         links = events.select(F.col("merged_from").alias("u"), F.col("merged_into").alias("v"))
         tree = connected_components(links)
