@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(counts, pa.int64())], ["doc_id", "fp", "n_words"]
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, n_words long")
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long, n_words long")
 
 
 class _Planes:
