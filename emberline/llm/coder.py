@@ -1,14 +1,14 @@
 """An adaptive context-mixing range coder for token ids.
 
-A block of ids is coded on its own: the model starts anew, and a CRC32 guards the ids. Three orders predict each id:
-order 2 the id last seen after the same two ids, order 1 the id last seen after the same one, order 0 every id, by
-adaptive counts of its digits, each digit under those before it. The three are mixed: the probability of an id is the
-weight of order 2 if it is that prediction, plus the weight of order 1 if it is that one, plus the weight of order 0 times
-the id's order-0 probability. The weights adapt, as the mean of two contexts: how often the predictions in place have
-been right, and which orders were right for the last two ids. An id is coded by the first order that predicts it.
+Ids are coded in blocks. Each starts anew from the same model, so any block can be decoded alone, and a CRC32 guards its ids. An
+id is four digits of four bits. Three orders predict each digit: under the digits of the id before it (order 0), under these and
+the last id (order 1), and under these and the last two ids (order 2). The probability of a digit is the sum of what the orders
+say, each with its weight. Weights adapt with every digit, within a context of the digit's place and of how often
+orders 1 and 2 have met their contexts.
 
-Probabilities are of 2 ** 15 and integers throughout, so encoder and decoder agree on every machine. The coder is a
-carry-less range coder of 64 bits that moves 32 at a time.
+What the orders say at the start of a block is learned from the ids of many blocks, those that are written together, and kept once for
+all of them (``Start``); contexts that are too rare to be worth their room there are left to the orders below. All is integers, so
+encoder and decoder agree on every machine. The coder is a carry-less range coder of 64 bits that moves 32 at a time.
 
 Many blocks are coded in lockstep: every variable is an array with one entry a block, and one pass over the longest
 block codes them all.
@@ -22,15 +22,16 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 1024, 4096
-MAGIC = b"EMC2"
-_SLOTS = 1024
-_BITS = 15
-_ONE = 1 << _BITS
+MAGIC, START = b"EMC3", b"EMS1"
+_DIGITS, _WEIGHT = 12, 8  # bits of an order's probabilities, and of its weight
+_BITS = _DIGITS + _WEIGHT
+_ONE = 1 << 15
 _RATE = 5
+_LEAST = (2, 256, 1024)  # how often a context of each order must be met to be kept
 _S32, _LOW, _WORD = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
-#: Cumulative targets of a digit: row d is what the counts move to when digit d is seen; every digit keeps some room.
-_TO = np.array([[i * 16 if i <= d else _ONE - (16 - i) * 16 for i in range(16)] for d in range(16)], np.int16)
-_START = (np.arange(16) * (_ONE // 16)).astype(np.int16)
+#: Counts that stand for the steps of a row: nothing, then by halves of a power of two.
+_SIZES = np.array([0, *(int(2 ** (k / 2) * 64) for k in range(1, 17))], np.int64)
+_MARKS = 1 << 13  # the digits so far, behind a one
 
 
 class _Coder:
@@ -65,8 +66,8 @@ class Encoder(_Coder):
         self.out[lanes, n] = words
         self.n[lanes] = n + 1
 
-    def value(self, at, extra):
-        return self.range[at] >> np.uint64(_BITS + extra), None
+    def value(self, at):
+        return self.range[at] >> np.uint64(_BITS), None
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
@@ -90,108 +91,139 @@ class Decoder(_Coder):
         self.code[lanes] = self.code[lanes] << _S32 | self.data[lanes, np.minimum(n, self.data.shape[1] - 1)]
         self.n[lanes] = n + 1
 
-    def value(self, at, extra):
-        step = self.range[at] >> np.uint64(_BITS + extra)
+    def value(self, at):
+        step = self.range[at] >> np.uint64(_BITS)
         return step, ((self.code[at] - self.low[at]) // step).astype(np.int64)
 
 
-class _Weights:
-    """Where the weights of order 2, order 1 and order 0 end, under some contexts a lane."""
-
-    def __init__(self, lanes: int, contexts: int):
-        self.ends = np.tile(np.array([_ONE // 8, _ONE // 4], np.int32), lanes * contexts).view(np.int64)
-        self.first = np.arange(lanes) * contexts
-
-    def at(self, m: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = self.first[:m] + context
-        return place, self.ends.take(place).view(np.int32).reshape(-1, 2)
-
-    def learn(self, place, ends, to) -> None:
-        self.ends[place] = (ends + (to - ends >> _RATE)).view(np.int64).ravel()
-
-
-#: What the ends move to when order 2, order 1 or order 0 was right; each keeps some room.
-_RIGHT = np.array([[_ONE - 128, _ONE - 64], [64, _ONE - 64], [64, 128]], np.int32)
-
-
-def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+def _slot(order: int, bits: int, mark: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The row of a context in the table of its order; different contexts may share one."""
+    if order == 0:
+        return mark
+    x = (last * 0x9E3779B1 + mark * 0x85EBCA6B) & 0xFFFFFFFF
+    if order == 2:
+        x = (x ^ before * 0xC2B2AE35) & 0xFFFFFFFF
+    x = ((x ^ x >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+    return (x ^ x >> 13) & (1 << bits) - 1
+
+
+class Start:
+    """What the three orders say before a block is read: rows of sixteen counts, and a class of how often each was met."""
+
+    def __init__(self, bits: int, counts: list[np.ndarray], met: list[np.ndarray]):
+        self.bits, self.counts, self.met = bits, counts, met
+        self.ends = []
+        for rows in counts:
+            n = np.where(rows.sum(1, keepdims=True) > 0, _SIZES[rows], 1)
+            share = n * ((1 << _DIGITS) - 16) // n.sum(1, keepdims=True) + 1  # every digit keeps some room
+            ends = np.zeros((len(rows), 17), np.int32)
+            ends[:, 1:] = np.cumsum(share, axis=1)
+            ends[:, 16] = 1 << _DIGITS
+            self.ends.append(ends)
+
+    @classmethod
+    def of(cls, blocks: list[np.ndarray]) -> Start:
+        """Learned from ``blocks``."""
+        ids = np.concatenate([np.empty(0, np.int64), *blocks]).astype(np.int64)
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 65536:
+            raise ValueError("ids must lie in 0 to 65535")
+        first = np.zeros(len(ids), bool)
+        starts = np.cumsum([0, *map(len, blocks)])[:-1]
+        first[starts[starts < len(ids)]] = True
+        last = np.where(first, 0, np.append(0, ids[:-1]))[: len(ids)]
+        before = np.where(first, 0, np.append(0, last[:-1]))[: len(ids)]
+        bits = min(max(len(ids).bit_length() - 5, 8), 17)
+        sizes = [_MARKS, 1 << bits, 1 << bits]
+        counts = [np.zeros(n * 16, np.int64) for n in sizes]
+        for k in range(4):
+            mark, digit = 1 << 4 * k | ids >> 16 - 4 * k, ids >> 12 - 4 * k & 15
+            for order, table in enumerate(counts):
+                table += np.bincount(_slot(order, bits, mark, last, before) * 16 + digit, minlength=len(table))
+        kept, met = [], []
+        for table, least in zip(counts, _LEAST, strict=True):
+            rows = table.reshape(-1, 16)
+            total = rows.sum(1)
+            rows = np.where((total >= least)[:, None], rows, 0)
+            # halves of a power of two, down from a row's largest count: few values, which pack well
+            most = np.maximum(rows.max(1, keepdims=True), 1)
+            step = np.floor(2 * np.log2(np.maximum(rows, 1) / most) + 0.5).astype(np.int64) + 16
+            kept.append(np.where((rows > 0) & (rows * 256 > most), np.clip(step, 1, 16), 0).astype(np.uint8))
+            met.append(np.where(total < least, 0, np.where(total < 16 * least, 1, np.where(total < 256 * least, 2, 3))).astype(np.uint8))
+        return cls(bits, kept, met)
+
+    def pack(self) -> bytes:
+        body = zlib.compress(b"".join(x.tobytes() for x in (*self.counts, *self.met[1:])), 4)
+        return START + struct.pack("<BI", self.bits, zlib.crc32(body)) + body
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Start:
+        if data[:4] != START or len(data) < 9:
+            raise ValueError("not the start of coded blocks")
+        bits, crc = struct.unpack("<BI", data[4:9])
+        if zlib.crc32(data[9:]) != crc:
+            raise ValueError("the start of coded blocks fails its checksum")
+        flat = np.frombuffer(zlib.decompress(data[9:]), np.uint8)
+        sizes = [_MARKS * 16, 16 << bits, 16 << bits, 1 << bits, 1 << bits]
+        a, b, c, d, e = np.split(flat, np.cumsum(sizes)[:-1])
+        return cls(bits, [x.reshape(-1, 16) for x in (a, b, c)], [np.zeros(_MARKS, np.uint8), d, e])
+
+
+#: What the ends of the weights move to when order 2, order 1 or order 0 said most; each keeps some room.
+_RIGHT = np.array([[_ONE - 256, _ONE - 128], [128, _ONE - 128], [128, 256]], np.int32)
+
+
+def _first_weights() -> np.ndarray:
+    """Where the weights of order 2 and order 1 end, by classes of order 2 and order 1."""
+    out = np.zeros((4, 4, 2), np.int32)
+    for two in range(4):
+        for one in range(4):
+            out[two, one] = (_ONE // 2 if two else 128), (_ONE * 7 // 8 if one or two else 256)
+    return out.reshape(16, 2)
+
+
+def _run(coder, start: Start, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     """Code the lanes in lockstep. ``lengths`` descends; ``ids`` (longest, lanes) is None to decode."""
     n, most = len(lengths), int(lengths[0]) if len(lengths) else 0
     out = np.zeros((most, n), np.int64) if ids is None else ids
-    # a prediction and how often it was right, in one number
-    guess = [np.full(n * _SLOTS, -1 << 3, np.int32) for _ in range(2)]
-    slot0, first_cell = np.arange(n) * _SLOTS, np.arange(n) * 16
-    trust, recent = _Weights(n, 128), _Weights(n, 16)
-    last_right = np.full(n, 10, np.int64)
-    # a context's sixteen digits are one item, so they are moved at once
-    digits = [np.tile(_START, n * contexts).view("V32") for contexts in (1, 16, 256)]
-    row0 = [np.arange(n) * contexts for contexts in (1, 16, 256)]
+    weights = np.tile(_first_weights(), (n * 4, 1)).view(np.int64).ravel()  # lane, place of the digit, classes
+    lane = np.arange(n) * 64
+    flat = [e.ravel() for e in start.ends]
     before, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    encoding, m, every = ids is not None, n, slice(0, n)
+    encoding, m = ids is not None, n
     for t in range(most):
         if lengths[m - 1] <= t:
             m = int(np.searchsorted(-lengths, -t, side="left"))
         every = slice(0, m)
-        two = slot0[:m] + ((before[:m] * 40503 + last[:m] * 30011 >> 3) & _SLOTS - 1)
-        one = slot0[:m] + (last[:m] & _SLOTS - 1)
-        h2, h1 = guess[0].take(two), guess[1].take(one)
-        g2, g1, c2, c1 = h2 >> 3, h1 >> 3, h2 & 7, h1 & 7
-        place, ends = trust.at(m, c2 * 16 + c1 * 2 + (g2 == g1))
-        place2, ends2 = recent.at(m, last_right[:m])
-        mixed = ends + ends2 >> 1
-        step, value = coder.value(every, 0)
-        if encoding:
-            actual = ids[t, :m]
-            right = np.where(actual == g2, 0, np.where(actual == g1, 1, 2))
-        else:
-            right = (value >= mixed[:, 0]).astype(np.int64) + (value >= mixed[:, 1])
-        start = np.where(right == 0, 0, np.where(right == 1, mixed[:, 0], mixed[:, 1]))
-        end = np.where(right == 0, mixed[:, 0], np.where(right == 1, mixed[:, 1], _ONE))
-        coder.narrow(every, start, end - start, step)
-        to = _RIGHT[right]
-        trust.learn(place, ends, to)
-        recent.learn(place2, ends2, to)
-        last_right[:m] = (last_right[:m] & 3) << 2 | right
-        rest = np.flatnonzero(right == 2)
-        seen = np.where(right == 0, g2, g1).astype(np.int64) if not encoding else actual
-        if len(rest):
-            lanes = every if len(rest) == m else rest
-            exact = actual[rest] if encoding else None
-            prefix = np.zeros(len(rest), np.int64)
-            for k in range(3):
-                row = row0[k][rest] + prefix
-                ends = digits[k].take(row).view(np.int16).reshape(-1, 16)
-                extra = 4 if k == 2 else 0  # the last digit comes along with equal chances
-                step, value = coder.value(lanes, extra)
-                if encoding:
-                    d = exact >> 12 - 4 * k & 15
-                    low = exact & 15
-                else:
-                    d = np.bitwise_count((ends <= np.minimum(value >> extra, _ONE - 1).astype(np.int16)[:, None]).view(np.uint64)).sum(1).astype(np.int64) - 1
-                cells = first_cell[: len(rest)] + d
-                flat = ends.ravel()
-                start = flat.take(cells).astype(np.int64)
-                size = np.where(d == 15, np.int64(_ONE), flat.take(cells + 1, mode="clip")) - start
-                if k == 2:
-                    start = start << 4
-                    if not encoding:
-                        low = np.minimum((value - start) // size, 15)
-                    start = start + low * size
-                coder.narrow(lanes, start, size, step)
-                digits[k][row] = (ends + (_TO[d] - ends >> _RATE)).view("V32").ravel()
-                prefix = prefix << 4 | d
-            if not encoding:
-                seen[rest] = prefix << 4 | low
-        for table, place, g, c in ((guess[0], two, g2, c2), (guess[1], one, g1, c1)):
-            hit = seen == g
-            table[place] = np.where(hit, g << 3 | np.minimum(c + 1, 7), np.where(c > 1, g << 3 | c >> 1, seen << 3 | 1))
+        mark = np.ones(m, np.int64)
+        for k in range(4):
+            rows = [_slot(order, start.bits, mark, last[:m], before[:m]) for order in range(3)]
+            place = lane[:m] + (start.met[2].take(rows[2]).astype(np.int64) * 4 + start.met[1].take(rows[1]) + 16 * k)
+            ends = weights.take(place).view(np.int32).reshape(-1, 2)
+            two, one = ends[:, 0] >> 15 - _WEIGHT, ends[:, 1] >> 15 - _WEIGHT
+            share = [(1 << _WEIGHT) - one, one - two, two]
+            step, value = coder.value(every)
+            if encoding:
+                digit = ids[t, :m] >> 12 - 4 * k & 15
+            else:
+                mixed = sum(e.take(r, axis=0) * w[:, None] for e, r, w in zip(start.ends, rows, share, strict=True))
+                digit = (mixed[:, 1:16] <= value[:, None]).sum(1)
+            at = [r * 17 + digit for r in rows]
+            low = [f.take(x) for f, x in zip(flat, at, strict=True)]
+            said = [f.take(x + 1) - a for f, x, a in zip(flat, at, low, strict=True)]
+            begin = low[0] * share[0] + low[1] * share[1] + low[2] * share[2]
+            size = said[0] * share[0] + said[1] * share[1] + said[2] * share[2]
+            coder.narrow(every, begin, size, step)
+            right = np.where((said[2] >= said[1]) & (said[2] >= said[0]), 0, np.where(said[1] >= said[0], 1, 2))
+            weights[place] = (ends + (_RIGHT.take(right, axis=0) - ends >> _RATE)).view(np.int64).ravel()
+            mark = mark << 4 | digit
+        seen = mark & 65535
         if not encoding:
             out[t, :m] = seen
         before[:m], last[:m] = last[:m], seen
     return out
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
+def encode(blocks: list[np.ndarray], start: Start) -> list[bytes]:
     """Each block of ids (0 to 65535) as bytes: magic, number of ids, CRC32 of the ids as uint32, coded words."""
     out: list[bytes] = [b""] * len(blocks)
     for at in range(0, len(blocks), LANES):
@@ -203,13 +235,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
                 raise ValueError("ids must lie in 0 to 65535")
             ids[: len(blocks[i]), lane] = blocks[i]
         coder = Encoder(len(order), int(lengths[0]) // 2 + 16)
-        _run(coder, lengths, ids)
+        _run(coder, start, lengths, ids)
         for i, words in zip(order, coder.finish(), strict=True):
             out[i] = MAGIC + struct.pack("<II", len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes())) + words
     return out
 
 
-def decode(coded: list[bytes]) -> list[np.ndarray]:
+def decode(coded: list[bytes], start: Start) -> list[np.ndarray]:
     """The ids of blocks; ValueError on a block that is not one or fails its checksum."""
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(coded)
     heads = []
@@ -220,7 +252,7 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     for at in range(0, len(coded), LANES):
         order = sorted(range(at, min(at + LANES, len(coded))), key=lambda i: -heads[i][0])
         lengths = np.array([heads[i][0] for i in order], np.int64)
-        ids = _run(Decoder([coded[i][12:] for i in order]), lengths, None)
+        ids = _run(Decoder([coded[i][12:] for i in order]), start, lengths, None)
         for lane, i in enumerate(order):
             out[i] = ids[: lengths[lane], lane].astype("<u4")
             if zlib.crc32(out[i].tobytes()) != heads[i][1]:

@@ -2,12 +2,14 @@
 
 The file format is a Parquet container, so that Spark's committer makes writes whole under lost executors. A
 row is one block: ``shard`` and ``seq`` place it, ``docs`` lists the pieces of documents in it (doc_id, number
-of ids, whether the document ends here), ``coded`` holds the coded ids (see ``coder``). Shards are ranges of
+of ids, whether the document ends here), ``coded`` holds the coded ids (see ``coder``), ``start`` the model that this
+block and those behind it begin with, up to the next one that has its own. Shards are ranges of
 doc_id, so shard, seq and piece order give ascending doc_id order. A long document spans blocks of its shard.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -27,7 +29,8 @@ from emberline.llm import coder
 from emberline.session import remove, scratch, shared_dir, stored
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
-FILE = "shard int, seq int, docs array<struct<doc_id:bigint,n:int,ends:boolean>>, coded binary"
+FILE = "shard int, seq int, docs array<struct<doc_id:bigint,n:int,ends:boolean>>, coded binary, start binary"
+FIELDS = ["shard", "seq", "docs", "coded", "start"]
 _PIECES = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("ends", pa.bool_())]))
 
 
@@ -156,10 +159,11 @@ def write_ids(docs: DataFrame, path: str, shards: int, tokenizer: str | None = N
 
         def flush() -> pa.RecordBatch:
             nonlocal seq
-            coded = coder.encode(blocks)
+            start = coder.Start.of(blocks)
+            coded = coder.encode(blocks, start)
             seq += len(coded)
             numbers = pa.array(range(seq - len(coded), seq), pa.int32())
-            batch = pa.RecordBatch.from_arrays([pa.array([shard] * len(coded), pa.int32()), numbers, pa.array(lists, _PIECES), pa.array(coded, pa.binary())], ["shard", "seq", "docs", "coded"])
+            batch = pa.RecordBatch.from_arrays([pa.array([shard] * len(coded), pa.int32()), numbers, pa.array(lists, _PIECES), pa.array(coded, pa.binary()), pa.array([start.pack()] + [None] * (len(coded) - 1), pa.binary())], FIELDS)
             blocks.clear()
             lists.clear()
             return batch
@@ -194,12 +198,15 @@ def read_ids(spark: SparkSession, path: str, shards: int) -> DataFrame:
     rows = spark.read.schema(FILE).parquet(path).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, crc, n, shard = 0, 0, 0, None
+        at, crc, n, shard, start = 0, 0, 0, None, None
         for batch in batches:
-            for k in range(0, batch.num_rows, coder.LANES):
-                part = batch.slice(k, coder.LANES)
+            own = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for k, end in itertools.pairwise(sorted({0, *own, batch.num_rows})):
+                part = batch.slice(k, end - k)
+                if part.column(4)[0].is_valid:
+                    start = coder.Start.unpack(part.column(4)[0].as_py())
                 found = []
-                decoded = coder.decode(part.column(3).to_pylist())
+                decoded = coder.decode(part.column(3).to_pylist(), start)
                 for s, listed, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), decoded, strict=True):
                     if s != shard:
                         at, shard = 0, s

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -27,13 +28,35 @@ def prose(seed, n):
 def test_coder_round_trip():
     r = np.random.default_rng(1)
     blocks = [np.array([], np.int64), np.array([65535]), np.full(3000, 7), r.integers(0, 65536, 2048), r.zipf(1.3, 2048) % 50000]
-    coded = coder.encode(blocks)
-    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode(coded), strict=True))
+    start = coder.Start.of(blocks)
+    coded = coder.encode(blocks, start)
+    packed = start.pack()
+    again = coder.Start.unpack(packed)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode(coded, again), strict=True))
+    assert np.array_equal(coder.decode(coded[3:4], again)[0], blocks[3])
     assert len(coded[2]) < 200
     with pytest.raises(ValueError):
-        coder.decode([coded[3][:40] + bytes([coded[3][40] ^ 1]) + coded[3][41:]])
+        coder.decode([coded[3][:40] + bytes([coded[3][40] ^ 1]) + coded[3][41:]], again)
     with pytest.raises(ValueError):
-        coder.encode([np.array([65536])])
+        coder.encode([np.array([65536])], start)
+    with pytest.raises(ValueError):
+        coder.Start.unpack(packed[:30] + bytes([packed[30] ^ 1]) + packed[31:])
+    # a model that never met the blocks still codes them
+    other = coder.Start.of([np.arange(300)])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode(coder.encode(blocks, other), other), strict=True))
+    none = coder.Start.of([])
+    assert np.array_equal(coder.decode(coder.encode(blocks[1:2], none), none)[0], blocks[1])
+
+
+def test_coder_beats_a_table_of_frequencies():
+    """All that is stored, the start included, is below the entropy of single ids and below eight bits an id."""
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY doc_id LIMIT 2500").fetchall()]
+    ids = np.concatenate([np.append(x, 2) for x in tokens.ids_of(None).of([t or "" for t in texts])])
+    blocks = [ids[k : k + coder.BLOCK] for k in range(0, len(ids), coder.BLOCK)]
+    start = coder.Start.of(blocks)
+    bits = 8 * (len(start.pack()) + sum(map(len, coder.encode(blocks, start)))) / len(ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert bits < 8.0 and bits < -(share * np.log2(share)).sum()
 
 
 def test_tokens_edges(spark):
