@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +82,14 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> Passed:
 
 
 def _blob(a: np.ndarray) -> pa.Array:
-    return pa.array([a.tobytes()], pa.binary())
+    """One array as compressed differences, which are small where it ascends; they wrap, so any array comes back."""
+    with np.errstate(over="ignore"):
+        steps = np.diff(a, prepend=a.dtype.type(0))
+    return pa.array([zstandard.compress(steps.tobytes(), 1)], pa.binary())
 
 
 def _read(value: pa.Scalar, kind) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
+    return np.cumsum(np.frombuffer(zstandard.decompress(value.as_buffer()), kind), dtype=kind)
 
 
 def postings(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -149,7 +153,7 @@ def _merged(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*(c[starts] for c in identity), np.add.reduceat(n[order], starts))
 
 
-def _counted(rows: DataFrame, found, fields: str, least: int, words: int, held: int = 1 << 22) -> DataFrame:
+def _counted(rows: DataFrame, found, fields: str, least: int, words: int, held: int = 1 << 21) -> DataFrame:
     """(``fields``, n) of what ``found`` gives for each row of a batch, summed over all rows, where n is ``least`` or more.
 
     ``found(batch, i)`` gives equally long arrays: an unsigned key, whose high bits are spread evenly, further parts of the identity, and
@@ -170,7 +174,6 @@ def _counted(rows: DataFrame, found, fields: str, least: int, words: int, held:
             starts = np.append(0, ends[:-1])
             for part in np.flatnonzero(ends > starts).tolist():
                 data = [_blob(c[starts[part] : ends[part]]) for c in columns[:-1]]
-                # a count within a block mostly fits one byte; the shuffle's compression leaves little of the others
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *data, _blob(columns[-1][starts[part] : ends[part]].astype(np.int32))], ["part", *names])
 
         for batch in batches:
@@ -184,7 +187,7 @@ def _counted(rows: DataFrame, found, fields: str, least: int, words: int, held:
             yield from blocks()
 
     def add(table: pa.Table) -> pa.Table:
-        columns = [np.concatenate([np.frombuffer(x.as_buffer(), np.int32 if c == "n" else np.uint64) for x in table[c]]) for c in names]
+        columns = [np.concatenate([_read(x, np.int32 if c == "n" else np.uint64) for x in table[c]]) for c in names]
         *identity, n = _merged(*columns[:-1], columns[-1].astype(np.int64))
         kept = n >= least
         return pa.Table.from_arrays([*(pa.array(c[kept].view(np.int64)) for c in identity), pa.array(n[kept])], names)
