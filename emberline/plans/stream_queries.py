@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import ann, lsh, neardup
+from emberline.operators import ann, conflicts, lsh, neardup
 from emberline.operators.store import Store
 from emberline.plans import graph_queries
 from emberline.session import remove, scratch, shared_dir, stored, table
@@ -87,7 +87,13 @@ def ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
         return own.result(found.select("query_id", F.col("id").alias("vec_id"), "similarity"), "nearest")
 
 
+def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G9 as counts: claim_id, conflicts of every claim that conflicts with others."""
+    return conflicts.conflict_counts(graph_queries.role(spark, sf_dir, "claims")).select("claim_id", "conflicts")
+
+
 QUERIES = {
+    "g9_conflict_counts": conflict_counts,
     "st3_stream_windows": stream_windows,
     "st5_stream_threads": stream_threads,
     "t3_minhash_signatures": minhash_signatures,
@@ -95,6 +101,11 @@ QUERIES = {
     "v2_ivf": ivf,
 }
 SQL = {
+    "g9_conflict_counts": graph_queries.with_roles(
+        "claims",
+        """SELECT a.claim_id, count(*) AS conflicts FROM claims a JOIN claims b ON a.subject_id = b.subject_id AND a.claim_type = b.claim_type AND a.object_id <> b.object_id
+AND coalesce(a.valid_from, DATE '0001-01-01') <= coalesce(b.valid_to, DATE '9999-12-31') AND coalesce(b.valid_from, DATE '0001-01-01') <= coalesce(a.valid_to, DATE '9999-12-31') GROUP BY a.claim_id""",
+    ),
     "st3_stream_windows": graph_queries.with_roles(
         "claims",
         """SELECT claim_id, subject_id, claim_type, valid_from, lead(valid_from) OVER w AS valid_to, lead(claim_id) OVER w IS NULL AS is_current
