@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import ann, conflicts, lsh, neardup
+from emberline.operators import ann, conflicts, constraints, lsh, neardup
 from emberline.operators.store import Store
 from emberline.plans import graph_queries
 from emberline.session import remove, scratch, shared_dir, stored, table
@@ -92,7 +92,20 @@ def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.conflict_counts(graph_queries.role(spark, sf_dir, "claims")).select("claim_id", "conflicts")
 
 
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, claim_id, source_id, rules of evidence and log rows in quarantine: sources that do not exist, keys that repeat."""
+    evidence = graph_queries.role(spark, sf_dir, "evidence").select("claim_id", "source_id")
+    known = {"claim_id": (graph_queries.role(spark, sf_dir, "claims"), "claim_id"), "source_id": (table(spark, sf_dir, "orders"), "o_orderkey")}
+    _, bad = constraints.split(constraints.broken(evidence, constraints.checks("evidence"), ["claim_id"], known))
+    log = graph_queries.role(spark, sf_dir, "log").select("email_id", "extraction_version", "status")
+    _, worse = constraints.split(constraints.broken(log, constraints.checks("processing_log"), ["email_id", "extraction_version"]))
+    joined = F.array_join("broken", ",").alias("rules")
+    first = bad.select(F.lit("evidence").alias("kind"), "claim_id", "source_id", joined)
+    return first.unionByName(worse.select(F.lit("log").alias("kind"), F.col("extraction_version").alias("claim_id"), F.col("email_id").alias("source_id"), joined))
+
+
 QUERIES = {
+    "f18_broken_rules": broken_rules,
     "g9_conflict_counts": conflict_counts,
     "st3_stream_windows": stream_windows,
     "st5_stream_threads": stream_threads,
@@ -101,6 +114,13 @@ QUERIES = {
     "v2_ivf": ivf,
 }
 SQL = {
+    "f18_broken_rules": graph_queries.with_roles(
+        "claims evidence log",
+        """SELECT 'evidence' AS kind, claim_id, source_id,
+  CASE WHEN again AND lost THEN 'key_repeated,source_id_unknown' WHEN again THEN 'key_repeated' ELSE 'source_id_unknown' END AS rules
+FROM (SELECT claim_id, source_id, count(*) OVER (PARTITION BY claim_id) > 1 AS again, source_id NOT IN (SELECT o_orderkey FROM orders) AS lost FROM evidence) e WHERE again OR lost
+UNION ALL SELECT 'log', extraction_version, email_id, 'key_repeated' FROM (SELECT *, count(*) OVER (PARTITION BY email_id, extraction_version) AS n FROM log) l WHERE n > 1""",
+    ),
     "g9_conflict_counts": graph_queries.with_roles(
         "claims",
         """SELECT a.claim_id, count(*) AS conflicts FROM claims a JOIN claims b ON a.subject_id = b.subject_id AND a.claim_type = b.claim_type AND a.object_id <> b.object_id
