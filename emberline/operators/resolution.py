@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.names import email_addresses, name_parts, similarity
+from emberline.functions.names import WEIGHTS, email_addresses, name_parts, similarity
+from emberline.operators import nameparts
 from emberline.operators.components import connected_components
 from emberline.session import scratch, stored
 
@@ -69,21 +70,36 @@ def merge_by_address(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_pairs(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, sim): entities of one type, a < b, with a name alike: name to name, or a name to an alias of the other.
 
-    Names of a single part never reach the threshold of 0.7 or more, so both have a first and a last one. Names are compared
-    where they share the last name, the first name, or both initials; each different pair of names is compared once.
+    Names of a single part never reach the threshold of 0.7 or more, so both have a first and a last one. No pair is lost: with d =
+    1 - threshold, the last or the first names of a pair have a ratio of 1 - d / 0.6 or more (or one first name begins the
+    other), since these two weigh 0.6; and where the last names have less, the whole names have more than 1 - 1.25 * d. Each
+    different pair of names that meets so is compared once.
     """
     if threshold < 0.7:
         raise ValueError("names of one part are not paired: the threshold must be 0.7 or more")
+    d = 1 - threshold
+    least, whole = 1 - d / (WEIGHTS[1] + WEIGHTS[2]), 1 - d / 2 / WEIGHTS[0]
     with scratch(entities.sparkSession) as own:
         main = entities.select("id", "entity_type", F.col("canonical_name").alias("name"), F.lit(True).alias("main"))
         also = entities.select("id", "entity_type", F.explode("aliases").alias("name"), F.lit(False).alias("main"))
         rows = main.unionByName(also).filter("name IS NOT NULL").withColumn("p", name_parts(F.col("name"))).filter("p.last != '' AND p.first != ''")
         rows = stored(rows, "names")
-        one = lambda c: F.substring(c, 1, 1)
-        keys = F.array(F.concat(F.lit("l:"), "p.last"), F.concat(F.lit("f:"), "p.first"), F.concat(F.lit("i:"), one("p.first"), one("p.last")))
-        names = rows.select("entity_type", "name", F.explode(keys).alias("key")).distinct()
-        left, right = names.select("entity_type", "key", F.col("name").alias("x")), names.select("entity_type", "key", F.col("name").alias("y"))
-        met = left.join(right, ["entity_type", "key"]).filter("x <= y").select("entity_type", "x", "y").distinct()
+        names = stored(rows.select("entity_type", "name", F.length("name").alias("n"), "p.first", "p.last").distinct(), "parts")
+        parts = lambda c: names.select(F.col(c).alias("part"))
+        same = lambda c: parts(c).distinct().select(F.col("part").alias("x"), F.col("part").alias("y"))
+
+        def met_by(part: str, alike: DataFrame) -> DataFrame:
+            """Pairs of names whose parts are a pair of ``alike``."""
+            x = names.select("entity_type", F.col("name").alias("a"), F.col("n").alias("m"), F.col(part).alias("x"))
+            y = names.select("entity_type", F.col("name").alias("b"), "n", F.col(part).alias("y"))
+            found = alike.join(x, "x").join(y, ["entity_type", "y"]).filter("x != y OR a <= b")
+            return found.select("entity_type", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "m", "n")
+
+        lasts = nameparts.similar_parts(parts("last"), least).unionByName(same("last"))
+        firsts = nameparts.similar_parts(parts("first"), least).unionByName(nameparts.begun(parts("first"))).unionByName(same("first")).distinct()
+        # the shorter name bounds what whole names share
+        by_first = met_by("first", firsts).filter(2 * F.least("m", "n") >= (F.col("m") + F.col("n")) * whole - 1e-9)
+        met = met_by("last", lasts).unionByName(by_first).select("entity_type", "x", "y").distinct()
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from emberline.operators import resolution
+from emberline.functions.names import ratio, similarity
+from emberline.operators import nameparts, resolution
 
 PAIRS = "a string, b string, sim double, na int, nb int"
 
@@ -41,3 +42,45 @@ def test_a_long_chain(spark):
 
 def test_no_pairs(spark):
     assert resolution.greedy_merges(spark.createDataFrame([], PAIRS)).count() == 0
+
+
+def typed(r, word):
+    """The word with up to two letters exchanged, dropped or added anywhere, its first one included."""
+    w = list(word)
+    for _ in range(r.randrange(3)):
+        at = r.randrange(len(w) + 1)
+        w[at : at + r.randrange(2)] = [r.choice("abcdeorstl ")] if r.random() < 0.6 else []
+    return "".join(w).strip() or "x"
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.85])
+def test_parts_equal_all_pairs(spark, least):
+    r = random.Random(3)
+    stems = ["li", "smith", "oneill", "johnson", "aaaaabbbb", "abababababab", "schwarzenegger", "wolfeschlegelstein", "münchhausen", "j"]
+    parts = sorted({typed(r, r.choice(stems)) for _ in range(250)})
+    got = {tuple(x) for x in nameparts.similar_parts(spark.createDataFrame([(p,) for p in [*parts, parts[0], "", None]], "part string"), least).collect()}
+    assert got == {(a, b) for a in parts for b in parts if a < b and ratio(a, b) >= least - 1e-9}
+
+
+def test_names_equal_all_pairs(spark):
+    """Two thousand names with typing errors, in their first letters too, middle names, commas and initials."""
+    r = random.Random(4)
+    first = ["John", "Jon", "Katherine", "Bob", "Maximilian", "J", "Al", "Wu", "Élodie"]
+    last = ["Smith", "Lay", "Fernandez", "Oh", "Christodoulopoulos", "Baker", "Skilling", "Nguyen", "Zhang"]
+    middle = ["", "", "", "Q.", "van der", "Fitzgerald Alexander"]
+    rows = []
+    for i in range(2000):
+        f, m, z = typed(r, r.choice(first)), r.choice(middle), typed(r, r.choice(last))
+        rows.append((f"e{i:04d}", f"{z}, {f}" if r.random() < 0.1 else f"{f} {m} {z}", r.choice(["Person", "Topic"]), [], {}))
+    found = resolution.similar_pairs(spark.createDataFrame(rows, "id string, canonical_name string, entity_type string, aliases array<string>, properties map<string,string>"))
+    got = {(x.a, x.b): round(x.sim, 9) for x in found.collect()}
+    known, want = {}, {}
+    for k, (a, x, kind, *_) in enumerate(rows):
+        for b, y, other, *_ in rows[k + 1 :]:
+            if kind == other:
+                pair = (min(x, y), max(x, y))
+                if pair not in known:
+                    known[pair] = similarity(*pair)
+                if known[pair] >= resolution.THRESHOLD:
+                    want[a, b] = round(known[pair], 9)
+    assert got == want and len(want) > 3000
