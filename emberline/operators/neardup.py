@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.names import char_shingles, jaccard
-from emberline.session import checkpointed, stored
+from emberline.session import checkpointed, scratch, stored
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -64,8 +64,31 @@ def greedy_leaders(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return by.join(absorbed, "b").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("canonical"))
 
 
-def near_dedup(docs: DataFrame, threshold: float = 0.85, k: int = 5) -> DataFrame:
-    """(doc_id, canonical_id) of every doc_id of ``docs`` (doc_id, text); canonical_id equals doc_id where it stays."""
+def near_dedup(docs: DataFrame, threshold: float = 0.85, k: int = 5, order: str | None = None) -> DataFrame:
+    """(doc_id, canonical_id) of every doc_id of ``docs`` (doc_id, text); canonical_id equals doc_id where it stays.
+
+    Of a group the first stays: by doc_id, or by the timestamp column ``order`` (nulls first), then doc_id.
+    """
+    if order:
+        at = F.coalesce(docs[order].cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+        timed = docs.filter("doc_id IS NOT NULL").select(F.struct(at.alias("at"), docs["doc_id"].alias("id")).alias("doc_id"), "text")
+        return near_dedup(timed, threshold, k).select(F.col("doc_id.id").alias("doc_id"), F.col("canonical_id.id").alias("canonical_id"))
     nodes = distinct_texts(docs)
     lead = greedy_leaders(near_pairs(docs, threshold, k)).withColumnRenamed("id", "node")
     return nodes.join(lead, "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("canonical", "node").alias("canonical_id"))
+
+
+def dedup_outcome(emails: DataFrame, key: Column, threshold: float = 0.85, k: int = 5, order: str | None = None) -> DataFrame:
+    """One row: input, after_exact_dedup, after_near_dedup, exact_dups_removed, near_dups_removed.
+
+    Of the ``emails`` (doc_id unique and not null, text) with one ``key`` the first stays, by ``order`` (nulls first) and doc_id; near copies are looked for among those.
+    """
+    with scratch(emails.sparkSession) as own:
+        at = F.col(order) if order else F.lit(0)
+        first = emails.withColumn("_k", key).groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(at.alias("at"), "doc_id")).alias("first"), F.min_by("text", F.struct(at, "doc_id")).alias("text"))
+        kept = stored(first.select("n", F.col("first.at").alias("at"), F.col("first.doc_id").alias("doc_id"), "text"), "exact")
+        near = near_dedup(kept.select("doc_id", "text", "at"), threshold, k, "at" if order else None)
+        counts = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("input"), F.count(F.lit(1)).alias("after_exact_dedup"))
+        counts = counts.join(near.agg(F.count_if(F.col("doc_id") == F.col("canonical_id")).alias("after_near_dedup")), how="cross")
+        gone = [(F.col("input") - F.col("after_exact_dedup")).alias("exact_dups_removed"), (F.col("after_exact_dedup") - F.col("after_near_dedup")).alias("near_dups_removed")]
+        return own.result(counts.select("*", *gone), "dedup-outcome")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import names
 from emberline.operators import mail, neardup, threads, trigram
-from emberline.plans import graph_queries, graph_sql, stream_queries
+from emberline.plans import graph_queries, graph_sql, lookup_queries, stream_queries
 from emberline.session import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -164,11 +164,11 @@ SELECT DISTINCT message_id, min(message_id) OVER (PARTITION BY conv_id, run) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN | graph_queries.QUERIES | stream_queries.QUERIES
+    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN | graph_queries.QUERIES | lookup_queries.QUERIES | stream_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL | graph_queries.SQL | stream_queries.SQL
+    return {name: graph_sql.text(name) for name in graph_sql.OPERATORS} | OWN_SQL | graph_queries.SQL | lookup_queries.SQL | stream_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
