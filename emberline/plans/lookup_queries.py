@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import extraction, lookup, neardup
+from emberline.operators import extraction, lookup, neardup, resolution
 from emberline.plans.graph_queries import _tidy, role, with_roles
 from emberline.session import table
 
@@ -78,12 +78,22 @@ def extraction_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extraction_stats(extraction.extract(mails, per_minute=None))
 
 
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind, a, b, sim. 'pair': different names of parts, each by the first part that has it, that are alike when read as
+    first and last name. 'member': every part b and the first part a of its name."""
+    parts = role(spark, sf_dir, "entities").filter("entity_type = 'Document'")
+    first = parts.groupBy("canonical_name", "entity_type").agg(F.min("id").alias("id"))
+    pairs = resolution.similar_pairs(first.withColumn("aliases", F.array().cast("array<string>"))).select(F.lit("pair").alias("kind"), "a", "b", F.round("sim", 6).alias("sim"))
+    return pairs.unionByName(parts.join(first.select("canonical_name", F.col("id").alias("a")), "canonical_name").select(F.lit("member").alias("kind"), "a", F.col("id").alias("b"), F.lit(1.0).alias("sim")))
+
+
 QUERIES = {
     "f3_names_and_aliases": names_found, "f4_by_id": rows_found, "f13_search_aliases": searched, "t18_entity_texts": entity_texts, "t19_claim_texts": claim_texts,
-    "a8_dedup_outcome": dedup_outcome, "a14_extraction_outcome": extraction_outcome,
+    "a8_dedup_outcome": dedup_outcome, "a14_extraction_outcome": extraction_outcome, "j12_name_pairs": name_pairs,
 }
 
-#: ``a8_dedup_outcome`` and ``a14_extraction_outcome`` have none: near copies and the validation of answers are too slow or no SQL; tests hold them against brute force.
+#: ``a8_dedup_outcome``, ``a14_extraction_outcome`` and ``j12_name_pairs`` have none: near copies, validated answers and common
+#: subsequences are too slow or no SQL; tests hold them against brute force.
 SQL = {
     "f3_names_and_aliases": with_roles("entities", """, every AS (SELECT id, canonical_name, entity_type, canonical_name AS name FROM entities UNION SELECT id, canonical_name, entity_type, 'alias ' || id FROM entities),
 asked AS (SELECT c_name AS name, 'Person' AS t FROM customer WHERE c_custkey % 100 = 0 UNION SELECT c_name, 'Topic' FROM customer WHERE c_custkey % 100 = 0

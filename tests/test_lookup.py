@@ -2,10 +2,13 @@
 
 import itertools
 
+from emberline.functions.names import similarity
 from emberline.operators import lookup, neardup
 from emberline.plans import lookup_queries
 from pyspark.sql import functions as F
 
+from tests.helpers import SF
+
 ENTITIES = "id string, canonical_name string, entity_type string, aliases array<string>, properties map<string,string>"
 
 
@@ -87,3 +90,16 @@ def test_extraction_outcome(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = lookup_queries.extraction_outcome(spark, str(tmp_path)).first().asDict()
     assert (got["total_emails"], got["successful"], got["failed"], got["total_claims"], got["total_entities"]) == (3, 3, 0, 2, 5)
+
+
+def test_name_pairs_equal_all_pairs(spark):
+    """The registered query, on the parts of the smallest tables."""
+    parts = sorted(("p:" + str(r.p_partkey), r.p_name) for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name").collect())
+    first = {}
+    for a, x in parts:
+        first.setdefault(x, a)
+    want = {("member", first[x], a): 1.0 for a, x in parts}
+    for (x, a), (y, b) in itertools.combinations(first.items(), 2):
+        if (s := round(similarity(x, y), 6)) >= 0.82:
+            want["pair", min(a, b), max(a, b)] = s
+    assert {(r.kind, r.a, r.b): r.sim for r in lookup_queries.name_pairs(spark, SF).collect()} == want
