@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -12,27 +11,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions import names
 from emberline.operators import mail, neardup, threads, trigram
-from emberline.plans import graph_queries, graph_sql, lookup_queries, stream_queries
+from emberline.plans import browse_queries, graph_queries, graph_sql, lookup_queries, stream_queries
 from emberline.session import table
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-_NAMES = re.compile(r"\b(?:FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
-
-
-def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = graph_sql.text(name)
-        used = set(_NAMES.findall(text))
-        return spark.sql(_NAMES.sub(lambda m: m[0].replace(m[1], "{" + m[1] + "} AS " + m[1]) if not _aliased(text, m) else m[0].replace(m[1], "{" + m[1] + "}"), text), **{n: table(spark, sf_dir, n) for n in used})
-
-    return query
-
-
-def _aliased(text: str, m: re.Match) -> bool:
-    """Whether an alias of one letter follows a table's name."""
-    return re.match(r"\s+[a-z]\b", text[m.end() :]) is not None
-
-
 #: Vectors of a block of rows and of a block of queries.
 ROW_BLOCK, QUERY_BLOCK = 1024, 512
 
@@ -164,7 +145,7 @@ SELECT DISTINCT message_id, min(message_id) OVER (PARTITION BY conv_id, run) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql(name) for name in graph_sql.OPERATORS} | OWN | graph_queries.QUERIES | lookup_queries.QUERIES | stream_queries.QUERIES
+    return browse_queries.QUERIES | OWN | graph_queries.QUERIES | lookup_queries.QUERIES | stream_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

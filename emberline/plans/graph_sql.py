@@ -1,7 +1,7 @@
-"""Memory-graph operators as SQL that Spark and DuckDB read alike.
+"""SQL that the queries of ``browse_queries`` are held against, and the adapters of both.
 
-Each operator is a text over the roles below; the same text is planned by Catalyst and serves as the oracle.
-Roles are adapters from the star schema: entities, claims, evidence, emails, messages and a processing log.
+Each text is over the roles below. Roles are adapters from the star schema: entities, claims, emails and messages; Spark and
+DuckDB read them alike, so queries and SQL begin from the same rows and share nothing behind them.
 """
 
 from __future__ import annotations
