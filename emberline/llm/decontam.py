@@ -3,8 +3,9 @@
 A window that is similar to an item shares a shingle with it, so windows are laid only where a shared shingle aligns
 a document with an item (every occurrence on both sides proposes its alignment, so nothing is lost). Each window, as
 long as the item, gets a 64-bit SimHash of its shingles, as every item does. The multi-index then finds, for each
-different window, all items of that length whose fingerprint is within the radius: fingerprints are cut into
-radius + 1 blocks, and two within the radius agree in one block at least. What is found is verified by the exact
+different window and the items that it was laid for, those whose fingerprint is within the radius: fingerprints are cut into
+radius + 1 blocks, and two within the radius agree in one block at least. Windows never meet items that share no shingle at
+their place. What is found is verified by the exact
 weighted similarity of the two shingle multisets: sum of the smaller counts over the sum of the larger ones.
 
 The result is the pairs of ``similarity`` or more whose fingerprints are within ``radius``. At a similarity of 0.8 two
@@ -79,7 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         hashed_items = stored(items.select("item_id", "n_words", "k", hashes().alias("h")), "item-shingles")
         prints = hashed_items.select("item_id", "n_words", "k", F.sort_array("h").alias("sorted"), _simhash(F.col("h")).alias("item_fp"))
         prints = stored(prints.dropDuplicates(["item_id", "n_words", "sorted"]), "item-prints")
-        anchors = hashed_items.select("k", "n_words", F.posexplode("h").alias("at", "s")).distinct()
+        anchors = hashed_items.select("item_id", "k", "n_words", F.posexplode("h").alias("at", "s")).distinct()
         anchors = stored(anchors, "anchors")
 
         named = only(docs, "doc_id", "text").filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), _words(F.col("text")).alias("w"))
@@ -91,28 +92,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         held = stored(held.select("doc_id", "version", "x.k", "x.h").dropDuplicates(["doc_id", "version", "k"]), "shingles")
 
         met = held.select("doc_id", "version", "k", F.posexplode("h").alias("pos", "s")).join(anchors, ["s", "k"])
-        starts = met.select("doc_id", "version", "k", "n_words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct()
+        starts = met.select("doc_id", "version", "k", "n_words", "item_id", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct()
+        # a window is laid once for all items that propose it
+        starts = starts.groupBy("doc_id", "version", "k", "n_words", "start").agg(F.collect_set("item_id").alias("for"))
         laid = held.join(starts, ["doc_id", "version", "k"])
         part = F.sort_array(F.slice("h", F.col("start") + 1, F.col("n_words") - F.col("k") + 1))
-        laid = laid.select("doc_id", "start", "n_words", "k", part.alias("window"))
+        laid = laid.select("doc_id", "start", "n_words", "k", "for", part.alias("window"))
         name = [F.xxhash64("n_words", "k", "window").alias("name_a"), F.hash("k", "window").alias("name_b")]
         laid = stored(laid.select("*", *name), "windows")
         different = laid.groupBy("name_a", "name_b").agg(F.first("n_words").alias("n_words"), F.first("k").alias("k"), F.first("window").alias("window"))
         different = stored(different, "different")
         different = stored(different.withColumn("fp", _simhash(F.col("window"))), "window-prints")
 
-        # the multi-index: items of a window's length, met in any block of their fingerprints
-        left = different.select("name_a", "name_b", "n_words", "k", "fp", F.explode(_blocks("fp", radius)).alias("b"))
+        # the multi-index: the items that a window was laid for, met in any block of their fingerprints
+        proposed = laid.select("name_a", "name_b", F.explode("for").alias("item_id")).distinct()
+        left = different.select("name_a", "name_b", "n_words", "k", "fp").join(proposed, ["name_a", "name_b"])
+        left = left.select("name_a", "name_b", "item_id", "n_words", "k", "fp", F.explode(_blocks("fp", radius)).alias("b"))
         right = prints.select("item_id", "n_words", "k", "item_fp", F.explode(_blocks("item_fp", radius)).alias("b"))
         distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-        near = left.join(right, ["n_words", "k", "b"]).filter(distance <= radius)
+        near = left.join(right, ["item_id", "n_words", "k", "b"]).filter(distance <= radius)
         near = near.select("name_a", "name_b", "item_id", "n_words", "item_fp", distance.alias("distance")).distinct()
         found = near.join(different.select("name_a", "name_b", "window"), ["name_a", "name_b"]).join(prints.select("item_id", "n_words", "item_fp", "sorted"), ["item_id", "n_words", "item_fp"])
         found = found.withColumn("a", _numbered(F.col("window"))).withColumn("b", _numbered(F.col("sorted")))
         found = found.withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).filter(F.col("similarity") >= similarity)
         found = stored(found.select("name_a", "name_b", "item_id", "distance", "similarity"), "similar")
 
-        pairs = laid.select("doc_id", "start", "n_words", "name_a", "name_b").join(found, ["name_a", "name_b"])
+        pairs = laid.select("doc_id", "start", "n_words", "name_a", "name_b", F.explode("for").alias("item_id")).join(found, ["name_a", "name_b", "item_id"])
         best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start")))
         pairs = pairs.groupBy("doc_id", "item_id").agg(best.alias("x"))
         return own.result(pairs.select("doc_id", "item_id", F.col("x.start").alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.distance").alias("distance"), F.col("x.similarity").alias("similarity")))
