@@ -2,8 +2,10 @@
 
 Rules name hosts (with all subdomains) and path prefixes; the longest that fits decides. For the rest, hosts
 are judged by the link graph: personalised PageRank spreads trust from hosts with allowed pages along links, and
-distrust from hosts with blocked pages against them. Edges are the links of the pages, counted per host pair,
-and those between a host and the domain above it. A host is blocked where distrust exceeds ``ratio`` times trust.
+distrust from hosts with blocked pages against them. Edges are the links of the pages to other hosts, counted per host
+pair; links are resolved against the page and its base. A host without links onwards hands its rank back to the seeds:
+as everything that leaves the graph goes back to them alike, that is a scaling, so the ranks of a kind are made to sum
+to 1. A host is blocked where distrust exceeds ``ratio`` times trust.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: What is pointed at by the first href of a tag; a tag ends at < as well, so that unclosed ones cost no more than their length.
+_HREF = r"""(?i)<%s\s+(?:[^<>]*?\s)?href\s*=\s*["']?\s*([^"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,6 +41,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def target_host(href: Column, base: Column) -> Column:
+    """The host that a link leads to: its own, after a scheme and :// or after //; of a relative link ``base``; of mailto: and the like empty."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+    bare = F.translate(F.regexp_extract(href, r"^//([^/?#]*)", 1), UPPER, LOWER)
+    return F.when(href.rlike(scheme + "//"), host_of(href)).when(href.startswith("//"), bare).when(href.rlike(scheme), F.lit("")).otherwise(base)
+
+
+def linked_hosts(html: Column, host: Column) -> Column:
+    """The other hosts that a page's links lead to, one for each link. A null html has none."""
+    base = F.regexp_extract(html, _HREF % "base", 1)
+    links = F.regexp_extract_all(html, F.lit(_HREF % "a"), F.lit(1))
+    at = target_host(base, host)
+    to = F.transform(F.coalesce(links, F.array().cast("array<string>")), lambda x: target_host(x, at))
+    return F.filter(to, lambda h: (h != F.lit("")) & (h != host))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, or nulls."""
     rule = verdict = None
@@ -83,22 +103,19 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, ratio: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url, html).
 
-    A null url, or one without ``://``, has an empty host and path; the empty host has no edges and is allowed.
-    A null html has no links. Repeated rows are kept and count again as links. Without evidence a host is allowed.
+    A null url, or one without ``://``, has an empty host and path; the empty host has no edges and is allowed. Links within a
+    host are no edges. A null html has no links. Repeated rows are kept and count again as links. Without evidence, or with as
+    much trust as distrust, a host is allowed. Other columns play no part, whatever their names.
     """
     with scratch(pages.sparkSession) as own:
         url = F.col("url")
         rows = only(pages, "page_id", "url", "html").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
         rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-        links = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']?([a-z]+://[^\"'\s>]+)"), F.lit(1))
-        to = F.transform(F.coalesce(links, F.array().cast("array<string>")), host_of)
-        rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.filter(to, lambda h: h != F.lit("")).alias("to")), "pages")
+        rows = stored(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), linked_hosts(F.col("html"), F.col("host")).alias("to")), "pages")
         hosts = rows.filter("host != ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
         hosts = stored(hosts, "hosts")
         linked = rows.filter("host != ''").select(F.col("host").alias("a"), F.explode("to").alias("b"))
-        above = hosts.select(F.col("host").alias("a"), F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1).alias("b")).filter("b != ''")
-        edges = linked.unionByName(above).unionByName(above.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b")
-        edges = stored(edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "edges")
+        edges = stored(linked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "edges")
 
         out = edges.groupBy("a").agg(F.sum("n").alias("out"))
         into = edges.groupBy(F.col("b").alias("_b")).agg(F.sum("n").alias("into"))
@@ -108,7 +125,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: f
         some = hosts.select("host", F.explode(F.create_map(F.lit("good"), "good", F.lit("bad"), "bad")).alias("kind", "w")).filter("w > 0")
         total = some.groupBy("kind").agg(F.sum("w").alias("total"))  # two rows
         seeds = stored(some.join(F.broadcast(total), "kind").select("kind", "host", (F.col("w") / F.col("total")).alias("seed")), "seeds")
-        ranks = spread(shares, seeds, damping, tolerance)
+        ranks = stored(spread(shares, seeds, damping, tolerance), "scaled")
+        mass = ranks.groupBy("kind").agg(F.sum("rank").alias("mass"))  # two rows
+        ranks = ranks.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("rank") / F.col("mass")).alias("rank"))
         trust = ranks.filter("kind = 'good'").select("host", F.col("rank").alias("trust"))
         distrust = ranks.filter("kind = 'bad'").select("host", F.col("rank").alias("distrust"))
         told = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
