@@ -51,10 +51,15 @@ def target_host(href: Column, base: Column) -> Column:
 def linked_hosts(html: Column, host: Column) -> Column:
     """The other hosts that a page's links lead to, one for each link. A null html has none."""
     base = F.regexp_extract(html, _HREF % "base", 1)
-    links = F.regexp_extract_all(html, F.lit(_HREF % "a"), F.lit(1))
-    at = target_host(base, host)
-    to = F.transform(F.coalesce(links, F.array().cast("array<string>")), lambda x: target_host(x, at))
-    return F.filter(to, lambda h: (h != F.lit("")) & (h != host))
+    links = F.coalesce(F.regexp_extract_all(html, F.lit(_HREF % "a"), F.lit(1)), F.array().cast("array<string>"))
+
+    def of(page: Column) -> Column:
+        to = F.transform(page["links"], lambda x: target_host(x, page["base"]))
+        return F.filter(to, lambda h: (h != F.lit("")) & (h != page["host"]))
+
+    # an array of one, so that host and base are found once a page and not once a link
+    page = F.struct(host.alias("host"), target_host(base, host).alias("base"), links.alias("links"))
+    return F.flatten(F.transform(F.array(page), of))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
