@@ -62,8 +62,9 @@ def near_spans(left: DataFrame, right: DataFrame, days: int = 7, overlap: float
 
 def subject_edges(emails: DataFrame, days: int = 7, overlap: float = 0.3) -> DataFrame:
     """(u, v): links that connect all dated messages of one subject, ``days`` apart at most, whose participants overlap."""
-    rows = stored(sessions(emails, days), "sessions")
-    return inside_sessions(rows).unionByName(near_spans(spans(rows), spans(rows), days, overlap)).distinct()
+    with scratch(emails.sparkSession) as own:
+        rows = stored(sessions(emails, days), "sessions")
+        return own.result(inside_sessions(rows).unionByName(near_spans(spans(rows), spans(rows), days, overlap)).distinct(), "subject-edges")
 
 
 def build_threads(emails: DataFrame) -> DataFrame:

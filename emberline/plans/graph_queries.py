@@ -71,7 +71,7 @@ def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = role(spark, sf_dir, "claims")
-    asked = claims.filter("subject_id = 'c:7'").select("claim_id").unionByName(spark.createDataFrame([("none",)], "claim_id string"))
+    asked = claims.select("claim_id").unionByName(spark.createDataFrame([("none",)], "claim_id string"))
     found = graph.evidence_map(asked, role(spark, sf_dir, "evidence"))
     return found.select("claim_id", F.array_sort(F.transform("evidence", lambda e: e["source_id"])).alias("sources"))
 
@@ -249,7 +249,7 @@ SELECT entity_id, claim_id, claim_type, confidence, s.canonical_name AS subject_
 SELECT entity_id, claim_id, claim_type, valid_from, valid_to, confidence, (SELECT count(*) FROM evidence e WHERE e.claim_id = r.claim_id) AS evidence_count FROM r WHERE k <= 100"""),
     "n1_diversity_cap": with_roles("claims", f""", {_ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id {_BEST}) AS k FROM ends WHERE is_current AND confidence >= 0.5),
 c AS (SELECT *, row_number() OVER (PARTITION BY entity_id, claim_type ORDER BY k) AS t FROM r WHERE k <= 50) SELECT entity_id, claim_type, claim_id, confidence FROM c WHERE t <= 5"""),
-    "j4_evidence_map": with_roles("claims evidence", """, asked AS (SELECT claim_id FROM claims WHERE subject_id = 'c:7' UNION SELECT 'none')
+    "j4_evidence_map": with_roles("claims evidence", """, asked AS (SELECT claim_id FROM claims UNION SELECT 'none')
 SELECT a.claim_id, coalesce(list_sort(list(e.source_id) FILTER (e.source_id IS NOT NULL)), []) AS sources FROM asked a LEFT JOIN evidence e ON e.claim_id = a.claim_id GROUP BY a.claim_id"""),
     "g2_expand_edges": with_roles("claims", f", {_EXPAND} SELECT question_id, claim_id, min(hop) AS hop FROM (SELECT question_id, claim_id, 1 AS hop FROM e1 UNION ALL SELECT question_id, claim_id, 2 FROM e2) GROUP BY question_id, claim_id"),
     "g2_expand_nodes": with_roles("claims", f""", {_EXPAND}, every AS (SELECT question_id, x, 0 AS hop FROM f0 UNION ALL SELECT question_id, x, 1 FROM f1 UNION ALL SELECT question_id, subject_id, 2 FROM e2 UNION ALL SELECT question_id, object_id, 2 FROM e2)
