@@ -1,18 +1,13 @@
-"""Exact near-duplicate pairs by prefix filtering, and greedy leaders over them.
-
-Two sets whose Jaccard similarity is at least t share a member among the first n - ceil(t * n) + 1 of each, in any
-common order of members. With the rarest shingles first those prefixes meet seldom, so an equi-join on them finds
-every pair and few others; the exact similarity decides. Equal texts are one node, so copies never form pairs.
-"""
+"""Exact near-duplicate pairs by bitmaps of shingle sets, and greedy leaders over them. Equal texts are one node, so copies never form pairs."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.names import char_shingles, jaccard
+from emberline.operators import setjoin
 from emberline.session import checkpointed, scratch, stored
 
 
@@ -26,20 +21,8 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5) -> DataFrame:
     """(a, b, similarity), a < b: every pair of different texts, by their smallest doc_id, whose k-shingles reach ``threshold``."""
     with scratch(docs.sparkSession) as own:
-        rows = docs.select(docs["doc_id"].alias("node"), F.coalesce(docs["text"], F.lit("")).alias("text")).filter("node IS NOT NULL")
-        rows = rows.groupBy(F.sha2("text", 256).alias("_h")).agg(F.min_by("text", "node").alias("text"), F.min("node").alias("node"))
-        hashed = F.array_distinct(F.transform(char_shingles(F.col("text"), k), lambda s: F.xxhash64(s)))
-        sets = stored(rows.select("node", hashed.alias("s")), "shingle-sets")
-        every = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("h"))
-        often = every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        # shingles of one text alone come first in the common order: they use up prefix places but join nothing
-        ranked = every.join(often, "h").withColumn("back", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("h"))))
-        prefix = stored(ranked.filter(F.col("back") >= F.ceil(F.col("n") * threshold - 1e-9)).select("node", "n", "h"), "prefixes")
-        left, right = prefix.toDF("a", "an", "h"), prefix.toDF("b", "bn", "h")
-        fits = (F.col("a") < F.col("b")) & (F.least("an", "bn") >= F.greatest("an", "bn") * threshold - 1e-9)
-        pairs = left.join(right, "h").filter(fits).select("a", "b").distinct()
-        held = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return own.result(held.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold), "near-pairs")
+        sets = setjoin.prints(docs, k)
+        return own.result(setjoin.pairs_inside(docs, sets, setjoin.close_pairs(sets, threshold), threshold, k), "near-pairs")
 
 
 def greedy_leaders(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
