@@ -116,3 +116,17 @@ def test_trigram_candidates_are_few_and_no_loop(spark):
     met = trigram.candidates(g.limit(40), g, 0.3)
     assert met.count() < 0.4 * 40 * 600
     assert "NestedLoop" not in met._jdf.queryExecution().toString() and "Cartesian" not in met._jdf.queryExecution().toString()
+
+
+def test_bands_shuffle_less_than_the_sets(spark, tmp_path):
+    from tests.test_setjoin import shuffled
+
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    docs = spark.createDataFrame([(i, "".join(r.choices(letters, k=4000))) for i in range(400)], "doc_id long, text string")
+    docs = docs.unionByName(docs.select((docs.doc_id + 1000).alias("doc_id"), F.concat("text", F.lit("!")).alias("text")))
+    docs.write.parquet(str(tmp_path / "d"))
+    before = shuffled(spark)
+    found = lsh.near_pairs(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {(p.a, p.b) for p in found} == {(i, i + 1000) for i in range(400)}
+    assert shuffled(spark) - before < 3 * 800 * 4000
