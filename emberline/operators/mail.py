@@ -27,8 +27,10 @@ def drop_reason(folder: Column, subject: Column, body: Column, keywords: Sequenc
     for part in SKIP_FOLDERS:
         skipped = skipped | F.lower(folder).contains(part)
     line = F.lower(F.concat(subject, F.lit(" "), body))
-    found = F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(line, k)))
-    short = F.length(F.regexp_replace(body, r"^\s+|\s+$", "")) < LEAST
+    # the line is the one element of an array, so that it is made once and not once a keyword
+    met = lambda x: sum((F.contains(x, F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    found = F.element_at(F.transform(F.array(line), met), 1)
+    short = F.length(F.btrim(body, F.lit(" \t\n\x0b\f\r"))) < LEAST
     return F.when(skipped, "folder").when(short, "length").when(found < hits, "signal")
 
 
