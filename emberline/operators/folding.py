@@ -26,8 +26,9 @@ def fold(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "evidence_ids"))), lambda x: x["evidence_ids"])).alias("evidence_ids"),
     )
     canonical = kept.select(F.col("_own.claim_id").alias("claim_id"), *KEY, F.col("_own.properties").alias("properties"), "confidence", "valid_from", "valid_to", "evidence_ids")
-    into = canonical.select(*KEY, F.col("claim_id").alias("merged_into"))
-    events = claims.select(*KEY, F.col("claim_id").alias("merged_from")).join(into, list(KEY)).filter("merged_from != merged_into")
+    # the events without the lists: one shuffle of the claims, in which each meets the first of its key
+    first = F.first("claim_id").over(Window.partitionBy(*KEY).orderBy("_at"))
+    events = some.select(*KEY, F.col("claim_id").alias("merged_from"), first.alias("merged_into")).filter(" AND ".join(f"{k} IS NOT NULL" for k in KEY) + " AND merged_from != merged_into")
     reason = F.concat(F.lit("same_semantic_key:('"), F.concat_ws("', '", *KEY), F.lit("')"))
     return canonical, events.select("merged_from", "merged_into", reason.alias("reason"))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from emberline.session import scratch, stored
 
 LIMIT, PER_TYPE, MAX_DEPTH = 50, 5, 3
+#: So many ids at most are looked for by a filter.
+FEW = 1000
 
 
 def best_first() -> list[Column]:
@@ -20,20 +22,43 @@ def best_first() -> list[Column]:
     return [F.desc("confidence"), F.desc_nulls_last("valid_from"), F.asc("claim_id")]
 
 
-def with_names(claims: DataFrame, entities: DataFrame) -> DataFrame:
-    """``claims`` with subject_name and object_name; claims with an unknown end are left out."""
+def with_names(claims: DataFrame, entities: DataFrame, how: str = "inner") -> DataFrame:
+    """``claims`` with subject_name and object_name; claims with an unknown end are left out (``how`` "left": they have a null there)."""
     s = entities.select(F.col("id").alias("subject_id"), F.col("canonical_name").alias("subject_name"))
     o = entities.select(F.col("id").alias("object_id"), F.col("canonical_name").alias("object_name"))
-    return claims.join(s, "subject_id").join(o, "object_id")
+    return claims.join(s, "subject_id", how).join(o, "object_id", how)
+
+
+def hashed(entities: DataFrame) -> DataFrame:
+    """``entities`` to be joined with a whole table of claims: hashed part by part, so that the claims are never sorted."""
+    return entities.hint("shuffle_hash")
+
+
+def few(ids: DataFrame, most: int = FEW) -> list | None:
+    """The different values of the one column of ``ids``, nulls left out, if there are ``most`` at the most; else None.
+
+    A filter by a list moves below the joins and columns that rows are made of, down to where the tables are read; a join does not.
+    """
+    found = [r[0] for r in ids.distinct().limit(most + 2).collect()]
+    some = [x for x in found if x is not None]
+    return some if len(some) <= most else None
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` is among ``ids`` (a stored frame of that one column): few by a filter, more by a semi-join."""
+    some = few(ids)
+    return rows.join(ids, column, "left_semi") if some is None else rows.filter(F.col(column).isin(some))
 
 
 def claims_at(claims: DataFrame, asked: DataFrame, on: str = "entity_id") -> DataFrame:
     """Each row of ``asked`` with each claim that has its entity as subject or object, a claim once a row.
 
-    Two equi-joins, one an end; a filter of one entity in ``asked`` reaches both scans as a join filter.
+    Two equi-joins, one an end. Where few entities are asked for, the claims are filtered first, so that few are made.
     """
     names = [c for c in asked.columns if c != on]
-    ends = [asked.join(claims, asked[on] == claims[c]).select(asked[on].alias(on), *[asked[n] for n in names], *[claims[c] for c in claims.columns]) for c in ("subject_id", "object_id")]
+    ids = few(asked.select(on))
+    some = {c: claims if ids is None else claims.filter(F.col(c).isin(ids)) for c in ("subject_id", "object_id")}
+    ends = [asked.join(met, asked[on] == met[c]).select(asked[on].alias(on), *[asked[n] for n in names], *[met[x] for x in claims.columns]) for c, met in some.items()]
     return ends[0].unionByName(ends[1].filter("subject_id IS DISTINCT FROM object_id"))
 
 
@@ -78,10 +103,12 @@ def expand(claims: DataFrame, seeds: DataFrame, depth: int = 1, include_historic
 
 def evidence_map(ids: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, evidence): the evidence of each claim id of ``ids`` by date; a claim without any has an empty list."""
-    asked = ids.select("claim_id").distinct()
     rest = [c for c in evidence.columns if c not in ("claim_id", "source_date")]
-    found = evidence.join(asked, "claim_id", "left_semi").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("source_date", *rest))).alias("evidence"))
-    return asked.join(found, "claim_id", "left").select("claim_id", F.coalesce("evidence", F.array()).alias("evidence"))
+    # ids and evidence in one frame: each is read and shuffled once, and an id that was not asked for is dropped where it is grouped
+    held = evidence.filter("claim_id IS NOT NULL").select("claim_id", F.struct("source_date", *rest).alias("_e"), F.lit(False).alias("_asked"))
+    asked = ids.select("claim_id", F.lit(None).cast(held.schema["_e"].dataType).alias("_e"), F.lit(True).alias("_asked"))
+    found = held.unionByName(asked).groupBy("claim_id").agg(F.array_sort(F.collect_list("_e")).alias("evidence"), F.bool_or("_asked").alias("_asked"))
+    return found.filter("_asked").select("claim_id", "evidence")
 
 
 def degrees(claims: DataFrame) -> DataFrame:
@@ -126,16 +153,21 @@ def timeline(claims: DataFrame, entities: DataFrame, evidence: DataFrame, asked:
     """The ``limit`` (1 to 500) most confident claims of each entity of ``asked`` (entity_id), by time, with evidence_count."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must lie in 1 to 500")
-    found = entity_claims(claims, entities, asked, current_only=not historical, limit=limit)
-    counts = evidence.groupBy("claim_id").agg(F.count(F.lit(1)).alias("evidence_count"))
-    found = found.join(counts, "claim_id", "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0)))
+    with scratch(claims.sparkSession) as own:
+        asked = stored(asked.select("entity_id").distinct(), "asked")
+        found = stored(entity_claims(claims, entities, asked, current_only=not historical, limit=limit), "found")
+        # only the evidence of these claims is counted
+        counts = among(evidence, "claim_id", found.select("claim_id")).groupBy("claim_id").agg(F.count(F.lit(1)).alias("evidence_count"))
+        found = own.result(found.join(counts, "claim_id", "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0))), "timeline")
     return found.orderBy("entity_id", F.asc_nulls_first("valid_from"), "claim_id")
 
 
 def permitted(claims: DataFrame, evidence: DataFrame, access: DataFrame, user: str) -> DataFrame:
     """The claims with evidence in a source that ``access`` (source_id, user_id) lets the user read."""
-    seen = access.filter(F.col("user_id") == user).select("source_id")
-    return claims.join(evidence.join(seen, "source_id", "left_semi").select("claim_id"), "claim_id", "left_semi")
+    with scratch(claims.sparkSession) as own:
+        seen = stored(access.filter(F.col("user_id") == user).select("source_id"), "seen")
+        found = own.result(among(evidence, "source_id", seen).select("claim_id").distinct(), "permitted")
+    return among(claims, "claim_id", found)
 
 
 def subgraph(claims: DataFrame, entities: DataFrame, types: list[str], min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:

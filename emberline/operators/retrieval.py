@@ -106,7 +106,7 @@ def context_packs(questions: DataFrame, nodes: DataFrame, edges: DataFrame, enti
     summary = nodes.join(entities, nodes["entity_id"] == entities["id"]).groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("hop", F.col("id").alias("entity_id"), "canonical_name", "entity_type", "aliases"))).alias("entities")
     )
-    claims = graph.with_names(edges, entities).join(graph.evidence_map(edges, evidence), "claim_id")
+    claims = graph.with_names(edges, entities).join(graph.evidence_map(edges, graph.among(evidence, "claim_id", edges.select("claim_id"))), "claim_id")
     body = F.struct("claim_id", "claim_type", F.col("subject_name").alias("subject"), F.col("object_name").alias("object"), "confidence", "valid_from", "valid_to", "is_current", "evidence")
     packed = claims.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("hop", (-F.col("confidence")).alias("_by"), body.alias("claim")))).alias("_claims"), F.sum(F.size("evidence")).alias("total_evidence_count"))
     packed = packed.select("question_id", F.transform("_claims", lambda c: c["claim"]).alias("claims"), "total_evidence_count")

@@ -108,7 +108,7 @@ def _entity_text(t: _Tables) -> DataFrame:
 
 
 def _claim_text(t: _Tables) -> DataFrame:
-    rows = graph.with_names(t.role("claims"), t.role("entities")).withColumn("properties", _no_properties())
+    rows = graph.with_names(t.role("claims"), graph.hashed(t.role("entities"))).withColumn("properties", _no_properties())
     return rows.select("claim_id", lookup.claim_text(rows).alias("text"))
 
 
@@ -126,7 +126,7 @@ QUERIES: dict[str, Query] = {
         "f14_confidence_band": lambda t: t.role("claims").select("claim_id", browse.band(F.col("confidence")).alias("band")),
         "f18_check_violations": _violations,
         "j1_unprocessed": _queued,
-        "j2_named_claims": lambda t: graph.with_names(t.role("claims"), t.role("entities")).select("claim_id", "subject_name", "claim_type", "object_name"),
+        "j2_named_claims": lambda t: graph.with_names(t.role("claims"), graph.hashed(t.role("entities"))).select("claim_id", "subject_name", "claim_type", "object_name"),
         "j3_evidence_sources": _sources,
         "j5_visited_entities": _visited,
         "j6_top_entities": lambda t: browse.top_entities(t.role("entities"), t.role("claims"), 20).select("id", "canonical_name", "claim_count"),

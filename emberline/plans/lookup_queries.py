@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import extraction, lookup, neardup, resolution
+from emberline.operators import extraction, graph, lookup, neardup, resolution
 from emberline.plans.graph_queries import _tidy, role, with_roles
 from emberline.session import table
 
@@ -53,9 +53,7 @@ def entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, entities = role(spark, sf_dir, "claims"), role(spark, sf_dir, "entities")
-    named = lambda end: entities.select(F.col("id").alias(f"{end}_id"), F.col("canonical_name").alias(f"{end}_name"))
-    rows = claims.join(named("subject"), "subject_id", "left").join(named("object"), "object_id", "left")
+    rows = graph.with_names(role(spark, sf_dir, "claims"), graph.hashed(role(spark, sf_dir, "entities")), "left")
     rows = rows.withColumn("properties", F.create_map(F.lit("source"), F.col("source_id").cast("string"), F.lit("until"), F.date_format("valid_to", "yyyy-MM-dd")))
     return rows.select("claim_id", lookup.claim_text(rows).alias("text"))
 
