@@ -30,7 +30,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays; rows without a doc_id stay.
 
-    Null and empty texts are equal, so one of them stays. Rows that share a doc_id are one document: all stay or all go.
+    Candidates come from SimHash and from MinHash bands, and the exact similarity decides. Null and empty texts are equal, so one of them stays. Rows that share a doc_id are one document: all stay or all go.
     """
     found = nearsets.near_duplicates(docs, **NEAR).filter("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(found, docs["doc_id"] == found["_copy"], "left_anti")

@@ -1,6 +1,7 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-Candidates come from banded MinHash: ``BANDS`` keys of ``ROWS`` minima each, so a pair at similarity 0.8 shares no key
+Candidates come from SimHash fingerprints of the shingle sets, linked at ``RADIUS`` or fewer differing bits, and from banded MinHash, as
+fingerprints of 64 bits do not meet at every pair that is wanted: ``BANDS`` keys of ``ROWS`` minima each, so a pair at similarity 0.8 shares no key
 with a probability of (1 - 0.8 ** ROWS) ** BANDS, under 1 in a billion. Documents that share a key are joined into
 clusters by a star a key, never by pairs. Within a cluster, where a document's shingles come once, pairs are found by
 prefix filtering, rarest shingles first, and decided by the exact similarity; pairs that are already connected are
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import only, texts
-from emberline.llm.simhash import shingle_hashes
+from emberline.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 from emberline.operators.components import connected_components
 from emberline.session import scratch, stored
 
 BANDS, ROWS = 40, 4
+#: Differing bits at which two fingerprints of shingle sets are candidates.
+RADIUS = 3
 #: A chunk of a cluster: so many documents and so many shingles, about.
 CHUNK, CHUNK_SHINGLES = 2048, 1 << 20
 _ODD, _ADD = np.random.default_rng(42).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint32)
@@ -87,10 +90,10 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(text, words) for text in texts(batch)]
             a, b = zip(*map(_named, sets), strict=True) if sets else ((), ())
-            columns = [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ha", "hb", "n", "bands"])
+            columns = [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ha", "hb", "n", "bands", "fp"])
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ha long, hb long, n long, bands array<long>")
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ha long, hb long, n long, bands array<long>, fp long")
 
 
 def _members(rows: DataFrame, words: int) -> DataFrame:
@@ -117,12 +120,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     with scratch(docs.sparkSession) as own:
         prints = stored(_prints(docs, words), "shingle-prints")
-        groups = prints.filter("doc_id IS NOT NULL").groupBy("ha", "hb").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        groups = prints.filter("doc_id IS NOT NULL").groupBy("ha", "hb").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
         groups = stored(groups, "sets")
         # nodes are sets, named by their smallest doc_id; one doc_id may have several texts, whose sets are then one node
         keyed = groups.select("node", F.explode("bands").alias("key"))
         least = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v != w").select("key", "v")
         stars = keyed.join(least, "key").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+        # fingerprints by their smallest node: sets of one fingerprint link to it, different ones within the radius to each other
+        prints64 = stored(groups.filter("n > 0").groupBy("fp").agg(F.min("node").alias("v")), "fingerprints")
+        same = groups.filter("n > 0").join(prints64, "fp").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+        close = link_fingerprints(prints64.select(F.col("v").alias("node"), "fp", F.lit(0).cast("long").alias("size")), RADIUS)
+        stars = stars.unionByName(same).unionByName(close.filter("u != v"))
         clusters = stored(connected_components(stars).select("node", F.col("component").alias("cluster")), "clusters")
         held = groups.select("node", "ha", "hb", "n").join(clusters, "node")
         sizes = held.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("m"))

@@ -118,3 +118,18 @@ def test_run_writes_ids_in_training_order(spark, tmp_path):
         ids = np.array([*tok.encode(rows[r.doc_id] or "", add_special_tokens=False).ids, tokens.END], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_fingerprints_lead_to_copies_without_bands(spark, monkeypatch):
+    """SimHash alone brings copies within its radius together; the exact step still decides."""
+    monkeypatch.setattr(nearsets, "band_keys", lambda s: np.empty(0, np.int64))
+    r = random.Random(11)
+    words = [f"w{r.randrange(5000)}" for _ in range(3000)]
+    near, far = [*words[:-1], "changed"], [f"v{r.randrange(5000)}" for _ in range(3000)]
+    rows = [(7, " ".join(words)), (3, " ".join(near)), (9, " ".join(far)), (12, None), (13, " ")]
+    sets = [nearsets.shingle_set(x.encode(), 5) for _, x in rows[:3]]
+    bits = lambda a, b: (nearsets.fingerprint(sets[a]) ^ nearsets.fingerprint(sets[b])).bit_count()
+    assert bits(0, 1) <= nearsets.RADIUS < bits(0, 2)
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], SCHEMA)
+    assert {r.doc_id: r.component_id for r in nearsets.near_duplicates(df).collect()} == {7: 3, 3: 3, 9: 9, 12: 12, 13: 12}
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, df, "unused").collect()} == {3, 9, 12}
