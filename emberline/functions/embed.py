@@ -14,12 +14,15 @@ DIM = 384
 
 def hashed(texts: list[str], dim: int = DIM, n: int = 3) -> np.ndarray:
     """One row a text: counts of its hashed n-grams, with signs, scaled to length 1; an empty text is all zeros."""
-    out = np.zeros((len(texts), dim), np.float32)
-    for row, text in zip(out, texts, strict=True):
+    grams, counts = [], []
+    for text in texts:
         plain = f"  {' '.join(text.lower().split())} "
-        grams = [xxhash.xxh64_intdigest(plain[i : i + n]) for i in range(len(plain) - n + 1)] if plain.strip() else []
-        for g in grams:
-            row[g % dim] += 1.0 if g >> 63 else -1.0
+        found = [xxhash.xxh64_intdigest(plain[i : i + n]) for i in range(len(plain) - n + 1)] if plain.strip() else []
+        grams += found
+        counts.append(len(found))
+    g = np.array(grams, np.uint64)
+    at = np.repeat(np.arange(len(texts)) * dim, counts) + (g % np.uint64(dim)).astype(np.int64)
+    out = np.bincount(at, np.where(g >> np.uint64(63), 1.0, -1.0), len(texts) * dim).astype(np.float32).reshape(len(texts), dim)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -31,7 +34,8 @@ def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]],
         for b in batches:
             for k in range(0, b.num_rows, batch):
                 part = b.slice(k, batch)
-                vectors = embed([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], [key, "embedding"])
+                vectors = np.asarray(embed([x or "" for x in part.column(1).to_pylist()]), np.float32)
+                ends = pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], [key, "embedding"])
 
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")

@@ -52,7 +52,10 @@ def nearest(questions: DataFrame, vectors: DataFrame, limit: int, embed: Callabl
             for b in batches:
                 if not b.num_rows:
                     continue
-                rows = np.stack(b.column(1).to_pylist()).astype(np.float64)
+                # vectors of one length lie one behind the other
+                rows = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+                if len(rows) != b.num_rows:
+                    raise ValueError("a vector is missing or of another length")
                 sims = matrix @ rows.T
                 k = min(limit, sims.shape[1])
                 best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
@@ -78,7 +81,8 @@ def link_entities(questions: DataFrame, entities: DataFrame, vectors: DataFrame
     three letters.
     """
     with scratch(questions.sparkSession) as own:
-        names = questions.select("question_id", F.posexplode(candidate_names(F.col("question"))).alias("place", "name"))
+        # stored, its size is known: it goes to the entities and not they to it
+        names = stored(questions.select("question_id", F.posexplode(candidate_names(F.col("question"))).alias("place", "name")), "names")
         every = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
         known = entities.select("id", F.explode(F.array_distinct(F.transform(every, F.lower))).alias("_name"))
         exact = names.withColumn("_name", F.lower("name")).join(known, "_name")

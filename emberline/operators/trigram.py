@@ -2,7 +2,8 @@
 
 Two sets whose Jaccard similarity is above t share more than t times the larger set's members. So with all trigrams in one
 order, the rarest first, a pair meets among the first n - floor(t * n) of each set, and sets of too different size never do.
-At each meeting the places left in both sets bound what they can still share. Equal names are one node.
+At each meeting the places left in both sets bound what they can still share. Equal names are one node. Up to ``FEW`` different names that are
+asked for are compared with every known name of fitting size instead, which takes one pass; the pairs are the same.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from emberline.functions.names import jaccard, trigrams
 from emberline.session import scratch, stored
 
 
+#: So many names at most are compared with every known one.
+FEW = 64
+
+
 def _prefixes(sets: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
     """(name, n, t, at): the first trigrams of each set, the rarest first, with their places."""
     each = sets.select("name", F.size("g").alias("n"), F.explode("g").alias("t")).join(often, "t", "left")
@@ -41,7 +46,14 @@ def similar_names(asked: DataFrame, known: DataFrame, threshold: float = 0.3) ->
     """
     with scratch(asked.sparkSession) as own:
         sets = lambda df: df.select("name").distinct().select("name", trigrams(F.col("name")).alias("g")).filter("name IS NOT NULL AND size(g) > 0")
-        a, b = stored(sets(asked), "asked"), stored(sets(known), "known")
+        a = stored(sets(asked), "asked")
+        if a.limit(FEW + 1).count() <= FEW:
+            # few names go to where the known ones are read: no set of a known name is cut up, ordered or stored
+            x, y, n = F.col("x"), F.col("g"), F.size("x")
+            fits = (n > F.size(y) * threshold - 1e-9) & (F.size(y) > n * threshold - 1e-9)
+            met = sets(known).join(F.broadcast(a.toDF("q", "x")), fits & (jaccard(x, y) > threshold))
+            return own.result(met.select("q", "name", jaccard(x, y).alias("similarity")), "similar")
+        b = stored(sets(known), "known")
         met = candidates(a, b, threshold).join(a.toDF("q", "x"), "q").join(b.toDF("name", "y"), "name")
         found = met.select("q", "name", jaccard(F.col("x"), F.col("y")).alias("similarity"))
         return own.result(found.filter(F.col("similarity") > threshold), "similar")
