@@ -8,6 +8,7 @@ from emberline.operators import folding, threads
 from emberline.operators.store import Store
 from emberline.streaming import threads as live
 from emberline.streaming import windows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 CLAIMS = "claim_id string, subject_id string, claim_type string, valid_from timestamp, valid_to timestamp, is_current boolean, seen_at timestamp, note string"
@@ -193,3 +194,51 @@ def test_late_messages_are_kept_apart(spark, tmp_path):
         state.add(spark.createDataFrame(rows, live.MESSAGE), batch)
     assert {x.message_id: x.thread_id for x in state.read().collect()} == {"a": "a", "b": "b", "d": "b", "e": "a"}
     assert [x.message_id for x in state.tables["late"].read().collect()] == ["c"]
+
+
+class Value:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def get(self):
+        return self.getValue(())
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+
+def test_groups_of_a_key_are_read_and_written_together():
+    state = windows.Closing(None)
+    state.index, state.pages = Value(), Value()
+    row = lambda s, i, day, end=None: Row(subject_id=s, claim_type="WORKS_AT", claim_id=i, start=day * 86400 * 10**6, ends=end)
+    arrive = lambda rows: {(r.subject_id, r.claim_id): (r.valid_to, r.is_current) for r in state.handleInputRows((1,), iter(rows), None)}
+    first = arrive([row(f"s{k}", f"a{k}", 100) for k in range(50)] + [row("old", "o", -900, -800 * 86400 * 10**6)])
+    second = arrive([row(f"s{k}", f"b{k}", 60) for k in range(50)])
+    assert state.index.calls <= 4 and state.pages.calls == 0
+    assert first["s7", "a7"] == (None, True) and first["old", "o"] == (-800 * 86400 * 10**6, True)
+    assert second["s7", "b7"] == (100 * 86400 * 10**6, False)
+    # more than a few of one group go into pages; the others stay, and one arrival meets its neighbours alone
+    many = 3 * windows.FEW
+    arrive([row("s7", f"m{k:04d}", 200 + k) for k in range(many)])
+    assert len(state.pages.held) > 20 and len(state.index.held[()][4]) == 101 - 2
+    state.pages.calls = 0
+    assert arrive([row("s7", "m0300x", 500)]) == {("s7", "m0300x"): (501 * 86400 * 10**6, False), ("s7", "m0300"): (500 * 86400 * 10**6, False)}
+    assert state.pages.calls <= 4
+    assert arrive([row("old", "p", -850)])["old", "o"] == (-850 * 86400 * 10**6, False)
