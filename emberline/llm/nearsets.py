@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import only, texts
 from emberline.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 from emberline.operators.components import connected_components
-from emberline.session import scratch, stored
+from emberline.session import scratch, small_batches, stored
 
 BANDS, ROWS = 40, 4
 #: Differing bits at which two fingerprints of shingle sets are candidates.
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     shorter text is one shingle, and texts without words are equal. component_id is the smallest doc_id reachable
     over links. Repeated rows are kept. A row without a doc_id takes no part and has a null component_id.
     """
-    with scratch(docs.sparkSession) as own:
+    with scratch(docs.sparkSession) as own, small_batches(docs.sparkSession):
         prints = stored(_prints(docs, words), "shingle-prints")
         groups = prints.filter("doc_id IS NOT NULL").groupBy("ha", "hb").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
         groups = stored(groups, "sets")

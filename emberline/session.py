@@ -55,17 +55,28 @@ def _made(spark: SparkSession) -> list[str]:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark removes the shuffle files of a query as soon as it has ended; its result is written by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session, inside."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def _shuffles_removed(spark: SparkSession):
+    """Inside, Spark removes the shuffle files of a query as soon as it has ended; its result is written by then."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Inside, Arrow batches of what is executed hold ``rows`` rows at most: both a worker and the JVM's buffers keep what their largest batch took."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    return _set(spark, name, str(min(now, rows) if now > 0 else rows))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -133,3 +133,18 @@ def test_fingerprints_lead_to_copies_without_bands(spark, monkeypatch):
     df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], SCHEMA)
     assert {r.doc_id: r.component_id for r in nearsets.near_duplicates(df).collect()} == {7: 3, 3: 3, 9: 9, 12: 12, 13: 12}
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, df, "unused").collect()} == {3, 9, 12}
+
+
+def test_near_duplicates_read_small_arrow_batches(spark, monkeypatch):
+    name, met, store = "spark.sql.execution.arrow.maxRecordsPerBatch", [], nearsets.stored
+    before = spark.conf.get(name)
+
+    def seen(*a):
+        met.append(int(spark.conf.get(name)))
+        return store(*a)
+
+    monkeypatch.setattr(nearsets, "stored", seen)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearsets.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert met and max(met) <= 1024 and spark.conf.get(name) == before
