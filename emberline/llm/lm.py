@@ -60,7 +60,7 @@ class _Words:
 
 
 def _summed(rows: DataFrame, keys, columns: str) -> DataFrame:
-    """(key, n) of the integers that ``keys`` gives for each batch, summed within a task as far as they fit."""
+    """(key, n) of the integers that ``keys`` gives for each batch, summed within a task as far as they fit; a key may come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -80,7 +80,7 @@ def _summed(rows: DataFrame, keys, columns: str) -> DataFrame:
         if held:
             yield flush()
 
-    return only(rows, *columns.split()).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return only(rows, *columns.split()).mapInArrow(run, "key long, n long")
 
 
 class _Model:
@@ -110,7 +110,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY,
     spark = docs.sparkSession
     with scratch(spark) as own:
         rows = only(docs, "doc_id", "text")
-        counted = _summed(rows, lambda batch: map(_hashes, texts(batch)), "text")
+        counted = _summed(rows, lambda batch: map(_hashes, texts(batch)), "text").groupBy("key").agg(F.sum("n").alias("n"))
         known = counted.orderBy(F.desc("n"), "key").limit(vocabulary).select("key").toArrow()["key"].to_numpy()
         words = _Words(known)
         shared = spark.sparkContext.broadcast(words)
@@ -123,6 +123,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY,
             for text, target in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
                 yield shared.value.pairs(text) * 4 + (2 * _half(text) + target)
 
+        # one shuffle, by the pair: its four counts are summed together
         by_kind = _summed(flagged, keys, "text target")
         of = lambda k: F.coalesce(F.sum(F.when(F.pmod("key", F.lit(4)) == k, F.col("n"))), F.lit(0)).alias(f"n{k}")
         pairs = by_kind.groupBy(F.floor(F.col("key") / 4).cast("long").alias("pair")).agg(*[of(k) for k in range(4)])

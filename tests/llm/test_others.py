@@ -336,3 +336,16 @@ def test_registry_names():
 
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_pair_counts_are_shuffled_once(spark, monkeypatch):
+    plans, store = {}, lm.stored
+
+    def seen(df, name="t"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(lm, "stored", seen)
+    docs = spark.createDataFrame([(k, f"a b c{k % 3} d") for k in range(12)], "doc_id long, text string")
+    assert lm.score(docs, docs.filter("doc_id < 6").select("doc_id")).count() == 12
+    assert "hashpartitioning(" in plans["pairs"] and "hashpartitioning(key" not in plans["pairs"]
