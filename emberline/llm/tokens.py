@@ -15,7 +15,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -38,7 +38,8 @@ _PIECES = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("ends"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts with any other character, or with the beginning of a special token, are encoded whole.
 OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]|<\\|")
-KNOWN = 1 << 20  # pieces that a worker remembers before it forgets them all
+ASIDE = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+KNOWN = 1 << 20  # keys that a worker remembers before it forgets them all
 
 
 def _tokenizer(path: str | None):
@@ -60,7 +61,11 @@ def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """The ids of texts by a tokenizer of the tokenizers library, which encodes each different piece of a text once."""
+    """The ids of texts by a tokenizer of the tokenizers library, which encodes each different piece of a text once.
+
+    A blank or line feed between two characters that are neither always begins a piece, so texts are cut there and the ids of what
+    lies between are remembered by a key: the word behind a blank, a line feed with the word behind it, or a null character and any text.
+    """
 
     def __init__(self, path: str | None):
         self.tok = _tokenizer(path)
@@ -72,52 +77,78 @@ class Ids:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.total = 0
-        self.size, self.start, self.flat = (np.empty(1 << 10, np.int64) for _ in range(3))
-
-    def _learn(self, pieces: list[str]) -> None:
-        # pieces of a blank and letters stay apart when they are put together, so one call encodes many
-        alone = [w for w in pieces if not (w[0] == " " and w[1:].isalpha())]
-        put = [w for w in pieces if w[0] == " " and w[1:].isalpha()]
-        self._keep(alone, [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)])
-        for k in range(0, len(put), 1000):
-            some = put[k : k + 1000]
-            e = self.tok.encode("".join(some), add_special_tokens=False)
+        self.size, self.start, self.flat = (np.empty(1 << 10, np.int32) for _ in range(3))
+
+    def _learn(self, keys: list[str]) -> None:
+        """Remember the ids of ``keys``: of one piece from the tokenizer, of several from those of the pieces."""
+        words, alone, several = [], {}, {}
+        for key in keys:
+            if key.isalpha():
+                words.append(key)
+                continue
+            text = key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+            pieces = PIECES.findall(text)
+            if len(pieces) < 2:
+                alone[key] = text
+            else:
+                several[key] = [p[1:] if p[0] == " " and p[1:].isalpha() else "\0" + p for p in pieces]
+        more = set(chain.from_iterable(several.values())).difference(self.place, words, alone)
+        words += [w for w in more if w[0] != "\0"]
+        alone |= {w: w[1:] for w in more if w[0] == "\0"}
+        self._keep(alone, [e.ids for e in self.tok.encode_batch_fast(list(alone.values()), add_special_tokens=False)])
+        # words behind blanks stay apart when they are put together, so one call encodes many
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            e = self.tok.encode(" " + " ".join(some), add_special_tokens=False)
             size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
             if len(size) != len(some):
                 raise RuntimeError("the tokenizer cut a piece")
             self._keep(some, [e.ids], size)
+        ids, size = self._ids([p for pieces in several.values() for p in pieces])
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(x) for x in several.values()])).astype(np.int64)]
+        self._keep(several, [ids], np.diff(ends))
 
-    def _keep(self, pieces: list[str], found: list[list[int]], size: np.ndarray | None = None) -> None:
+    def _keep(self, keys: Collection[str], found: Sequence[Sequence[int]], size: np.ndarray | None = None) -> None:
         if size is None:
             size = np.fromiter(map(len, found), np.int64, len(found))
         n = len(self.place)
-        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        more = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+        more = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         self.start = _put(self.start, n, self.total + np.cumsum(size) - size)
         self.size = _put(self.size, n, size)
         self.flat = _put(self.flat, self.total, more)
         self.total += len(more)
 
+    def _ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known keys, one behind the other, and how many each has."""
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        size = self.size[at]
+        at = self.start[at] - np.cumsum(size, dtype=np.int32) + size
+        at = np.repeat(at, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], size
+
     def of(self, some: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
-        cut = [PIECES.findall(x) if self.by_piece and not OTHER.search(x) else None for x in some]
-        fresh = {w for c in cut if c for w in c} - self.place.keys()
+        cut = [_cut(x) if self.by_piece and not OTHER.search(x) else None for x in some]
+        whole = iter([e.ids for e in self.tok.encode_batch_fast([x for x, c in zip(some, cut, strict=True) if c is None], add_special_tokens=False)])
+        keys = list(chain.from_iterable(c for c in cut if c is not None))
+        fresh = set(keys).difference(self.place)
         if len(self.place) + len(fresh) > KNOWN:
             self.forget()
-            fresh = {w for c in cut if c for w in c}
+            fresh = set(keys)
         if fresh:
             self._learn(list(fresh))
-        whole = iter([e.ids for e in self.tok.encode_batch_fast([x for x, c in zip(some, cut, strict=True) if c is None], add_special_tokens=False)])
-        out = []
-        for c in cut:
-            if c is None:
-                out.append(np.array(next(whole), np.int64))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        ids, size = self._ids(keys)
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(c or ()) for c in cut], dtype=np.int64))].tolist()
+        return [np.array(next(whole), np.int32) if c is None else ids[i:k] for c, (i, k) in zip(cut, itertools.pairwise(ends), strict=True)]
+
+
+def _cut(text: str) -> list[str]:
+    """The keys of a text: cut at lone blanks and line feeds, or by the pattern where blanks stand side by side."""
+    if any(x in text for x in ASIDE):
+        return ["\0" + p for p in PIECES.findall(text)]
+    return ("\0" + text.replace("\n", " \n")).split(" ")
 
 
 _HELD: dict[str | None, Ids] = {}
@@ -172,7 +203,7 @@ def write_ids(docs: DataFrame, path: str, shards: int, tokenizer: str | None = N
             names = batch.column(0).to_pylist()
             found = chain.from_iterable(encoder.of([x or "" for x in batch.column(1).slice(k, 256).to_pylist()]) for k in range(0, batch.num_rows, 256))
             for name, ids in zip(names, found, strict=True):
-                ids = np.append(ids, END)
+                ids = np.append(ids, np.int32(END))
                 while len(ids):
                     part, ids = ids[:room], ids[room:]
                     held.append(part)

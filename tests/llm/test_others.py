@@ -59,6 +59,33 @@ def test_coder_beats_a_table_of_frequencies():
     assert bits < 8.0 and bits < -(share * np.log2(share)).sum()
 
 
+def test_coder_gives_frequent_ids_few_digits():
+    """Every id's digits lead back to it, and the ids of texts have some two digits each rather than four."""
+    ids = np.random.default_rng(3).zipf(1.2, 60000) % 50000
+    for some in (ids, ids[:1], ids[:0], np.arange(65536)):
+        d = coder.Start.of([some]).digits
+        for x in (0, 7, 49999, 65535, *some[:300].tolist()):
+            node = 0
+            for k in range(d.n[x]):
+                assert d.node[x * d.width + k] == node
+                node = int(d.child[node * 16 + int(d.digit[x * d.width + k])])
+            assert ~node == x
+    assert coder.Start.of([ids]).digits.n[ids].mean() < 2.6
+    text = "\n".join(r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    met = tokens.ids_of(None).of([text])[0]
+    assert coder.Start.of([met]).digits.n[met].mean() < 2.6
+
+
+def test_ids_are_those_of_the_tokenizer():
+    parts = ["a", "b", "\u00e9", "\u00aa", "the", "23", ".", ",", "'s", "'", "'ll", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "<", "|", "<|", "\u0100", "\u00b2", "_", "\u00a0", "\u65e5", "\x00", "-", "T"]
+    r = np.random.default_rng(4)
+    some = ["", " ", "\n", "a ", " a", "a\n", "\na", *("".join(r.choice(parts, r.integers(0, 14))) for _ in range(3000))]
+    held = tokens.Ids(None)
+    for _ in range(2):  # learned, then remembered
+        got = [x.tolist() for k in range(0, len(some), 100) for x in held.of(some[k : k + 100])]
+        assert got == [e.ids for e in held.tok.encode_batch_fast(some, add_special_tokens=False)]
+
+
 def test_tokens_edges(spark):
     tok = tokens._tokenizer(None)
     rows = [(3, "a # b"), (1, None), (2, ""), (9, prose(1, 9000)), (3, "a # b")]
