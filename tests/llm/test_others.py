@@ -376,3 +376,20 @@ def test_pair_counts_are_shuffled_once(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"a b c{k % 3} d") for k in range(12)], "doc_id long, text string")
     assert lm.score(docs, docs.filter("doc_id < 6").select("doc_id")).count() == 12
     assert "hashpartitioning(" in plans["pairs"] and "hashpartitioning(key" not in plans["pairs"]
+
+
+def test_no_pair_is_joined_to_documents(spark, monkeypatch):
+    """Rows that are shuffled are lists by chunk and part, as many for rare pairs as for frequent ones."""
+    plans, store = [], lm.stored
+
+    def seen(df, name="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(lm, "stored", seen)
+    docs = spark.createDataFrame([(k, f"a b c{k % 3} d{k}") for k in range(12)], "doc_id long, text string")
+    lm.score(docs, docs.filter("doc_id < 6").select("doc_id"), hot=1)
+    assert plans and not any("Join" in p or "Generate" in p for p in plans)
+    whole = docs.selectExpr("CAST(doc_id AS int) AS doc_id", "text")
+    got = {r.doc_id: r.score for r in lm.score(whole, docs.filter("doc_id < 6").select("doc_id")).collect()}
+    assert len(got) == 12 and any(got.values())
