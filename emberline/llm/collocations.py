@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import only, texts
-from emberline.session import forget, scratch, stored
+from emberline.session import LARGE_ROWS, forget, scratch, small_batches, stored
 
 LEAST, MOST_WORDS, FIRST, SHARE = 100, 5, 2000, 100
 SHARD = 1 << 20  # words
 BITS = 25  # of the bitmap's size
+HELD = 8  # rows of an Arrow batch where a row is a shard
 NONE = "und"
 #: A-Z in lower case, tabs as blanks, the ends of pieces as line feeds.
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c | 32 if 65 <= c <= 90 else c for c in range(256))
@@ -286,8 +287,8 @@ def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, most_words: in
     """
     spark = docs.sparkSession
     share_out = spark.sparkContext.broadcast
-    with scratch(spark) as own:
-        shards = stored(postings(docs, shard), "postings")
+    with scratch(spark) as own, small_batches(spark):
+        shards = stored(postings(docs, shard), "postings", LARGE_ROWS)
         where = spark._emberline_made[-1]
         n = stored(shards.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
         size = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -297,20 +298,25 @@ def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, most_words: in
         if not words.groupBy("key").count().filter("count > 1").isEmpty():
             raise RuntimeError("two frequent words have the same 64-bit key")
         words_pass = share_out(bitmap(words, bits))
-        pairs_pass = share_out(bitmap(stored(_pair_counts(shards, words_pass, least, size), "pairs"), bits))
-        level = stored(_second(shards, words_pass, pairs_pass), "level")
+        with small_batches(spark, HELD):
+            pairs = stored(_pair_counts(shards, words_pass, least, size), "pairs")
+            pairs_pass = share_out(bitmap(pairs, bits))
+            level = stored(_second(shards, words_pass, pairs_pass), "level", LARGE_ROWS)
         forget(spark, where)
         named, phrases = words.select("lang", F.col("key").alias("head"), "phrase"), []
         last = words.select(F.col("key").alias("tail"), F.col("phrase").alias("_word"))
         for length in range(2, most_words + 1):
             found = _frequent(level, least, size).join(named, "head").join(last, "tail")
-            found = stored(found.select("lang", F.concat_ws(" ", "phrase", "_word").alias("phrase"), F.lit(length).alias("size"), F.col("n").alias("a"), "key"), "phrases")
+            with small_batches(spark, HELD):
+                found = stored(found.select("lang", F.concat_ws(" ", "phrase", "_word").alias("phrase"), F.lit(length).alias("size"), F.col("n").alias("a"), "key"), "phrases")
             if found.isEmpty():
                 break
             phrases.append(found)
             if length < most_words:
                 named = found.select("lang", F.col("key").alias("head"), "phrase")
-                level = stored(_next(level, length, share_out(bitmap(found, bits))), "level")
+                passed = share_out(bitmap(found, bits))
+                with small_batches(spark, HELD):
+                    level = stored(_next(level, length, passed), "level", LARGE_ROWS)
         if not phrases:
             return own.result(spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long"), "collocations")
         candidates = phrases[0]

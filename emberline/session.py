@@ -32,8 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+#: For rows of megabytes: groups of rows are closed by size after every row. Else Parquet looks at sizes after a hundred rows first, and a
+#: task holds a group of up to 128 MB while it writes it, and whole, unpacked, when it reads it.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def stored(df: DataFrame, name: str = "t", options: dict[str, int] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet, with ``options`` of its writer, into the shared folder and read it back.
 
     This cuts the lineage and lets several consumers share one computation; the files survive the loss
     of any executor, which a cached or locally checkpointed frame does not. ``scratch`` deletes them.
@@ -42,7 +47,7 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
     _made(spark).append(path)
     return spark.read.schema(schema).parquet(path)
 

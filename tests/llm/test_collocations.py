@@ -83,3 +83,25 @@ def test_products_beyond_64_bits(spark):
     some = spark.createDataFrame([("en", "u v", 2, a)], "lang string, phrase string, size int, a long")
     got = collocations._ranked(some, counts, spark.createDataFrame([("en", n)], "lang string, n long"), 5).collect()
     assert got[0].score == 1000 * a * n // ((a + 5) * (a + 9))
+
+
+def test_groups_of_shards_are_small(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    seen = []
+
+    def look(spark, path):
+        for name in glob.glob(f"{path.removeprefix('file://')}/*.parquet"):
+            meta = pq.ParquetFile(name).metadata
+            seen.extend((meta.row_group(i).num_rows, meta.row_group(i).total_byte_size) for i in range(meta.num_row_groups))
+        forget(spark, path)
+
+    forget = collocations.forget
+    monkeypatch.setattr(collocations, "forget", look)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100_000)) + " a b" * 30, "en") for i in range(8)]
+    got = collocations.mine(frame(spark, rows).coalesce(1), least=200, shard=90_000).collect()
+    assert ("a b", 240) in {(r.phrase, r.a) for r in got}
+    # before, all eight rows of some three megabytes were one group, which is held whole while it is written and read
+    assert sum(n for n, _ in seen) == 8 and max(size for _, size in seen) < 12 << 20
