@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from emberline.session import scratch
 
 BANDS, ROWS = 16, 8
 PIECE = 2048
+GROUP = 1 << 22  # code points of texts whose shingles are hashed together
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _SEED, _EIGHT = np.uint64(42), np.uint64(8)
 
@@ -59,21 +62,68 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return (x << np.uint64(31) | x >> np.uint64(33)) * _P1
 
 
-def minima(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
-    """For each of ``count`` permutations from ``first`` the smallest of what Spark's ``xxhash64(hash, number)`` gives; a long set goes by pieces."""
-    least = np.full(count, np.iinfo(np.int64).max)
-    x, y = np.empty(PIECE, np.uint64), np.empty(PIECE, np.uint64)
-    salts = _turned(np.arange(first, first + count).astype(np.uint64))
-    for at in range(0, len(hashes), PIECE):
-        part = _SEED + _P5 + _EIGHT ^ _turned(hashes[at : at + PIECE])
-        n = len(part)
-        part = _mixed(part, y[:n]) + (_P5 + _EIGHT)
-        for r in range(count):
-            np.bitwise_xor(part, salts[r], out=x[:n])
-            least[r] = min(least[r], _mixed(x[:n], y[:n]).view(np.int64).min())
+def _permuted(hashes: np.ndarray, first: int, count: int) -> Iterator[np.ndarray]:
+    """For each of ``count`` permutations from ``first`` what Spark's ``xxhash64(hash, number)`` gives; the array is used again for the next one."""
+    seeds, out, y = _SEED + _P5 + _EIGHT ^ _turned(hashes), np.empty(len(hashes), np.uint64), np.empty(PIECE, np.uint64)
+    for at in range(0, len(seeds), PIECE):
+        part = seeds[at : at + PIECE]
+        _mixed(part, y[: len(part)])
+        part += _P5 + _EIGHT
+    for salt in _turned(np.arange(first, first + count).astype(np.uint64)):
+        for at in range(0, len(seeds), PIECE):
+            part = out[at : at + PIECE]
+            np.bitwise_xor(seeds[at : at + PIECE], salt, out=part)
+            _mixed(part, y[: len(part)])
+        yield out.view(np.int64)
+
+
+def minima(hashes: np.ndarray, which: np.ndarray, starts: np.ndarray, first: int, count: int) -> np.ndarray:
+    """(set, permutation): the smallest permuted hash of each set; ``which`` are places in ``hashes``, one set behind the other, ``starts`` where each begins.
+
+    A shingle is permuted once however many sets it is in, which are many: texts share most of theirs.
+    """
+    least, held = np.empty((len(starts), count), np.int64), np.empty(len(which), np.int64)
+    for r, permuted in enumerate(_permuted(hashes, first, count)):
+        np.take(permuted, which, out=held, mode="clip")
+        least[:, r] = np.minimum.reduceat(held, starts)
     return least
 
 
+def shingle_places(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, which, starts) as ``minima`` takes them, of the k-shingles of texts: XXH64 of each different shingle's UTF-8 bytes, computed once.
+
+    A text of fewer than ``k`` code points is one shingle.
+    """
+    whole, sizes = "".join(texts), np.array([len(t) for t in texts])
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    letters, kinds = (np.cumsum(seen) - 1)[points], int(seen.sum())
+    long = np.flatnonzero(sizes >= k)
+    counts = sizes[long] - k + 1
+    begins = (np.cumsum(sizes) - sizes)[long]
+    place = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    codes, most = letters[place], kinds
+    for i in range(1, k):
+        if most * kinds >= 1 << 62:  # numbers of what was found so far are small again
+            codes = pd.factorize(codes)[0].astype(np.int64)
+            most = int(codes.max(initial=0)) + 1
+        codes, most = codes * kinds + letters[place + i], most * kinds
+    number, found = pd.factorize(codes)
+    at = np.empty(len(found), np.int64)
+    at[number] = place
+    hashes = [xxhash.xxh64_intdigest(whole[i : i + k].encode(), 42) for i in at.tolist()]
+    pairs = np.sort(np.repeat(long, counts) * max(len(found), 1) + number)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+    short = np.flatnonzero(sizes < k)
+    hashes += [xxhash.xxh64_intdigest(texts[i].encode(), 42) for i in short]
+    owner = np.concatenate([pairs // max(len(found), 1), short])
+    which = np.concatenate([pairs % max(len(found), 1), len(found) + np.arange(len(short))])
+    order = np.argsort(owner, kind="stable") if len(short) else slice(None)
+    owner, which = owner[order], which[order]
+    return np.array(hashes, np.uint64), which, np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+
+
 def band_keys(codes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A key a band, the hash of its minima; 32-bit permutations, which take a twentieth of the time of those of ``signatures``."""
     odd, add = np.random.default_rng(42).integers(0, 2**32, (2, bands * rows), dtype=np.uint32)
@@ -87,7 +137,7 @@ def band_keys(codes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, band, minima): ``rows`` smallest hashes a band, over the shingles of (node, s).
 
-    A shingle is hashed anew for each permutation, in the task that holds the set: neither shingles nor partial minima are shuffled.
+    A task permutes the different shingles of some sets together: neither shingles nor partial minima are shuffled.
     """
     kind = sets.schema["node"].dataType.simpleString()
 
@@ -95,8 +145,9 @@ def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                found = [np.concatenate([minima(s.values.to_numpy().view(np.uint64), n * rows, rows) for n in range(bands)]) for s in part.column(1)]
-                flat = np.concatenate(found) if found else np.empty(0, np.int64)
+                which, hashes = pd.factorize(part.column(1).flatten().to_numpy())
+                sizes = pc.list_value_length(part.column(1)).to_numpy()
+                flat = minima(hashes.view(np.uint64), which, np.cumsum(sizes) - sizes, 0, bands * rows).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, rows), pa.int32()), pa.array(flat))
                 number = np.tile(np.arange(bands, dtype=np.int32), part.num_rows)
                 nodes = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), bands)))
@@ -105,6 +156,31 @@ def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return sets.select("node", "s").filter(F.size("s") > 0).mapInArrow(run, f"node {kind}, band int, minima array<long>")
 
 
+def text_signatures(docs: DataFrame, k: int = 5, count: int = BANDS * ROWS) -> DataFrame:
+    """(node, minima): what ``signatures`` gives in one band for ``shingle_sets`` of (doc_id, text), without sets that Spark makes.
+
+    Copies are found by their digests, after the signature: what is shuffled is signatures, never texts.
+    """
+    rows = docs.select(docs["doc_id"].alias("node"), setjoin.digest(docs["text"]).alias("h"), setjoin.folded(docs["text"]).alias("t")).filter("node IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = 0
+            while read < b.num_rows:
+                texts, size = [], 0
+                while read + len(texts) < b.num_rows and size < GROUP:
+                    texts.append(b.column(2)[read + len(texts)].as_py())
+                    size += len(texts[-1])
+                flat = minima(*shingle_places(texts, k), 0, count).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, count), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(read, len(texts)), b.column(1).slice(read, len(texts)), lists], ["node", "h", "minima"])
+                read += len(texts)
+
+    kind = rows.schema["node"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"node {kind}, h binary, minima array<long>")
+    return found.groupBy("h").agg(F.min("node").alias("node"), F.first("minima").alias("minima")).select("node", "minima")
+
+
 def whole(banded: DataFrame) -> DataFrame:
     """(node, signature): the bands of each node put together."""
     ordered = F.array_sort(F.collect_list(F.struct("band", "minima")))

@@ -65,9 +65,7 @@ def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, signature (128 minima) of every different text, by its smallest doc_id."""
-    sets = lsh.shingle_sets(table(spark, sf_dir, "documents"))
-    # one band of all permutations: a row is a whole signature
-    return lsh.signatures(sets, 1, lsh.BANDS * lsh.ROWS).select(F.col("node").alias("doc_id"), F.col("minima").alias("signature"))
+    return lsh.text_signatures(table(spark, sf_dir, "documents")).select(F.col("node").alias("doc_id"), F.col("minima").alias("signature"))
 
 
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

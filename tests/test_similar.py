@@ -130,3 +130,21 @@ def test_bands_shuffle_less_than_the_sets(spark, tmp_path):
     found = lsh.near_pairs(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert {(p.a, p.b) for p in found} == {(i, i + 1000) for i in range(400)}
     assert shuffled(spark) - before < 3 * 800 * 4000
+
+
+def test_signatures_of_texts_equal_those_of_their_sets(spark):
+    r = random.Random(6)
+    many = "".join(chr(0x4E00 + i) for i in range(9000))
+    texts = ["", None, " a ", "abcd", "abcde", "ABCDE  ", "\U0001f600\U0001f601é\U0001f600x\U0001f600", many, many[::-1] + "x" * 9]
+    texts += [" ".join(r.choice(["one", "two", "three", "Straße"]) for _ in range(r.randrange(60))) for _ in range(50)]
+    rows = [(i, x) for i, x in enumerate(texts + texts[:20])]
+    docs = spark.createDataFrame([*rows, (None, "lost"), rows[5]], "doc_id int, text string").repartition(3)
+    want = {x.node: x.minima for x in lsh.signatures(lsh.shingle_sets(docs), 1, 16).collect()}
+    got = {x.node: x.minima for x in lsh.text_signatures(docs, count=16).collect()}
+    assert got == want and len(want) == len({x or "" for x in texts})
+
+
+def test_a_shingle_of_many_texts_is_hashed_once():
+    # before, each set was permuted on its own
+    hashes, which, starts = lsh.shingle_places(["abcdefg", "", "abcdefgh", "xy", "bcdefgh"] * 100, 5)
+    assert len(hashes) == 4 + 2 * 100 and len(starts) == 500 and len(which) == 100 * (3 + 1 + 4 + 1 + 3)
