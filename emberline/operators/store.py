@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.operators import writes
+from emberline.session import shuffles_removed
 
 BUCKETS = 16
 
@@ -68,10 +69,11 @@ class Store:
 
     def _write(self, rows: DataFrame, by_bucket: bool) -> str:
         folder = f"data/{uuid.uuid4().hex}"
-        if by_bucket:
-            rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        else:
-            rows.write.parquet(f"{self.path}/{folder}")
+        with shuffles_removed(self.spark):
+            if by_bucket:
+                rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+            else:
+                rows.write.parquet(f"{self.path}/{folder}")
         return folder
 
     # reading
@@ -163,6 +165,11 @@ class Store:
         """Keep what is there; add the rows whose keys are new."""
         return self.merge(rows, keys, lambda old, new: writes.insert_ignore(old, new, keys, order), batch)
 
+    def settle(self, batch: int) -> int:
+        """Delete what neither ``batch``, however often it is repeated, nor a later one builds on; readers of older states must have ended."""
+        found = self.manifest(batch)
+        return self.vacuum(keep=self._numbers().index(found["number"]) + 1) if found else 0
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete all manifests but the newest ``keep``, and the data folders that none of them names; how many folders went."""
         numbers = self._numbers()

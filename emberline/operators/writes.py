@@ -18,7 +18,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, keep: tu
     both = old.select("*", F.lit(0).alias("_new")).unionByName(new.select(*old.columns, F.lit(1).alias("_new")))
     at = F.struct("_new", order)
     rest = [c for c in old.columns if c not in keys]
-    return both.groupBy(*keys).agg(*[(F.min_by if c in keep else F.max_by)(c, at).alias(c) for c in rest]).select(*old.columns)
+    # one aggregate for all columns: what is shuffled has the order once
+    last, first = ([c for c in rest if (c in keep) == kept] for kept in (False, True))
+    found = both.groupBy(*keys).agg(F.max_by(F.struct(*last, "_new"), at).alias("_last"), *([F.min_by(F.struct(*first), at).alias("_first")] if first else []))
+    return found.select(*[F.col(c if c in keys else f"_first.`{c}`" if c in keep else f"_last.`{c}`").alias(c) for c in old.columns])
 
 
 def reversed_merges(events: DataFrame, reversals: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import ann, conflicts, constraints, lsh, neardup
+from emberline.operators import ann, conflicts, constraints, folding, lsh, neardup
 from emberline.operators.store import Store
 from emberline.plans import graph_queries
-from emberline.session import remove, scratch, shared_dir, stored, table
+from emberline.session import remove, scratch, setting, shared_dir, stored, table
 from emberline.streaming import threads, windows
 
 BATCHES = 3
@@ -36,18 +36,18 @@ def _replayed(spark: SparkSession, rows: DataFrame) -> Iterator[tuple[DataFrame,
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3: the windows of all current claims of exclusive types, kept by a stream that sees the claims in another order."""
     claims = graph_queries.role(spark, sf_dir, "claims").withColumn("seen_at", F.lit(None).cast("timestamp"))
-    claims = claims.select("claim_id", "subject_id", "claim_type", F.col("valid_from").cast("timestamp").alias("valid_from"), F.col("valid_to").cast("timestamp").alias("valid_to"), "is_current", "seen_at")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, windows.PROVIDER)
-    try:
+    # what the stream passes over need not be staged for it
+    claims = folding.started(claims).select("claim_id", "subject_id", "claim_type", F.col("valid_from").cast("timestamp").alias("valid_from"), F.col("valid_to").cast("timestamp").alias("valid_to"), "is_current", "seen_at")
+    # state is mostly ids of digits, which zstd packs and lz4 does not
+    store = "spark.sql.streaming.stateStore"
+    with setting(spark, f"{store}.providerClass", windows.PROVIDER), setting(spark, f"{store}.rocksdb.compression", "zstd"), setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
         with scratch(spark) as own, _replayed(spark, claims) as (stream, base):
             windows.keep_windows(stream, f"{base}/windows", f"{base}/checkpoint").awaitTermination()
+            for part in ("in", "checkpoint"):  # the stream has ended
+                remove(spark, f"{base}/{part}")
             kept = Store(spark, f"{base}/windows").read()
             day = lambda c: F.col(c).cast("date").alias(c)
             return own.result(kept.select("claim_id", "subject_id", "claim_type", day("valid_from"), day("valid_to"), "is_current"), "windows")
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

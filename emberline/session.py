@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str = "t", options: dict[str, int] | None = None
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.options(**options or {}).parquet(path)
     _made(spark).append(path)
     return spark.read.schema(schema).parquet(path)
@@ -60,7 +60,7 @@ def _made(spark: SparkSession) -> list[str]:
 
 
 @contextmanager
-def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A setting of the session, inside."""
     before = spark.conf.get(name, None)
     spark.conf.set(name, value)
@@ -70,16 +70,16 @@ def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _shuffles_removed(spark: SparkSession):
+def shuffles_removed(spark: SparkSession):
     """Inside, Spark removes the shuffle files of a query as soon as it has ended; its result is written by then."""
-    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def small_batches(spark: SparkSession, rows: int = 1024):
     """Inside, Arrow batches of what is executed hold ``rows`` rows at most: both a worker and the JVM's buffers keep what their largest batch took."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
-    return _set(spark, name, str(min(now, rows) if now > 0 else rows))
+    return setting(spark, name, str(min(now, rows) if now > 0 else rows))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -189,11 +189,13 @@ def closing_windows(claims: DataFrame, types: tuple[str, ...] = EXCLUSIVE, horiz
 def keep_windows(claims: DataFrame, path: str, checkpoint: str, types: tuple[str, ...] = EXCLUSIVE, horizon: int | None = None, buckets: int = 16) -> StreamingQuery:
     """Keep the table ``path`` of windows up to date with what is new in ``claims``, then stop; late claims go to ``path``-late.
 
-    A micro-batch writes the buckets of the claims that changed. One that is repeated after a failure leaves the same table.
+    A micro-batch writes the buckets of the claims that changed. One that is repeated after a failure leaves the same table; states of the
+    table before the last batch that ended are deleted.
     """
 
     def each(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
+        Store(rows.sparkSession, path, buckets).settle(batch)
         windows = rows.filter("NOT late").drop("late").withColumn("batch", F.lit(batch).cast("long"))
         Store(rows.sparkSession, path, buckets).upsert(windows, ["claim_id", "valid_from"], "batch", batch=batch)
         Store(rows.sparkSession, f"{path}-late", buckets).append(rows.filter("late").drop("late"), batch=batch)

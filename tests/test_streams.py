@@ -242,3 +242,26 @@ def test_groups_of_a_key_are_read_and_written_together():
     assert arrive([row("s7", "m0300x", 500)]) == {("s7", "m0300x"): (501 * 86400 * 10**6, False), ("s7", "m0300"): (500 * 86400 * 10**6, False)}
     assert state.pages.calls <= 4
     assert arrive([row("old", "p", -850)])["old", "o"] == (-850 * 86400 * 10**6, False)
+
+
+def test_old_states_of_windows_are_deleted(rocks, tmp_path):
+    rows = claims(3, 200)
+    feed(rocks, f"{tmp_path}/in", rows, 4)
+    stream = rocks.readStream.schema(CLAIMS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    windows.keep_windows(stream, f"{tmp_path}/w", f"{tmp_path}/cp", buckets=2).awaitTermination()
+    store = Store(rocks, f"{tmp_path}/w")
+    assert found(store) == wanted(rocks, rows)
+    # before, the folders and manifests of all four batches stayed
+    assert len(store._numbers()) == 2 and len(list((tmp_path / "w" / "data").iterdir())) == 2
+    store.settle(3)
+    assert found(store) == wanted(rocks, rows) and store.read(before=3).count() > 0
+
+
+def test_upsert_shuffles_the_order_once(spark):
+    from emberline.operators import writes
+
+    row = spark.createDataFrame([(1, "a", "b", 1)], "k int, x string, y string, at int")
+    new = spark.createDataFrame([(1, None, "c", 2), (2, "n", "o", 5)], "k int, x string, y string, at int")
+    got = writes.upsert(row, new, ["k"], "at", ("y",))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, None, "b", 2), (2, "n", "o", 5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1
